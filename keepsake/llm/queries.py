@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import audio, urls
+from keepsake.llm import audio, quality, toxicity, urls
+from keepsake.llm.labelled import held_out
 from keepsake.session import table
 
 RULES: list[urls.Rule] = [
@@ -19,6 +20,16 @@ RULES: list[urls.Rule] = [
 ]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     n = F.octet_length(text)
@@ -51,6 +62,8 @@ SELECT q.page_id, q.host, q.path, m.rule, COALESCE(m.action, 'allow') AS verdict
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
+        "op5_quality_classifier": op5_quality_classifier,
         "op7_media_columns": op7_media_columns,
         "op10_url_filters": op10_url_filters,
     }
