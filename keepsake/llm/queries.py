@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import audio, quality, toxicity, urls
+from keepsake.llm import audio, quality, simhash, toxicity, urls
 from keepsake.llm.labelled import held_out
 from keepsake.session import table
 
@@ -43,6 +43,11 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op5_quality_classifier": op5_quality_classifier,
         "op7_media_columns": op7_media_columns,
+        "op9_simhash": op9_simhash,
         "op10_url_filters": op10_url_filters,
     }
 
