@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -24,11 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back with the schema it had."""
+    """Write ``df`` as Parquet to the shared folder and read it back with the schema it had.
+
+    What led to it is then no longer needed: a collection on the driver lets Spark's cleaner drop the shuffle
+    files of plans that nothing refers to, so a job of several steps holds about one step's shuffles.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
