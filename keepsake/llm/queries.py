@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import audio, quality, simhash, substrings, toxicity, urls
+from keepsake.llm import audio, decontaminate, packing, quality, simhash, substrings, toxicity, urls
 from keepsake.llm.labelled import held_out
+from keepsake.llm.staging import staged
 from keepsake.session import table
 
 RULES: list[urls.Rule] = [
@@ -25,6 +26,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def word_tokenizer() -> str:
+    """Path of the public word tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), word_tokenizer())
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(staged(digests, "pieces"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -48,6 +62,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -73,9 +91,11 @@ SELECT q.page_id, q.host, q.path, m.rule, COALESCE(m.action, 'allow') AS verdict
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op7_media_columns": op7_media_columns,
+        "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
         "op10_url_filters": op10_url_filters,
     }
