@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import audio, decontaminate, packing, quality, simhash, substrings, toxicity, urls
+from keepsake.llm import audio, decontaminate, packing, quality, simhash, substrings, suffixes, toxicity, urls
 from keepsake.llm.labelled import held_out
 from keepsake.llm.staging import staged
 from keepsake.session import table
@@ -49,6 +49,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     n = F.octet_length(text)
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_media_columns": op7_media_columns,
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
