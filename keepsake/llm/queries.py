@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import audio, decontaminate, packing, quality, simhash, substrings, suffixes, toxicity, urls
+from keepsake.llm import audio, chat, decontaminate, packing, quality, simhash, substrings, suffixes, toxicity, urls
 from keepsake.llm.labelled import held_out
 from keepsake.llm.staging import staged
 from keepsake.session import table
@@ -21,6 +21,18 @@ RULES: list[urls.Rule] = [
 ]
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    says = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    back = chat.read_back(*chat.prefix_tree(talks, path), path)
+    lines = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
+    return back.select("conv_id", "n_turns", F.sha2(lines, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -94,6 +106,7 @@ SELECT q.page_id, q.host, q.path, m.rule, COALESCE(m.action, 'allow') AS verdict
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op2_toxicity": op2_toxicity,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_substring_dedup": op4_substring_dedup,
