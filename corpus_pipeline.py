@@ -1,6 +1,71 @@
-"""The corpus pipeline: stages from raw documents to packed training sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences, a written table after every stage.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns all it keeps; all but the
+last return the columns of documents. Rows without a doc_id can't be told apart: near-duplicate, repeat and
+benchmark decisions, which are about ids, leave them in.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keepsake.llm import decontaminate, packing, quality, simhash, substrings
+from keepsake.llm.queries import word_tokenizer
+from keepsake.llm.staging import staged
+from keepsake.session import table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (score 0.3 or more)."""
+    return quality.filter_quality(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the least id; of repeated rows, one."""
+    groups = simhash.near_duplicates(docs)
+    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    one_each = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one_each.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has; those of which nothing is left go."""
+    cut = substrings.remove_repeats(docs, keep=("doc_id", "lang", "source"))
+    return cut.where("n_words = 0 or n_removed < n_words").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, in its own words or with other values in its slots."""
+    leaks = staged(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(decontaminate.bounded(leaks, 2_000_000), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces with the sequence and the place that best-fit packing gave them."""
+    pieces = packing.token_pieces(docs, word_tokenizer())
+    return packing.pack(staged(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("SimHash near-dedup", distinct),
+    ("substring dedup", without_repeats),
+    ("benchmark decontamination", clean),
+    ("best-fit packing", packed),
+]
+
+#: A boosted-tree score, components of fingerprints and a tokenizer are beyond SQL; tests compare with plain Python.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written to the shared folder before the next reads them."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = staged(docs, f"stage-{number}")
+    return docs

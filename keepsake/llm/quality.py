@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +137,21 @@ def fit_quality(table: DataFrame, labels: DataFrame, label: str = "quality", per
     return fit_trees(x, y, weight=weight)
 
 
+def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, per_class: int = 10_000) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score is at least ``least``; one pass after fitting, no shuffle.
+
+    Only the sample's documents are read for the fit. Rows with null or empty texts are scored as such.
+    """
+    sample = training_sample(labels, "quality", per_class)
+    model = fit_quality(feature_table(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")), labels, per_class=per_class)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.predict(np.stack([text_features(t) for t in texts])) if len(texts) else np.zeros(0))
+
+    return docs.where(score(F.coalesce("text", F.lit(""))) >= least)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``score`` (0 to 1, higher: more likely of quality) for every document, over whole texts.
 
