@@ -5,6 +5,8 @@ Everything here is DataFrame and SQL functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,29 +23,48 @@ _NUMBER = r"([0-9][0-9·]*)"
 _BETWEEN = r"[^\p{L}\p{N}\p{M}⟨⟩·]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` and lambdas in it use it.
+
+    A plain column would be put in by the optimizer wherever it is used: into a lambda, for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def marked(text: Column) -> Column:
     """The text with each slot written as ``⟨type⟩value``: num, unit (after a number, or a currency sign), name.
 
     A name is a capitalised word inside a sentence: one that follows a small letter, digit, comma or
     semicolon and one space. Points and commas inside numbers become a middle dot.
     """
-    plain = F.when(text.rlike("[⟨⟩·]"), F.translate(text, "⟨⟩·", "   ")).otherwise(text)
-    joined = F.regexp_replace(plain, r"(?<=[0-9])[.,:/](?=[0-9])", "·")
-    with_unit = F.regexp_replace(joined, rf"{_NUMBER}\s?({'|'.join(UNITS)})\b", " ⟨num⟩$1 ⟨unit⟩$2 ")
-    numbers = F.regexp_replace(F.regexp_replace(with_unit, rf"(?<![⟩0-9·]){_NUMBER}", " ⟨num⟩$1 "), r"[$€£%]", " ⟨unit⟩$0 ")
-    counted = F.when(plain.rlike("[0-9]"), numbers).otherwise(plain)
+
+    def numbers(plain: Column) -> Column:
+        joined = F.regexp_replace(plain, r"(?<=[0-9])[.,:/](?=[0-9])", "·")
+        with_unit = F.regexp_replace(joined, rf"{_NUMBER}\s?({'|'.join(UNITS)})\b", " ⟨num⟩$1 ⟨unit⟩$2 ")
+        return F.regexp_replace(F.regexp_replace(with_unit, rf"(?<![⟩0-9·]){_NUMBER}", " ⟨num⟩$1 "), r"[$€£%]", " ⟨unit⟩$0 ")
+
+    plain = let(text, lambda t: F.when(t.rlike("[⟨⟩·]"), F.translate(t, "⟨⟩·", "   ")).otherwise(t))
+    counted = let(plain, lambda t: F.when(t.rlike("[0-9]"), numbers(t)).otherwise(t))
     return F.regexp_replace(counted, r"\p{Lu}(?<=[\p{Ll}\p{N},;⟩] \p{Lu})\p{L}*", "⟨name⟩$0")
 
 
 def words_of(marked_text: Column, values: bool) -> Column:
     """Lower-cased words; slots with their values, or as bare types (the template)."""
-    bare = F.when(marked_text.contains("⟨"), F.regexp_replace(marked_text, r"(⟨[a-z]+⟩)[\p{L}\p{N}\p{M}·$€£%]*", "$1")).otherwise(marked_text)
-    return F.array_remove(F.split(F.lower(marked_text if values else bare), r"[^\p{L}\p{N}\p{M}⟨⟩·$€£%]+" if values else _BETWEEN), "")
+
+    def bare(text: Column) -> Column:
+        return F.when(text.contains("⟨"), F.regexp_replace(text, r"(⟨[a-z]+⟩)[\p{L}\p{N}\p{M}·$€£%]*", "$1")).otherwise(text)
+
+    shown = marked_text if values else let(marked_text, bare)
+    return F.array_remove(F.split(F.lower(shown), r"[^\p{L}\p{N}\p{M}⟨⟩·$€£%]+" if values else _BETWEEN), "")
 
 
 def window_hashes(words: Column, size: int) -> Column:
     """64-bit hashes of all runs of ``size`` words; empty for shorter texts."""
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
+
+    def hashes(w: Column) -> Column:
+        return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, hashes)
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
