@@ -122,7 +122,7 @@ def event_key(ts: Column, bucket: Column, path: Column) -> Column:
 
 def split_tags(tags: Column) -> Column:
     """Comma-separated tags: trimmed, without empty ones, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(tags, ","), F.trim), lambda t: F.length(t) > 0))
+    return F.array_distinct(F.filter(F.transform(F.split(tags, ","), lambda t: F.trim(t)), lambda t: F.length(t) > 0))
 
 
 def season_of(month: Column) -> Column:
@@ -211,7 +211,7 @@ def place_display(country: Column, province: Column, city: Column, district: Col
 
 def municipality(display_name: Column) -> Column:
     """The part of a comma-separated address that names a city (ends in 市), else empty."""
-    return F.coalesce(F.get(F.filter(F.transform(F.split(display_name, ","), F.trim), lambda x: x.endswith("市")), F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(F.split(display_name, ","), lambda t: F.trim(t)), lambda x: x.endswith("市")), F.lit(0)), F.lit(""))
 
 
 def orientation_code(text: Column) -> Column:

@@ -13,13 +13,14 @@ def nearest(points: DataFrame, cities: DataFrame, max_km: float = 100.0) -> Data
 
     ``points``: id, lat, lon. ``cities``: geoname_id, latitude, longitude and what else is wanted. Cells of
     one degree are joined by equality; a city is put into its cell and all around it, wider towards the
-    poles, and the nearest is an aggregate with map-side combining, so a crowded cell is no single task.
+    poles and over the date line, and the nearest is an aggregate with map-side combining, so a crowded cell is no single task.
     """
     reach = max_km / 111.0
     wide = F.ceil(reach / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs("latitude") + reach))))).cast("int")
     rows = F.explode(F.sequence(F.floor("latitude") - F.lit(int(-(-reach // 1))), F.floor("latitude") + F.lit(int(-(-reach // 1)))))
-    spread = cities.withColumn("_y", rows).withColumn("_x", F.explode(F.sequence(F.floor("longitude") - F.least(wide, F.lit(180)), F.floor("longitude") + F.least(wide, F.lit(180)))))
-    placed = points.where(X.valid_gps(F.col("lat"), F.col("lon"))).select("id", "lat", "lon", F.floor("lat").alias("_y"), F.floor("lon").alias("_x"))
+    across = F.explode(F.sequence(F.floor("longitude") - F.least(wide, F.lit(180)), F.floor("longitude") + F.least(wide, F.lit(180))))
+    spread = cities.withColumn("_y", rows).withColumn("_x", across).withColumn("_x", F.pmod(F.col("_x") + 180, F.lit(360)) - 180)
+    placed = points.where(X.valid_gps(F.col("lat"), F.col("lon"))).select("id", "lat", "lon", F.floor("lat").alias("_y"), (F.pmod(F.floor("lon") + 180, F.lit(360)) - 180).alias("_x"))
     met = placed.join(spread, ["_y", "_x"]).withColumn("km", X.haversine_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))).where(F.col("km") <= max_km)
     best = met.groupBy("id").agg(F.min_by(F.struct("km", *cities.columns), F.struct("km", "geoname_id")).alias("m"))
     return best.select("id", "m.*")

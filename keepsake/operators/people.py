@@ -86,6 +86,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _unit(v: np.ndarray | None) -> np.ndarray | None:
+    """A vector of length one; None for what has no direction."""
+    length = 0.0 if v is None else float(np.linalg.norm(np.asarray(v, dtype=np.float64)))
+    return np.asarray(v, dtype=np.float64) / length if length else None
+
+
 def choose_prototypes(faces: DataFrame, k: int = PROTOTYPES, pool: int = 10) -> DataFrame:
     """(person_id, id, place): at most k of each person's best ``pool`` faces that differ most.
 
@@ -97,7 +103,7 @@ def choose_prototypes(faces: DataFrame, k: int = PROTOTYPES, pool: int = 10) ->
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["quality_score", "id"], ascending=[False, True]).reset_index(drop=True)
-        unit = [x / n if x is not None and (n := np.linalg.norm(x := np.asarray(x, dtype=np.float64))) else None for x in rows["embedding"]]
+        unit = [_unit(x) for x in rows["embedding"]]
         chosen = [i for i, locked in enumerate(rows["manual_locked"]) if locked][:k]
         rest = [i for i in range(len(rows)) if not rows["manual_locked"][i]]
         if not chosen and rest:
