@@ -209,3 +209,16 @@ def served_item(items: DataFrame, served: DataFrame) -> DataFrame:
     """(device_id, photo_id): which item of its batch a device shows next, going round; ``served``: device_id, batch_id, n."""
     counted = items.join(items.groupBy("batch_id").agg(F.count("*").alias("size")), "batch_id")
     return served.join(counted, "batch_id").where(F.col("position") == F.pmod(F.col("n"), F.col("size")) + 1).select("device_id", "photo_id")
+
+
+def daily_batch(photos: DataFrame, day: date, limit: int, how: Strategy = Strategy(), strategy: str = "smart", exclude: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """(batch_date, position, photo_id, title, subtitle): a day's selection with what is written under each picture."""
+    chosen = daily_selection(photos, day, limit, strategy, how, exclude, seed)
+    shown = chosen.join(photos.select("id", "caption", "file_path", "taken_at", "location"), "id")
+    name = F.element_at(F.split("file_path", "/"), -1)
+    return shown.select(F.lit(day).alias("batch_date"), F.col("place").alias("position"), F.col("id").alias("photo_id"), X.display_title(F.col("caption"), name).alias("title"), X.display_subtitle(F.col("taken_at"), F.col("location")).alias("subtitle"))
+
+
+def store_batch(batch: DataFrame, path: str) -> None:
+    """Write a day's batch, replacing that day's alone."""
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_date").parquet(path)

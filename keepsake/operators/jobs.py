@@ -132,3 +132,31 @@ def display_counters(events: DataFrame, displays: DataFrame, photos: DataFrame)
     shown = displays.join(photos.select(F.col("id").alias("photo_id"), "event_id"), "photo_id").groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("_n"), F.max("displayed_at").alias("_t"))
     keep = [c for c in events.columns if c not in ("display_count", "last_displayed_at")]
     return events.join(shown, "id", "left").select(*keep, F.coalesce("_n", F.lit(0)).cast("int").alias("display_count"), F.col("_t").alias("last_displayed_at"))
+
+
+def lock_photos(photos: DataFrame, n: int, now: datetime, minutes: int = 30) -> DataFrame:
+    """Photos with the n foremost (by id) that are ready and not locked taken for analysis until a time."""
+    free = photos.where("not coalesce(ai_analyzed, false) and thumbnail_status = 'ready'").where(F.col("locked_until").isNull() | (F.col("locked_until") < F.lit(now)))
+    taken = free.orderBy("id").limit(n).select("id")
+    return set_where(photos, taken, locked_until=F.lit(now + timedelta(minutes=minutes)))
+
+
+def analyzer_stats(photos: DataFrame, now: datetime) -> DataFrame:
+    """One row: total, analyzed, locked, waiting, and how full the queue is."""
+    done = F.coalesce("ai_analyzed", F.lit(False))
+    locked = ~done & (F.col("locked_until") >= F.lit(now))
+    ready = ~done & (F.col("thumbnail_status") == "ready") & ~F.coalesce(F.col("locked_until") >= F.lit(now), F.lit(False))
+    out = photos.agg(F.count("*").alias("total"), F.count_if(done).alias("analyzed"), F.count_if(locked).alias("locked"), F.count_if(ready).alias("waiting"))
+    return out.withColumn("pressure", R.queue_pressure(F.col("waiting")))
+
+
+def link_apart(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The table of people declared different with more pairs, the smaller id first, each once."""
+    both = links.select("person_id_a", "person_id_b").unionByName(pairs.select("person_id_a", "person_id_b")).where("person_id_a <> person_id_b")
+    return both.select(F.least("person_id_a", "person_id_b").alias("person_id_a"), F.greatest("person_id_a", "person_id_b").alias("person_id_b")).distinct()
+
+
+def retry(failed: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(to be stored again, given up): failed results with one more try."""
+    again = failed.withColumn("retry_count", F.coalesce("retry_count", F.lit(0)) + 1)
+    return again.where(F.col("retry_count") <= most), again.where(F.col("retry_count") > most)

@@ -150,25 +150,63 @@ def decide(components_: DataFrame, scores: DataFrame, attach: float = ATTACH) ->
     """What becomes of each component: attached to its best person, a new person, or pending again.
 
     ``components_``: component, faces, photos, retries (the most tried face's). A new person needs two faces
-    on two photos, or ten tries. Returns component, action, person_id, retries.
+    on two photos, or ten tries. Returns component, action, person_id, retries, score (1 for a new person).
     """
     best = scores.groupBy("component").agg(F.max_by(F.struct("person_id", "score"), F.struct("score", -F.col("person_id"))).alias("b"))
     joined = components_.join(best, "component", "left")
     fits = F.col("b.score") >= X.adaptive_threshold(attach, F.col("retries"))
     makes = ((F.col("faces") >= 2) & (F.col("photos") >= 2)) | (F.col("retries") >= 10)
     action = F.when(fits, "attach").when(makes, "create").otherwise("pending")
-    return joined.select("component", action.alias("action"), F.when(fits, F.col("b.person_id")).alias("person_id"), F.when(action == "pending", F.col("retries") + 1).otherwise(F.lit(0)).alias("retries"))
+    return joined.select("component", action.alias("action"), F.when(fits, F.col("b.person_id")).alias("person_id"), F.when(action == "pending", F.col("retries") + 1).otherwise(F.lit(0)).alias("retries"), F.when(fits, F.col("b.score")).otherwise(F.lit(1.0)).alias("score"))
 
 
 def cluster_step(faces: DataFrame, link: float = LINK, attach: float = ATTACH, write: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, component, action, person_id, retries) for all pending faces at once; a new person has its component's id."""
+    """(id, component, action, person_id, retries, score) for all pending faces at once; a new person has its component's id."""
     pending = faces.where("cluster_status = 'pending' and embedding is not null and size(embedding) > 0")
     comp = components(pending.select("id"), face_graph(pending, link), write=write)
     members = pending.join(comp, "id")
     sizes = members.groupBy("component").agg(F.count("*").alias("faces"), F.countDistinct("photo_id").alias("photos"), F.max(F.coalesce("retry_count", F.lit(0))).alias("retries"))
     prototypes = choose_prototypes(faces).join(faces.select("id", F.col("embedding").alias("v")), "id").select("person_id", "v")
     scores = component_scores(members.select("component", "id", F.col("embedding").alias("v")), prototypes)
-    return comp.join(decide(sizes, scores, attach), "component").select("id", "component", "action", F.coalesce("person_id", F.when(F.col("action") == "create", F.col("component"))).alias("person_id"), "retries")
+    return comp.join(decide(sizes, scores, attach), "component").select("id", "component", "action", F.coalesce("person_id", F.when(F.col("action") == "create", F.col("component"))).alias("person_id"), "retries", "score")
+
+
+def applied(faces: DataFrame, step: DataFrame) -> DataFrame:
+    """Faces after a clustering step: person, status, score and tries of those it decided on."""
+    new = step.select("id", F.col("person_id").alias("_p"), F.col("action").alias("_a"), F.col("score").alias("_s"), F.col("retries").alias("_r"))
+    joined = faces.join(new, "id", "left")
+    done = F.col("_a").isin("attach", "create")
+    return joined.withColumns({
+        "person_id": F.when(done, F.col("_p")).otherwise(F.col("person_id")), "cluster_status": F.when(done, "assigned").otherwise(F.col("cluster_status")),
+        "cluster_score": F.when(done, F.col("_s")).otherwise(F.col("cluster_score")), "retry_count": F.coalesce(F.col("_r").cast("int"), "retry_count"),
+    }).select(*faces.columns)
+
+
+def recluster(faces: DataFrame, least: float = LOW, rounds: int = 3, write: Callable[[DataFrame], DataFrame] | None = None, **how: float) -> DataFrame:
+    """Free the faces whose person is doubtful and cluster them again, until no one moves or ``rounds`` are over.
+
+    Doubtful: a score below ``least``, not locked. A face that finds no person keeps the one it had.
+    """
+    write = write or checkpointed
+    for _ in range(rounds):
+        low = (F.col("cluster_score") < least) & F.col("person_id").isNotNull() & ~F.coalesce("manual_locked", F.lit(False))
+        freed = write(faces.withColumn("_was", F.when(low, F.col("person_id"))).withColumn("cluster_status", F.when(low, "pending").otherwise("held")).withColumn("person_id", F.when(low, F.lit(None)).otherwise(F.col("person_id"))))
+        after = applied(freed, cluster_step(freed, write=write, **how))
+        settled = write(after.withColumn("_moved", F.col("_was").isNotNull() & F.col("person_id").isNotNull() & (F.col("person_id") != F.col("_was"))).withColumn("person_id", F.coalesce("person_id", "_was")))
+        moved = settled.where("_moved").limit(1).count()
+        status = faces.select("id", F.col("cluster_status").alias("_old"))
+        faces = settled.join(status, "id").withColumn("cluster_status", F.when(F.col("person_id").isNotNull(), "assigned").otherwise(F.col("_old"))).select(*faces.columns)
+        if not moved:
+            break
+    return faces
+
+
+def pair_similarity(prototypes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity, best): how alike two given people are; the mean of both directions and the best match."""
+    sides = [prototypes.select(F.col("person_id").alias(x), F.xxhash64("v").alias(f"{x}_id"), F.col("v").alias(f"{x}_v")) for x in ("a", "b")]
+    met = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("s", X.cosine(F.col("a_v"), F.col("b_v")))
+    ways = [met.groupBy("a", "b", f"{x}_id").agg(F.max("s").alias("s")).where("s >= 0").groupBy("a", "b").agg(F.avg("s").alias(f"from_{x}"), F.max("s").alias(f"best_{x}")) for x in ("a", "b")]
+    return ways[0].join(ways[1], ["a", "b"]).select("a", "b", ((F.col("from_a") + F.col("from_b")) / 2).alias("similarity"), F.col("best_a").alias("best"))
 
 
 def merge_suggestions(prototypes: DataFrame, cannot_link: DataFrame | None = None, least: float = SUGGEST, limit: int | None = None) -> DataFrame:

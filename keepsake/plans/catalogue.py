@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
-from keepsake.operators import curation, events, filters, geo, people, relational
+from keepsake.operators import curation, events, filters, geo, jobs, people, relational
 from keepsake.session import table
 from keepsake.sources import files
 
@@ -459,3 +459,53 @@ def date_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_suppkey AS suggestion_id, count(*) AS candidates, max(l_extendedprice) AS top_similarity FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1")
 def suggestion_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.suggestion_rollup(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("suggestion_id"), F.when(F.col("l_linestatus") == "O", "pending").otherwise("done").alias("status"), F.col("l_extendedprice").alias("similarity")))
+
+
+def order_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a queue: open ones wait, those in parts are in work, filled ones are done."""
+    status = X.lookup(F.col("o_orderstatus"), {"O": "pending", "P": "processing"}, F.lit("completed"))
+    at = F.col("o_orderdate").cast("timestamp")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("photo_id"), status.alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.lit("scan").alias("source"), at.alias("queued_at"), F.lit(None).cast("timestamp").alias("last_requested_at"), at.alias("updated_at"), F.lit(0).alias("attempt_count"))
+
+
+QUEUE = "j AS (SELECT o_orderkey AS id, o_custkey AS photo_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'processing' ELSE 'completed' END AS status, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate AS queued FROM orders)"
+
+
+@query(f"""WITH {QUEUE}, w AS (SELECT c_custkey AS photo_id, CAST(max(c_nationkey % 9) AS INTEGER) AS p FROM customer GROUP BY 1),
+k AS (SELECT j.photo_id, status, CASE WHEN w.p IS NOT NULL AND status <> 'completed' THEN greatest(priority, w.p) ELSE priority END AS priority FROM j LEFT JOIN w USING (photo_id)),
+n AS (SELECT photo_id, 'pending' AS status, p AS priority FROM w WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.photo_id = w.photo_id AND status <> 'completed'))
+SELECT photo_id, status, priority, count(*) AS n FROM (SELECT * FROM k UNION ALL SELECT * FROM n) GROUP BY ALL""")
+def queue_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("photo_id"), (F.col("c_nationkey") % 9).alias("priority"), F.lit("user").alias("source"))
+    return jobs.enqueue(order_jobs(spark, sf_dir), wanted, NOW).groupBy("photo_id", "status", "priority").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {QUEUE}, t AS (SELECT id FROM j WHERE status = 'pending' ORDER BY priority DESC, queued DESC, id LIMIT 200)
+SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN 'processing' ELSE status END AS status, CASE WHEN id IN (SELECT id FROM t) THEN 1 ELSE 0 END AS attempt_count FROM j""")
+def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.claim(order_jobs(spark, sf_dir), 200, NOW).select("id", "status", "attempt_count")
+
+
+@query("""WITH r AS (SELECT event_id, user_id AS photo_id, event_type AS description, CAST(CAST(value AS INTEGER) AS INTEGER) AS score, ts FROM events),
+o AS (SELECT *, photo_id > 0 AND length(trim(description)) > 0 AND score BETWEEN 0 AND 100 AS ok FROM r),
+n AS (SELECT photo_id, max(ts) AS newest FROM o WHERE ok GROUP BY 1)
+SELECT o.photo_id, CASE WHEN NOT ok THEN 'invalid' WHEN c_custkey IS NULL THEN 'unknown' WHEN c_nationkey = 3 THEN 'already' WHEN ts < newest THEN 'superseded' ELSE 'accepted' END AS verdict, count(*) AS n
+FROM o LEFT JOIN customer ON c_custkey = o.photo_id LEFT JOIN n ON n.photo_id = o.photo_id GROUP BY ALL""")
+def result_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "events").select(F.col("user_id").alias("photo_id"), F.col("event_type").alias("description"), F.round("value").cast("int").alias("memory_score"), F.lit(1).alias("beauty_score"), F.lit("").alias("main_category"), F.lit("").alias("tags"), F.col("ts").alias("enqueued_at"), F.lit(0).alias("retry_count"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") == 3).alias("ai_analyzed"), *[F.lit("").alias(c) for c in ("description", "main_category", "tags")], *[F.lit(0).alias(c) for c in ("memory_score", "beauty_score", "overall_score")])
+    return jobs.apply_results(known, results)[1].groupBy("photo_id", "verdict").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT '/' || lang || '/' || source AS path, max(n_chars) AS m FROM documents WHERE n_chars < 6000 GROUP BY 1), b AS (SELECT '/' || lang || '/' || source AS path, max(n_chars) AS m FROM documents GROUP BY 1)
+SELECT b.path FROM b LEFT JOIN a USING (path) WHERE a.m IS DISTINCT FROM b.m""")
+def changed_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/"), "lang", F.lit("/"), "source").alias("path"), "n_chars")
+    snapshot = lambda df: df.groupBy("path").agg(F.max("n_chars").alias("mod_time"))
+    return files.changed_folders(snapshot(docs.where("n_chars < 6000")), snapshot(docs))
+
+
+@query("SELECT least(l_suppkey, l_partkey) AS person_id_a, greatest(l_suppkey, l_partkey) AS person_id_b FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey <> l_partkey GROUP BY ALL")
+def links_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("person_id_a"), F.col("l_partkey").alias("person_id_b"))
+    return jobs.link_apart(pairs.limit(0), pairs)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
+from keepsake.operators.relational import outermost
 
 #: File names a picture may end in.
 EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "webp", "gif", "bmp", "tif", "tiff")
@@ -40,6 +41,32 @@ def scan_diff(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     return was.join(now, "file_path", "full_outer").select("file_path", action.alias("action"))
 
 
+def changed_folders(was: DataFrame, now: DataFrame) -> DataFrame:
+    """(path): folders to scan again: new or changed ones, and for those gone the nearest ancestor still there.
+
+    Both snapshots: path, mod_time. A folder below another of the list is left out.
+    """
+    joined = was.select("path", F.col("mod_time").alias("_t"), F.lit(True).alias("_was")).join(now.select("path", "mod_time", F.lit(True).alias("_is")), "path", "full_outer")
+    changed = joined.where("_is").where(F.col("_was").isNull() | ~F.col("mod_time").eqNullSafe(F.col("_t"))).select("path")
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    gone = joined.where(F.col("_is").isNull()).select(F.col("path").alias("gone"), F.explode(ups).alias("path"))
+    nearest = gone.join(now.select("path"), "path", "left_semi").groupBy("gone").agg(F.max_by("path", F.length("path")).alias("path")).select("path")
+    return outermost(changed.unionByName(nearest))
+
+
+def batches(rows: DataFrame, columns: Sequence[str], size: int = 500) -> Iterator[list[tuple]]:
+    """Rows' columns in lists of a size, a partition at a time: for clients that must go through all rows."""
+    part: list[tuple] = []
+    for r in rows.select(*columns).toLocalIterator(prefetchPartitions=True):
+        part.append(tuple(r))
+        if len(part) == size:
+            yield part
+            part = []
+    if part:
+        yield part
+
+
 def missing_files(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     return catalog.join(listing.select("file_path"), "file_path", "left_anti")
 
