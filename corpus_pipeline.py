@@ -32,9 +32,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has; those of which nothing is left go."""
-    cut = substrings.remove_repeats(docs, keep=("doc_id", "lang", "source"))
-    return cut.where("n_words = 0 or n_removed < n_words").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """Documents without the passages that an earlier document has; those of which nothing is left go, others stay as they came."""
+    cut = substrings.remove_repeats(docs, keep=("doc_id", "lang", "source"), untouched=True)
+    return cut.where("n_words = 0 or n_removed < n_words").select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ def _window_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "open").mapInArrow(run, "window long, doc_id long")
 
 
-def remove_repeats(docs: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_id",), untouched: bool = False) -> DataFrame:
     """Remove each word covered by a ``size``-word window that also starts in a document with a smaller id.
 
     Levels: windows of half the size, at their anchors, are counted first; those that occur in one document
@@ -141,6 +141,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep: tuple[str, ...] = ("do
     Words are runs without ASCII white space, compared unchanged. Null texts have no words. A null doc_id is
     never earlier than another and loses nothing. Rows that repeat an id are judged alike; all rows are kept.
     Returns ``keep`` (which must hold doc_id), ``text`` (kept words joined by one space), n_words, n_removed.
+    With ``untouched``, a text that loses nothing is returned as it came, white space (or null) included.
     """
     anchors = _anchor_rows(docs, size)
     again = anchors.groupBy("short").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("short")
@@ -161,7 +162,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep: tuple[str, ...] = ("do
             for text, extents, windows in zip(*(b.column(n + k).to_pylist() for k in range(3)), strict=True):
                 if not extents and not windows:
                     w = (text or "").encode().split()
-                    kept.append(b" ".join(w).decode())
+                    kept.append(text if untouched else b" ".join(w).decode())
                     words.append(len(w))
                     removed.append(0)
                     continue
@@ -171,7 +172,10 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep: tuple[str, ...] = ("do
                     every = np.arange(len(w.of))
                     starts = np.union1d(starts, every[np.isin(w.runs(every, every + size).view(np.int64), np.array(windows, dtype=np.int64))])
                 gone = w.covered(starts)
-                kept.append(b" ".join([x for x, g in zip(w.words, gone.tolist(), strict=True) if not g]).decode())
+                if untouched and not gone.any():
+                    kept.append(text)
+                else:
+                    kept.append(b" ".join([x for x, g in zip(w.words, gone.tolist(), strict=True) if not g]).decode())
                 words.append(w.n)
                 removed.append(int(gone.sum()))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(kept, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "text", "n_words", "n_removed"])
