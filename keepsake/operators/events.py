@@ -34,28 +34,38 @@ def sessions(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, lat:
     return cut.withColumn("session", F.sum("_cut").over(over.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_cut")
 
 
-def day_islands(rows: DataFrame, time: str) -> DataFrame:
-    """(day, island): runs of days that follow each other. An empty day is a gap of 24 hours at least, so no event crosses islands.
-
-    The window is over distinct days, some ten thousand in a lifetime of photos, not over photos.
-    """
-    days = rows.where(F.col(time).isNotNull()).select(F.to_date(time).alias("day")).distinct()
-    over = Window.orderBy("day")
-    begins = F.coalesce(F.datediff("day", F.lag("day").over(over)) > 1, F.lit(True)).cast("int")
-    return days.withColumn("_b", begins).select("day", F.sum("_b").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
-
-
-def cluster_events(photos: DataFrame, gap_hours: float = GAP_HOURS, far_km: float = FAR_KM, least: int = LEAST_PHOTOS) -> DataFrame:
-    """(id, event): the whole library's photos in events of at least ``least``, each named by its first photo.
-
-    Rows: id, taken_at, gps_latitude, gps_longitude. Islands of days make the one timeline many groups.
+def _begins(now: Sequence[Column], before: Column, gap_hours: float, far_km: float) -> Column:
+    """Whether a row (seconds, lat, lon) begins an event after the row ``before`` (struct s, lat, lon; null: none)."""
+    ts, lat, lon = now
+    known = lat.isNotNull() & lon.isNotNull() & before["lat"].isNotNull() & before["lon"].isNotNull()
+    far = known & (X.haversine_km(before["lat"], before["lon"], lat, lon) > far_km)
+    return F.coalesce((ts - before["s"] >= gap_hours * 3600) | far, F.lit(True))
+
+
+def cluster_events(photos: DataFrame, gap_hours: float = GAP_HOURS, far_km: float = FAR_KM, least: int = LEAST_PHOTOS, slot_seconds: int = 3600) -> DataFrame:
+    """(id, event): one timeline's photos in events of at least ``least``, each named by its first photo.
+
+    Rows: id, taken_at, gps_latitude, gps_longitude; those without a time are left out. The timeline is cut
+    into slots of an hour, which are windows of their own: a row's predecessor is in its slot or is the last
+    row of the slot before. What crosses slots is one row a slot (last row, number of cuts), some hundred
+    thousand for decades of photos, so only that small table is put in one order and broadcast. However long
+    photos go on without a gap, no window holds more than a slot; events are counted by an aggregate.
     """
-    dated = photos.where("taken_at is not null").withColumn("day", F.to_date("taken_at"))
-    placed = dated.join(F.broadcast(day_islands(photos, "taken_at")), "day")
-    numbered = sessions(placed, ["island"], "taken_at", "id", "gps_latitude", "gps_longitude", gap_hours, far_km)
-    whole = Window.partitionBy("island", "session")
-    named = numbered.withColumn("event", F.min_by("id", F.struct("taken_at", "id")).over(whole)).withColumn("_n", F.count("*").over(whole))
-    return named.where(F.col("_n") >= least).select("id", "event")
+    at = photos.where("taken_at is not null").select("id", seconds(F.col("taken_at")).alias("s"), F.col("gps_latitude").alias("lat"), F.col("gps_longitude").alias("lon"))
+    rows = at.withColumn("slot", F.floor(F.col("s") / slot_seconds))
+    row = F.struct("s", "lat", "lon")
+    over = Window.partitionBy("slot").orderBy("s", "id")
+    lasts = rows.groupBy("slot").agg(F.max_by(row, F.struct("s", "id")).alias("last"))
+    before = lasts.select("slot", F.lag("last").over(Window.orderBy("slot")).alias("early"))
+    cut = rows.withColumn("own", F.lag(row).over(over)).join(F.broadcast(before), "slot")
+    previous = F.coalesce("own", "early")
+    flagged = cut.withColumn("cut", _begins((F.col("s"), F.col("lat"), F.col("lon")), previous, gap_hours, far_km).cast("long")).select("id", "s", "slot", "cut")
+    so_far = F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    bases = flagged.groupBy("slot").agg(F.sum("cut").alias("n")).select("slot", F.coalesce(so_far, F.lit(0)).alias("base"))
+    running = F.sum("cut").over(over.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = flagged.withColumn("run", running).join(F.broadcast(bases), "slot").select("id", "s", (F.col("base") + F.col("run")).alias("session"))
+    named = numbered.groupBy("session").agg(F.count("*").alias("n"), F.min_by("id", F.struct("s", "id")).alias("event")).where(F.col("n") >= least)
+    return numbered.join(named, "session").select("id", "event")
 
 
 def profile_events(photos: DataFrame, members: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).select("user_id", "session", "n", clock("lo").alias("start_time"), clock("hi").alias("end_time"))
 
 
-#: The whole table's events as one timeline, which the library cuts into islands of days.
+#: The whole table's events as one timeline, which the library cuts into slots of an hour.
 @query("""WITH c AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000 THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (ORDER BY ts, event_id)),
 s AS (SELECT *, sum(cut) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM c),
 n AS (SELECT event_id, first_value(event_id) OVER (PARTITION BY session ORDER BY ts, event_id) AS event, count(*) OVER (PARTITION BY session) AS n FROM s)
