@@ -143,8 +143,8 @@ def remove_repeats(docs: DataFrame, size: int = 13, keep: tuple[str, ...] = ("do
     Returns ``keep`` (which must hold doc_id), ``text`` (kept words joined by one space), n_words, n_removed.
     With ``untouched``, a text that loses nothing is returned as it came, white space (or null) included.
     """
-    anchors = _anchor_rows(docs, size)
-    again = anchors.groupBy("short").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("short")
+    anchors = staged(_anchor_rows(docs, size), "anchors")
+    again = staged(anchors.groupBy("short").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("short"), "again")
     repeated = staged(anchors.join(again, "short", "left_semi"), "repeated-anchors")
     first = staged(repeated.groupBy("short", "around").agg(F.min("doc_id").alias("first")), "first-extents")
     several = first.groupBy("short").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("short")

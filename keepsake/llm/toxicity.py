@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,16 +39,10 @@ def terms_of(text: str | None) -> set[str]:
     return found
 
 
-def signature(text: str | None) -> int:
-    """The least hash of the text's words: copies and most near copies agree on it."""
-    return min((hash_word(w) for w in set(plain(text).split())), default=0)
-
-
-def hash_word(w: str) -> int:
-    h = 2166136261
-    for c in w.encode():
-        h = (h ^ c) * 16777619 & 0xFFFFFFFF
-    return h
+def signature(text: str | None, width: int = 4) -> int:
+    """The least hash of the text's shingles of words: copies and most near copies agree on it, others hardly."""
+    words = plain(text).split()
+    return min((zlib.crc32(" ".join(words[i : i + width]).encode()) for i in range(max(1, len(words) - width + 1))), default=0)
 
 
 class Voters:
@@ -196,7 +191,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
             x = found.features(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "signature", "x"])
 
-    got = sample.select("text", "y", "signature").mapInArrow(vote, "y int, signature long, x binary").orderBy("signature", "y", "x").collect()
+    got = sample.select("text", "y", "signature").mapInArrow(vote, "y int, signature long, x binary").collect()
+    got.sort(key=lambda r: (r["signature"], r["y"], bytes(r["x"])))  # sums then don't depend on how rows were dealt
     width = len(found.terms) + len(PATTERNS) + 3
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), dtype=np.float32).reshape(-1, width)
     y = np.array([r["y"] for r in got], dtype=np.float64)
