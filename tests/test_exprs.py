@@ -18,7 +18,9 @@ def value(spark, column):
     (lambda: X.overall_score(F.lit(1), F.lit(31)), 9),
     (lambda: X.location_bucket(F.lit(0.0), F.lit(0.0), F.lit(" Oslo "), 3), "loc:oslo"),
     (lambda: X.location_bucket(F.lit(None).cast("double"), F.lit(1.0), F.lit(" "), 3), None),
-    (lambda: X.location_bucket(F.lit(0.0135135), F.lit(-0.0405405406), F.lit(""), 3), "gps:0:-2"),
+    (lambda: X.location_bucket(F.lit(0.0135135), F.lit(-0.0405405406), F.lit(""), 3), "gps:0:-1"),  # -1.49999996: a cell is narrower off the equator
+    (lambda: X.location_bucket(F.lit(0.0), F.lit(-1.5), F.lit(""), 111), "gps:0:-2"),
+    (lambda: X.location_bucket(F.lit(0.5), F.lit(0.0), F.lit(""), 111), "gps:1:0"),
     (lambda: X.event_key(F.lit(datetime(2024, 3, 6, 5)), F.lit(None).cast("string"), F.lit("/a/b/c.jpg")), "2024-03-06|dir:/a/b"),
     (lambda: X.day_distance(F.lit(datetime(2023, 12, 31)), 1, 1), 364),
     (lambda: X.year_gap(F.lit(datetime(2020, 1, 1)), 2024), 4),
