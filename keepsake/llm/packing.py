@@ -134,8 +134,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     the slices' counts, so a length that most pieces share is no single task. ``pieces`` must be a stored
     table, since it is read twice. Equal rows are told apart by nothing and take different places.
     """
-    slices = 64 * max(1, pieces.rdd.getNumPartitions()) if False else 4096
-    cut = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    cut = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(4096)).cast("int"))
     sizes = staged(cut.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_bins(counts, capacity)
