@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontaminate, packing, quality, simhash, substrings
+from keepsake.llm import alike, decontaminate, packing, quality, substrings
 from keepsake.llm.queries import word_tokenizer
 from keepsake.llm.staging import staged
 from keepsake.session import table
@@ -24,8 +24,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least id; of repeated rows, one."""
-    groups = simhash.near_duplicates(docs)
+    """One document of each near-duplicate group (shingles of five words, similarity 0.8): the one with the least id; of repeated rows, one."""
+    groups = alike.alike_groups(docs)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     one_each = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one_each.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
