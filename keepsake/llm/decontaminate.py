@@ -85,8 +85,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: floa
     """Documents that hold a benchmark item, verbatim or with other numbers, names and units in its slots.
 
     A document is a candidate for an item if it has ``share`` of the item's template windows of ``size`` words.
-    The slots then decide: aligned at the most frequent distance between the two texts, equal values of the
-    item must stand for equal values of the document, and different for different, else the candidate goes.
+    It is found if so many match with their values too. Else the slots decide: at one of the distances between
+    the two texts that have the share (or at the most frequent, if none has), equal values of the item must
+    stand for equal values of the document, and different for different, else the candidate goes.
 
     The benchmark's windows are broadcast after a count; beyond ``broadcast_rows`` (24 bytes each) they are
     joined by a shuffle. All windows of all documents take part, whole texts. The second step reads only the
@@ -107,19 +108,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: floa
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("_t")).join(bounded(candidates.select("doc").distinct(), broadcast_rows), "doc", "left_semi").distinct()
     theirs = texts.select("doc", marked(F.col("_t")).alias("m")).select("doc", words_of(F.col("m"), False).alias("w"), words_of(F.col("m"), True).alias("v"))
     at_docs = theirs.select("doc", "v", F.posexplode(window_hashes(F.col("w"), size)).alias("d_at", "window")).join(few, "doc").join(bounded(bench.select("item", F.col("at").alias("i_at"), "window"), broadcast_rows), ["item", "window"])
-    aligned = at_docs.select("doc", "item", "n_windows", "n_matched", (F.col("d_at") - F.col("i_at")).alias("shift"), "i_at", F.slice("v", F.col("d_at") + 1, size).alias("dv"))
-    best = aligned.groupBy("doc", "item", "n_windows", "n_matched", "shift").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "item", "n_windows", "n_matched").agg(F.max(F.struct("n", -F.col("shift"))).alias("b")).select("doc", "item", "n_windows", "n_matched", (-F.col("b")["col2"]).alias("shift"))
+    aligned = at_docs.select("doc", "item", "n_windows", "n_matched", (F.col("d_at") - F.col("i_at")).alias("shift"), "i_at", "window", F.slice("v", F.col("d_at") + 1, size).alias("dv"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("n_windows") * share))
+    pair, at_shift = ["doc", "item", "n_windows", "n_matched"], ["doc", "item", "shift"]
+    shifts = aligned.groupBy(*pair, "shift").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("window").alias("n_here"))
+    most = shifts.groupBy("doc", "item").agg(F.max("n").alias("most"))
+    judged_shifts = staged(shifts.join(most, ["doc", "item"]).where((F.col("n_here") >= need) | (F.col("n") == F.col("most"))).drop("most", "n_here"), "shifts")
     ours = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words_of(marked(F.col(item_text)), True).alias("iv")).distinct()
+    verbatim = aligned.join(bounded(ours, broadcast_rows), "item").where(F.slice("iv", F.col("i_at") + 1, size) == F.col("dv")).groupBy("doc", "item").agg(F.countDistinct("window").alias("n_exact"))
     cells = (
-        aligned.select("doc", "item", "shift", F.posexplode("dv").alias("o", "dval"), "i_at").where(F.col("dval").startswith("⟨"))
-        .join(best.select("doc", "item", "shift"), ["doc", "item", "shift"])
-        .select("doc", "item", (F.col("i_at") + F.col("o")).alias("place"), "dval").distinct()
+        aligned.select(*at_shift, F.posexplode("dv").alias("o", "dval"), "i_at").where(F.col("dval").startswith("⟨"))
+        .join(judged_shifts.select(*at_shift), at_shift)
+        .select(*at_shift, (F.col("i_at") + F.col("o")).alias("place"), "dval").distinct()
     )
-    slots = cells.join(bounded(ours, broadcast_rows), "item").select("doc", "item", "dval", F.get(F.col("iv"), F.col("place")).alias("ival"))
-    forward = slots.groupBy("doc", "item", "ival").agg(F.countDistinct("dval").alias("to"), F.count(F.lit(1)).alias("n"), F.sum((F.col("ival") != F.col("dval")).cast("int")).alias("changed")).groupBy("doc", "item").agg(F.max("to").alias("to"), F.sum("n").alias("n_slots"), F.sum("changed").alias("changed"))
-    backward = slots.groupBy("doc", "item", "dval").agg(F.countDistinct("ival").alias("from")).groupBy("doc", "item").agg(F.max("from").alias("from"))
-    judged = best.join(forward, ["doc", "item"], "left").join(backward, ["doc", "item"], "left")
-    return judged.where("coalesce(`to`, 1) = 1 and coalesce(`from`, 1) = 1").select(
-        F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
-        F.when(F.coalesce("changed", F.lit(0)) == 0, "exact").otherwise("reparameterised").alias("kind"),
+    slots = cells.join(bounded(ours, broadcast_rows), "item").select(*at_shift, "dval", F.get(F.col("iv"), F.col("place")).alias("ival"))
+    forward = slots.groupBy(*at_shift, "ival").agg(F.countDistinct("dval").alias("to"), F.count(F.lit(1)).alias("n_slots"), F.sum((F.col("ival") != F.col("dval")).cast("int")).alias("changed")).groupBy(*at_shift).agg(F.max("to").alias("to"), F.sum("n_slots").alias("n_slots"), F.sum("changed").alias("changed"))
+    backward = slots.groupBy(*at_shift, "dval").agg(F.countDistinct("ival").alias("from")).groupBy(*at_shift).agg(F.max("from").alias("from"))
+    judged = judged_shifts.join(forward, at_shift, "left").join(backward, at_shift, "left").select(
+        *pair, F.struct(F.expr("coalesce(`to`, 1) = 1 and coalesce(`from`, 1) = 1").alias("fits"), "n", (-F.col("shift")).alias("back"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("changed", F.lit(0)).alias("changed")).alias("s")
+    ).groupBy(*pair).agg(F.max("s").alias("s")).join(verbatim, ["doc", "item"], "left")
+    return judged.where(F.col("s.fits") | (F.coalesce("n_exact", F.lit(0)) >= need)).select(
+        F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), F.col("s.n_slots").cast("long").alias("n_slots"),
+        F.when(~F.col("s.fits") | (F.col("s.changed") == 0), "exact").otherwise("reparameterised").alias("kind"),
     )

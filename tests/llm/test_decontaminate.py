@@ -47,3 +47,19 @@ def test_against_sets_of_windows(spark):
 def test_empty_tables(spark):
     assert leaks(spark, [], [(1, QUESTION)]) == {}
     assert leaks(spark, [(1, QUESTION)], []) == {}
+
+
+LONG = "Every morning the old baker fills 9 trays with small round loaves and carries them slowly down the narrow stairs to the shop where his daughter sells them until 11 when the market closes for the day"
+
+
+def test_verbatim_copies_outrank_slots(spark):
+    twice = LONG.replace(" 9 ", " 11 ")
+    reused = LONG + " and the baker counts 11 coins"
+    docs = [(1, "so " + twice), (2, "so " + reused.replace("until 11", "until 12"))]
+    assert leaks(spark, docs, [(10, LONG), (11, reused)]) == {(1, 10): "exact", (1, 11): "exact", (2, 10): "reparameterised", (2, 11): "exact"}
+
+
+def test_every_shift_is_judged(spark):
+    wrong = QUESTION.replace("towards Lyon", "towards Madrid", 1).replace("Paris", "Rome")
+    right = QUESTION.replace("Paris", "Rome").replace("Lyon", "Milan").replace("120", "350").replace("9 ", "7 ").replace("11 ", "8 ")
+    assert leaks(spark, [(1, f"so {wrong}. And so {right}."), (2, f"so {right}. And so {wrong}."), (3, f"so {wrong}. And so {wrong}.")], [(10, QUESTION)]) == {(1, 10): "reparameterised", (2, 10): "reparameterised"}
