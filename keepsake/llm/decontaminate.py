@@ -81,6 +81,26 @@ def benchmark_windows(benchmark: DataFrame, size: int, item_id: str, text: str)
     return solid.select("item", "at", "window").join(counts, "item")
 
 
+def _whole_words(text: Column) -> Column:
+    """The words with their values and without the slots' types, which depend on what stands before."""
+    return let(words_of(marked(text), True), lambda v: F.transform(v, lambda x: F.regexp_replace(x, "⟨[a-z]+⟩", "")))
+
+
+def _whole_items(docs: DataFrame, benchmark: DataFrame, bench: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, broadcast_rows: int) -> DataFrame | None:
+    """(doc, item, n_slots) of the documents that hold, word for word, an item of which ``bench`` has no window; None without such items."""
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), _whole_words(F.col(item_text)).alias("v"), F.size(F.filter(words_of(marked(F.col(item_text)), False), lambda x: x.startswith("⟨"))).alias("n_slots"))
+    short = items.where(F.size("v") > 0).join(bench.select("item").distinct(), "item", "left_anti").select("item", F.size("v").alias("length"), F.xxhash64("v").alias("whole"), "n_slots")
+    short = staged(short.groupBy("item", "length", "whole").agg(F.max("n_slots").alias("n_slots")), "whole-items")
+    lengths = sorted(r.length for r in short.select("length").distinct().collect())
+    if not lengths:
+        return None
+    words = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), _whole_words(F.col(text)).alias("v"))
+    of_length = lambda k: F.transform(F.array_distinct(window_hashes(F.col("v"), k)), lambda h: F.struct(F.lit(k).alias("length"), h.alias("whole")))
+    runs = F.flatten(F.array(*[of_length(k) for k in lengths]))
+    held = words.select("doc", F.explode(runs).alias("r")).select("doc", "r.length", "r.whole")
+    return held.join(bounded(short, broadcast_rows), ["length", "whole"]).groupBy("doc", "item").agg(F.max("n_slots").alias("n_slots"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other numbers, names and units in its slots.
 
@@ -91,9 +111,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: floa
 
     The benchmark's windows are broadcast after a count; beyond ``broadcast_rows`` (24 bytes each) they are
     joined by a shuffle. All windows of all documents take part, whole texts. The second step reads only the
-    candidates' texts, by a join on the id that is broadcast under the same bound. Items shorter than
-    ``size`` words have no window and are never found; null or empty texts match nothing; null ids are left
-    out. Rows that repeat an id count together; repeated items count once. Empty tables give no rows.
+    candidates' texts, by a join on the id that is broadcast under the same bound. Items without a window
+    (shorter than ``size`` words, or more slots than words all along) are found where they stand word for
+    word, values included, by the hash of the whole item: one pass for each of their lengths; they count as
+    one window. Null or empty texts match nothing; null ids are left out. Rows that repeat an id count together; repeated items count once. Empty tables give no rows.
 
     Returns doc_id, item_id, n_windows (of the item), n_matched, n_slots (aligned), kind: ``exact`` or
     ``reparameterised``.
@@ -127,7 +148,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: floa
     judged = judged_shifts.join(forward, at_shift, "left").join(backward, at_shift, "left").select(
         *pair, F.struct(F.expr("coalesce(`to`, 1) = 1 and coalesce(`from`, 1) = 1").alias("fits"), "n", (-F.col("shift")).alias("back"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("changed", F.lit(0)).alias("changed")).alias("s")
     ).groupBy(*pair).agg(F.max("s").alias("s")).join(verbatim, ["doc", "item"], "left")
-    return judged.where(F.col("s.fits") | (F.coalesce("n_exact", F.lit(0)) >= need)).select(
+    found = judged.where(F.col("s.fits") | (F.coalesce("n_exact", F.lit(0)) >= need)).select(
         F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), F.col("s.n_slots").cast("long").alias("n_slots"),
         F.when(~F.col("s.fits") | (F.col("s.changed") == 0), "exact").otherwise("reparameterised").alias("kind"),
     )
+    whole = _whole_items(docs, benchmark, bench, doc_id, text, item_id, item_text, broadcast_rows)
+    if whole is None:
+        return found
+    return found.unionByName(whole.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.lit(1).cast("long").alias("n_windows"), F.lit(1).cast("long").alias("n_matched"), F.col("n_slots").cast("long").alias("n_slots"), F.lit("exact").alias("kind")))

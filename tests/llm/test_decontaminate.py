@@ -63,3 +63,10 @@ def test_every_shift_is_judged(spark):
     wrong = QUESTION.replace("towards Lyon", "towards Madrid", 1).replace("Paris", "Rome")
     right = QUESTION.replace("Paris", "Rome").replace("Lyon", "Milan").replace("120", "350").replace("9 ", "7 ").replace("11 ", "8 ")
     assert leaks(spark, [(1, f"so {wrong}. And so {right}."), (2, f"so {right}. And so {wrong}."), (3, f"so {wrong}. And so {wrong}.")], [(10, QUESTION)]) == {(1, 10): "reparameterised", (2, 10): "reparameterised"}
+
+
+def test_items_without_a_window(spark):
+    names = "Paris London Rome Berlin Madrid Vienna Prague Oslo Dublin Athens"
+    items = [(10, "what is the capital"), (11, "12 + 7 - 3 = 16, 16 km + 4 km = 20 km, 5 + 5 = 10"), (12, names), (13, ""), (14, "-- !")]
+    docs = [(1, "He asked: What is the capital? Nobody knew"), (2, "see 12 + 7 - 3 = 16, 16 km + 4 km = 20 km, 5 + 5 = 10."), (3, f"the cities {names}"), (4, "what is a capital"), (5, "see 12 + 7 - 3 = 17, 17 km + 4 km = 21 km, 5 + 5 = 10."), (6, None)]
+    assert leaks(spark, docs, items) == {(1, 10): "exact", (2, 11): "exact", (3, 12): "exact"}
