@@ -50,14 +50,16 @@ def wav(samples: bytes, tag: int, rate: int = 8000, bits: int = 8, block: int =
 
 
 def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
-    """(format tag, rate, block size, sample bytes) by walking the chunks; ValueError if it is no WAV."""
+    """(format tag, rate, block size, sample bytes) by walking the chunks; ValueError if it is no WAV of one channel."""
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("no RIFF/WAVE header")
     at, tag, rate, block = 12, 0, 0, 1
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
-            tag, _, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            tag, channels, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            if channels != 1:
+                raise ValueError(f"{channels} channels")
         elif name == b"data":
             return tag, rate, block, media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
@@ -68,7 +70,7 @@ def decode_adpcm(data: bytes, block: int) -> np.ndarray:
     """IMA ADPCM mono blocks to PCM: the steps of a block follow each other, all blocks go side by side.
 
     Each block: a first sample (int16), a step index, a zero byte, then two 4-bit codes a byte, low half
-    first. A last block that is not whole is dropped.
+    first. Whole blocks only: ``to_pcm`` decodes a shorter last one by itself.
     """
     n = len(data) // block if block > 4 else 0
     if not n:
@@ -94,7 +96,14 @@ def to_pcm(media: bytes) -> tuple[np.ndarray, int]:
     if tag in TABLES:
         return TABLES[tag][np.frombuffer(data, dtype=np.uint8)], rate
     if tag == IMA_ADPCM:
-        return decode_adpcm(data, block), rate
+        if block <= 4:
+            raise ValueError(f"ADPCM blocks of {block} bytes")
+        rest = data[len(data) - len(data) % block :]
+        if len(rest) > 4:
+            last = decode_adpcm(rest, len(rest))
+        else:  # no codes: the first sample is all there is
+            last = np.frombuffer(rest[:2] if len(rest) >= 2 else b"", dtype="<i2").astype(np.int16)
+        return np.concatenate([decode_adpcm(data, block), last]), rate
     if tag == PCM:
         return np.frombuffer(data[: len(data) & ~1], dtype="<i2").astype(np.int16), rate
     raise ValueError(f"format {tag}")
@@ -157,3 +166,15 @@ def decode_audio(df: DataFrame, media: str = "media", to_rate: int = 16000, keep
     small = df.select(*keep, F.col(media).alias("_media"))
     schema = ", ".join(f"`{c}` {t}" for c, t in small.dtypes[:-1]) + (", " if keep else "") + "samples binary, pcm binary, feature string, error string"
     return small.mapInArrow(read, schema)
+
+
+def pcm_features(df: DataFrame, pcm: str = "pcm", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and the ``feature`` of stored PCM files; null for a null file. Rows are independent."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if x is None else features(*to_pcm(x)) for x in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, pa.string())], names=[*keep, "feature"])
+
+    small = df.select(*keep, F.col(pcm).alias("_pcm"))
+    return small.mapInArrow(read, ", ".join(f"`{c}` {t}" for c, t in small.dtypes[:-1]) + (", " if keep else "") + "feature string")

@@ -75,7 +75,8 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = stored.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     back = audio.decode_audio(sha, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     size = F.octet_length("samples")
-    return back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    told = back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "pcm")
+    return audio.pcm_features(staged(told, "pcm", "zstd"), keep=tuple(told.columns[:-1]))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

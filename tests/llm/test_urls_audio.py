@@ -114,3 +114,25 @@ def test_query(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert got[4].feature == got[6].feature
+
+
+def test_short_last_blocks_and_channels(spark):
+    raw = np.random.default_rng(3).integers(0, 256, 2 * 32 + 9, dtype=np.uint8)
+    raw[2::32] %= 89
+    for n in (73, 64, 9, 68, 66, 65):
+        data = raw[:n].tobytes()
+        rest = data[n - n % 32 :]
+        want = [v for k in range(n // 32) for v in plain_adpcm(data[32 * k : 32 * k + 32])] + (plain_adpcm(rest.ljust(4, b"\0")) if len(rest) > 1 else [])
+        assert audio.to_pcm(audio.wav(data, audio.IMA_ADPCM, 8000, 4, 32))[0].tolist() == want
+    stereo = bytearray(audio.wav(bytes(range(64)), audio.MULAW))
+    stereo[22:24] = b"\2\0"
+    [row] = audio.decode_audio(spark.createDataFrame([(bytes(stereo),)], "media binary")).collect()
+    assert row.samples is None and row.pcm is None and row.error == "2 channels"
+
+
+def test_features_are_of_the_stored_pcm(spark, tmp_path):
+    text = "some words of a text " * 20
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    [row] = queries.op7_media_columns(spark, str(tmp_path)).collect()
+    pcm, rate = audio.to_pcm(audio.wav(text.encode().ljust(-(-len(text) // 64) * 64, b"\0"), audio.MULAW))
+    assert row.feature == audio.features(audio.resample(pcm, rate, 16000), 16000)
