@@ -78,6 +78,41 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(run, _ROW)
 
 
+def _windows(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """(window, doc_id, start): all runs of ``least`` words around the selected positions in ``wanted``, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, starts, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+            for text, asked in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                w = Words(text)
+                at = minimisers(w, least)
+                at = at[np.isin(w.runs(at, at + SEED).view(np.int64), np.array(asked, dtype=np.int64))]
+                edge = np.zeros(w.n + 2, dtype=np.int64)
+                np.add.at(edge, np.maximum(at + SEED - least, 0), 1)
+                np.add.at(edge, at + 1, -1)
+                start = np.flatnonzero(edge[: max(w.n - least + 1, 0)].cumsum() > 0)
+                hashes.append(w.runs(start, start + least))
+                starts.append(start)
+                lengths.append(len(start))
+            owner = b.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), owner, pa.array(np.concatenate(starts))], names=["window", "doc_id", "start"])
+
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(run, "window long, doc_id long, start long")
+
+
+def _shared_windows(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """(doc_id, start, end, other) of every run of ``least`` words that another document has.
+
+    Neighbours in an order are few, so what stands between two suffixes can hide a match of theirs; equal
+    windows can't be hidden. Counts combine before the shuffle, and adaptive execution splits the way back.
+    """
+    windows = staged(_windows(docs, wanted, least), "windows")
+    again = windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    met = windows.join(again, "window").select("doc_id", "start", (F.col("start") + least).alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
+    return staged(met, "shared-windows")
+
+
 def _matrix(values: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Binary values as rows of word codes, and their lengths in words."""
     raw = values.to_pylist()
@@ -175,18 +210,19 @@ def repeated_passages(docs: DataFrame, least: int = 50, near: int = 2) -> DataFr
     Suffixes are kept at minimiser positions whose seed occurs in two documents; they are sorted once by the
     words that follow and once by the words before, each is compared with its next ``near`` neighbours of
     another document, and matches are extended to both sides and merged. A passage that many documents share
-    links each to its neighbours, never all to all, so the result grows with the text.
+    links each to its neighbours, never all to all, so the result grows with the text. Matches that no two
+    neighbours have are found by the hashes of all runs of ``least`` words around those positions.
 
     Words are compared unchanged. Null ids and null, empty or short texts give nothing; rows that repeat an
     id count as one document, and repeats inside a document alone are not reported. Extra columns are not
-    read. Returns (doc_id, start, n_words, other_id): merged spans in words, and the least of the partners.
+    read. Returns (doc_id, start, n_words, other_id): merged spans in words, and the least of the partners met.
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
     seeds = staged(_seeds(known, least), "seeds")
     again = seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
     wanted = seeds.join(again, "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     suffixes = staged(_suffixes(known, wanted, least), "suffixes")
-    found = _sorted_matches(suffixes, "key", least, near).unionByName(_sorted_matches(suffixes, "back", least, near))
+    found = _sorted_matches(suffixes, "key", least, near).unionByName(_sorted_matches(suffixes, "back", least, near)).unionByName(_shared_windows(known, wanted, least))
     spans = found.groupBy("doc_id", "start", "end").agg(F.min("other").alias("other")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other"))).alias("s"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,other:bigint>>")
 

@@ -50,3 +50,18 @@ def test_planted_passages(spark):
 
 def test_empty_table(spark):
     assert found(spark, [], 50, "4") == {}
+
+
+def test_matches_behind_nearer_neighbours(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, d = [], 0
+    for _ in range(12):  # headers and bodies that are recombined: only few documents have 20 words in a row
+        left, right = fresh(20), fresh(20)
+        shapes = [(10, 10), (10, 10)] + [(2, 17), (17, 2), (3, 16), (16, 3)] * 6
+        for a, b in shapes:
+            rows.append((d, " ".join(fresh(9) + left[20 - a :] + right[:b] + fresh(9))))
+            d += 1
+    rng.shuffle(rows)
+    got, want = found(spark, rows, 20, "4"), plain(rows, 20)
+    assert want and got == want
