@@ -65,3 +65,14 @@ def test_matches_behind_nearer_neighbours(spark):
     rng.shuffle(rows)
     got, want = found(spark, rows, 20, "4"), plain(rows, 20)
     assert want and got == want
+
+
+def test_a_passage_repeated_inside_a_document(spark):
+    passage = [f"p{i}" for i in range(20)]
+    long = " ".join(w for i in range(40) for w in [*passage, f"x{i}"])
+    rows = [(1, long), (2, "y " + " ".join(passage) + " z")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert found(spark, rows, 20, "13") == plain(rows, 20)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
