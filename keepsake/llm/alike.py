@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.components import connected_components
+from keepsake.llm.decontaminate import bounded
 from keepsake.llm.staging import staged
 from keepsake.llm.substrings import Words, mix
 
@@ -105,17 +106,17 @@ def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     """(doc_id, component_id): the least id reachable over pairs whose shingle sets have the similarity.
 
     Every such pair meets under a key (``part_keys``), and none is linked without its whole sets being
-    compared. Equal sets are one node, so copies cost nothing. Within a key all are first compared with two
+    compared. Equal sets are one node. Within a key all are first compared with two
     of them; only where several components are left there, pairs across components are compared as well:
     all of them. Texts without words are alike. Null ids are left out; rows that repeat an id count together.
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
     sets = staged(_sets(known, width, similarity), "alike")
-    nodes = staged(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s")).select("node", "doc_id", "s.n", "s.keys"), "alike-nodes")
+    nodes = staged(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "alike-nodes")
     least = nodes.select("node", "doc_id")
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    shared = staged(keyed.join(ends, "key"), "alike-keys")
+    keyed = sets.select("node", "n", F.explode("keys").alias("key"))
+    ends = staged(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "alike-ends")
+    shared = staged(keyed.join(bounded(ends, 1_000_000), "key").distinct(), "alike-keys")
     stars = shared.select(F.explode(F.array(F.struct(F.least("node", "lo").alias("src"), F.greatest("node", "lo").alias("dst")), F.struct(F.least("node", "hi").alias("src"), F.greatest("node", "hi").alias("dst")))).alias("e")).select("e.*").where("src <> dst")
     edges = _verified(staged(stars.distinct(), "alike-stars"), known, least, width, similarity)
     member = staged(connected_components(edges), "alike-components")
