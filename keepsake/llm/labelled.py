@@ -23,3 +23,8 @@ def training_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     return known.where("y = 1").orderBy(*order).limit(per_class).unionByName(known.where("y = 0").orderBy(*order).limit(per_class))
+
+
+def class_share(labels: DataFrame, label: str) -> float | None:
+    """The share of label 1 among all labelled rows that are not held out; None without any."""
+    return labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg(F.col(label).cast("double"))).first()[0]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.labelled import training_sample
+from keepsake.llm.labelled import class_share, training_sample
 from keepsake.llm.staging import staged
 
 FEATURES = (
@@ -124,13 +124,13 @@ def fit_quality(table: DataFrame, labels: DataFrame, label: str = "quality", per
     """Trees from at most ``per_class`` labelled rows of each class, none of them held out.
 
     Only the sample's ids are broadcast and only its features come to the driver: at most 2 x ``per_class``
-    rows of 22 floats. Classes are weighted back to their shares among all labelled rows.
+    rows of 22 floats. Classes are weighted back to their shares among all labelled rows that are not held out.
     """
     sample = training_sample(labels, label, per_class)
     rows = table.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "features").toPandas().sort_values("doc_id", kind="stable")
     y = rows["y"].to_numpy(dtype=np.float64)
     x = np.stack(rows["features"].to_numpy()).astype(np.float32) if len(rows) else np.zeros((0, len(FEATURES)), np.float32)
-    totals = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    totals = class_share(labels, label)
     weight = np.ones(len(y))
     if len(y) and 0 < y.mean() < 1 and totals:
         weight = np.where(y == 1, totals / y.mean(), (1 - totals) / (1 - y.mean()))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.labelled import training_sample
+from keepsake.llm.labelled import class_share, training_sample
 from keepsake.llm.staging import staged
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -140,7 +140,8 @@ def mine_terms(sample: DataFrame, clean_weight: float, voters: int, least: int =
     """The terms that speak for the label in the sample: count them in Spark, bring the best few hundred here.
 
     A term needs ``least`` toxic documents and a (reweighted) precision of 0.8. Copies of a document would
-    make all its words look telling, so documents that agree on their signature count once.
+    make all its words look telling, so of documents that agree on their signature one counts: the least by
+    label, id and text, whatever the order of the rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +154,7 @@ def mine_terms(sample: DataFrame, clean_weight: float, voters: int, least: int =
                     pos.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([pos[t] for t in n], pa.int64())], names=["term", "n", "pos"])
 
-    one_each = sample.dropDuplicates(["signature"]).select("text", "y")
+    one_each = sample.groupBy("signature").agg(F.min(F.struct("y", "doc_id", "text")).alias("m")).select("m.text", "m.y")
     counts = one_each.mapInArrow(run, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     clean = (F.col("n") - F.col("pos")) * clean_weight
     best = counts.where((F.col("pos") >= least) & (F.col("pos") / (F.col("pos") + clean + 0.5) >= 0.8)).orderBy(F.desc("pos"), "term").limit(8 * voters).collect()
@@ -169,7 +170,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
     """``keep`` and ``score`` (0 to 1, higher: more likely toxic) for every document, over whole texts.
 
     Fitting sees at most ``per_class`` labelled documents of each class, none of them held out: their ids are
-    broadcast, their texts stay in the shared folder, and only 0/1 votes come to the driver. Null and empty
+    broadcast, their texts stay in the shared folder, and only their votes and three counts as floats come to
+    the driver. Neither the order of the rows nor how they are dealt to tasks changes a score. Null and empty
     texts have no hit and are scored as such. Repeated rows are all kept and scored alike; without usable
     labels there are no voters and all texts score alike. Scoring is one pass without a shuffle.
     """
@@ -180,8 +182,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([signature(t) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "text", "y", "signature"])
 
-    sample = staged(small.select("doc_id", "text", "y").mapInArrow(sign, "doc_id long, text string, y int, signature long"), "toxicity")
-    share = labels.where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.1
+    sample = staged(small.select("doc_id", "text", "y").mapInArrow(sign, f"doc_id {dict(small.dtypes)['doc_id']}, text string, y int, signature long"), "toxicity")
+    share = class_share(labels, label) or 0.1
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     clean_weight = (1 - share) / share * sizes.get(1, 0) / max(sizes.get(0, 0), 1)
     found = Voters(mine_terms(sample, clean_weight, voters))

@@ -99,3 +99,115 @@ def test_without_rows_or_labels(spark):
         assert len({r.score for r in score(docs, none).collect()}) == 1
         assert score(docs.limit(0), none).count() == 0
     assert quality.filter_quality(docs, none).count() == 2
+
+
+def test_held_out_labels_change_no_score(spark, tmp_path):
+    corpus(spark, tmp_path)
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    ids = [r.doc_id for r in labels.collect() if r.doc_id is not None and held_out(r.doc_id)]
+    assert len(ids) > 90
+    for value in (0, 1):
+        turned = labels.selectExpr("doc_id", *[f"case when doc_id in ({','.join(map(str, ids))}) then {value} else {c} end as {c}" for c in ("quality", "toxic")])
+        for score in (quality.score_quality, toxicity.score_toxicity):
+            assert sorted(map(tuple, score(docs, turned).collect())) == sorted(map(tuple, score(docs, labels).collect()))
+        assert quality.filter_quality(docs, turned).count() == quality.filter_quality(docs, labels).count()
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, tmp_path):
+    corpus(spark, tmp_path)
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 9 = 1").selectExpr("doc_id + 5000 as doc_id", "concat(text, ' nolim') as text", "y", "score"))
+    labels = labels.unionByName(labels.where("doc_id % 9 = 1").selectExpr("doc_id + 5000 as doc_id", "quality", "toxic", "text"))
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        runs = [sorted(map(tuple, score(d, labels.repartition(k)).collect())) for k, d in ((1, docs.coalesce(1)), (7, docs.repartition(7, "text")), (3, docs.orderBy("text")))]
+        assert runs[0] == runs[1] == runs[2]
+
+
+def plain_label_model(votes, prior, start, rounds):
+    """The label model with loops over documents and voters."""
+    n, k, q = len(votes), len(votes[0]), list(start)
+    for _ in range(rounds):
+        total = sum(q)
+        a = [(sum(q[i] * votes[i][j] for i in range(n)) + 0.05) / (total + 0.1) for j in range(k)]
+        b = [(sum((1 - q[i]) * votes[i][j] for i in range(n)) + 0.05) / (n - total + 1.0) for j in range(k)]
+        left = [[votes[i][j] - q[i] * a[j] - (1 - q[i]) * b[j] for j in range(k)] for i in range(n)]
+        cov = [[sum(left[i][j] * left[i][m] for i in range(n)) / n for m in range(k)] for j in range(k)]
+        corr = [[cov[j][m] / (max(cov[j][j], 1e-9) * max(cov[m][m], 1e-9)) ** 0.5 for m in range(k)] for j in range(k)]
+        part = [1 / (1 + sum(max(corr[j][m] - 0.1, 0) for m in range(k) if m != j)) for j in range(k)]
+        new = []
+        for i in range(n):
+            odds = np.log(prior / (1 - prior))
+            for j in range(k):
+                odds += part[j] * (np.log(a[j] / b[j]) if votes[i][j] else np.log((1 - a[j]) / (1 - b[j])))
+            new.append(1 / (1 + np.exp(-odds)))
+        q = new
+    return a, b, corr, part, q
+
+
+def test_label_model_against_loops():
+    rng = np.random.default_rng(9)
+    y = rng.random(150) < 0.3
+    votes = np.stack([rng.random(150) < np.where(y, a, b) for a, b in ((0.7, 0.1), (0.5, 0.05), (0.6, 0.2))], axis=1).astype(float)
+    votes = np.hstack([votes, votes[:, :1]])
+    start = np.clip(votes.sum(axis=1) * 0.4 + 0.05, 0, 0.95)
+    model = toxicity.fit_label_model(votes, 0.3, start, rounds=5)
+    a, b, corr, part, q = plain_label_model(votes.tolist(), 0.3, start.tolist(), 5)
+    for got, want in ((model.in_toxic, a), (model.in_clean, b), (model.correlation, corr), (model.discount, part), (model.posterior, q)):
+        assert np.allclose(got, want, atol=1e-9)
+
+
+def test_linear_fit_against_plain_descent():
+    rng = np.random.default_rng(5)
+    x, weight = rng.normal(size=(200, 3)), rng.random(200) + 0.5
+    q = 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5] + 0.3)))
+    got = toxicity.fit_linear(x, q, weight, l2=0.02, rounds=60)
+    w, share = [0.0] * 4, (weight / weight.sum()).tolist()
+    for _ in range(6000):  # gradient descent on the same penalised loss
+        grad = [0.002 * w[0], 0.002 * w[1], 0.002 * w[2], 1e-6 * w[3]]
+        for row, target, s in zip(x[:, :].tolist(), q.tolist(), share, strict=True):
+            p = 1 / (1 + np.exp(-(sum(c * v for c, v in zip(w, row, strict=False)) + w[3])))
+            for j, v in enumerate([*row, 1.0]):
+                grad[j] += s * (p - target) * v
+        w = [c - 4 * g for c, g in zip(w, grad, strict=True)]
+        if max(map(abs, grad)) < 1e-7:
+            break
+    assert np.allclose(got, w, atol=1e-3)
+
+
+def plain_trees(x, y, trees, depth, rate, bins, least, l2):
+    """Boosted trees with loops over nodes, features and cuts; margins of the rows after the last tree."""
+    n, f = x.shape
+    mean = y.mean()
+    margin = np.full(n, np.log(mean / (1 - mean)))
+    cuts = np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], axis=0).astype(np.float32)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = y - p, p * (1 - p)
+        groups = [np.arange(n)]
+        for _ in range(depth):
+            after = []
+            for rows in groups:
+                best, where = 1e-6, None
+                for j in range(f):
+                    for c in cuts[:, j]:
+                        left = rows[x[rows, j] <= c]
+                        right = rows[x[rows, j] > c]
+                        if len(left) < least or len(right) < least:
+                            continue
+                        gain = sum(g[s].sum() ** 2 / (h[s].sum() + l2) for s in (left, right)) - g[rows].sum() ** 2 / (h[rows].sum() + l2)
+                        if gain > best + 1e-9:
+                            best, where = gain, (left, right)
+                after += list(where or (rows, rows[:0]))
+            groups = after
+        for rows in groups:
+            margin[rows] += rate * g[rows].sum() / (h[rows].sum() + l2)
+    return margin
+
+
+def test_tree_fit_against_loops():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 3)).astype(np.float32)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] < -0.5)).astype(float)
+    model = quality.fit_trees(x, y, trees=4, depth=3, rate=0.3, bins=8, least=15, l2=1.0)
+    want = 1 / (1 + np.exp(-plain_trees(x, y, 4, 3, 0.3, 8, 15, 1.0)))
+    assert np.allclose(model.predict(x), want, atol=1e-6)
