@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.staging import staged
-from keepsake.llm.tokens import word_ids
+from keepsake.llm.tokens import encode_texts
 
 
 class OpenBins:
@@ -108,11 +108,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer)
         for b in batches:
             owner, piece, ids = [], [], []
-            for k, text in enumerate(b.column(len(keep)).to_pylist()):
-                every = ids_of.encode(text) + end
+            for k, own in enumerate(encode_texts(tokenizer, b.column(len(keep)).to_pylist())):
+                every = own + end
                 for p, at in enumerate(range(0, len(every), 4 * capacity)):
                     owner.append(k)
                     piece.append(p)
@@ -134,7 +133,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     the slices' counts, so a length that most pieces share is no single task. ``pieces`` must be a stored
     table, since it is read twice. Equal rows are told apart by nothing and take different places.
     """
-    cut = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(4096)).cast("int"))
+    key = F.xxhash64(*order)
+    if any(pieces.schema[c].nullable for c in order):  # rows without a key are dealt by what else they hold
+        key = F.when(F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in order]).contains("1"), F.xxhash64(*pieces.columns)).otherwise(key)
+    cut = pieces.withColumn("_slice", F.pmod(key, F.lit(4096)).cast("int"))
     sizes = staged(cut.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_bins(counts, capacity)

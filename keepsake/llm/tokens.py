@@ -1,88 +1,33 @@
-"""Token ids of whole texts from a public tokenizer file, with a memory of words seen before."""
+"""Token ids of whole texts, by the tokenizers library and a public tokenizer file."""
 
 from __future__ import annotations
 
-import unicodedata
-from array import array
+import os
+from collections.abc import Iterator
 from functools import lru_cache
 
-import regex
+import numpy as np
 from tokenizers import Tokenizer
 
-#: Fixed value: the pattern by which this vocabulary cuts lower-cased text before merging.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Separators of str.split() that are no white space to the tokenizer.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-
-def _printable() -> dict[int, str]:
-    """The usual one-character stand-ins of byte-level vocabularies: printable bytes stay, others follow 255."""
-    stay = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in stay]
-    return {b: chr(b) for b in stay} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-class _Pieces(dict):
-    """Piece of a word to the bytes of its ids."""
-
-    def __init__(self, model: object, limit: int) -> None:
-        super().__init__()
-        self._model, self._limit, self._shown = model, limit, _printable()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self._limit:
-            self.clear()
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._shown)
-        ids = self[piece] = array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
-        return ids
-
-
-class WordIds(dict):
-    """Word (run without white space) to its ids as little-endian 32-bit bytes.
-
-    No piece of this vocabulary spans white space, so a text's ids are its words' ids one after another;
-    words repeat, and a repeated word costs one look-up. The memory is emptied when it reaches ``limit``.
-    """
-
-    def __init__(self, path: str, limit: int = 500_000) -> None:
-        super().__init__()
-        self._whole, self._limit = Tokenizer.from_file(path), limit
-        self._pieces = _Pieces(self._whole.model, limit)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self._limit:
-            self.clear()
-        low = self._lower(word) if word.isascii() or unicodedata.is_normalized("NFC", word) else ""
-        if low.isalpha():
-            ids = self._pieces[low]
-        elif low[:-1].isalpha() and not low[-1].isalpha():
-            ids = self._pieces[low[:-1]] + self._pieces[low[-1]]
-        else:
-            ids = self._slow(word)
-        self[word] = ids
-        return ids
-
-    @staticmethod
-    def _lower(word: str) -> str:
-        return word.lower() if word.isascii() else word.replace("Σ", "σ").lower()
-
-    def _slow(self, word: str) -> bytes:
-        if "<|" in word:  # may hold a control token
-            return self.direct(word)
-        return b"".join([self._pieces[x] for x in _PIECES.findall(self._lower(unicodedata.normalize("NFC", word)))])
-
-    def direct(self, text: str) -> bytes:
-        return array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian 32-bit bytes."""
-        text = text or ""
-        if any(c in text for c in _ODD):
-            return self.direct(text)
-        return b"".join(map(self.__getitem__, text.split()))
+#: Bytes of text that are encoded in one call: an encoding is some fifty times as large as its text.
+CALL_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """One memory for each tokenizer file and Python worker."""
-    return WordIds(path)
+def tokenizer(path: str) -> Tokenizer:
+    """One tokenizer for each file and Python worker; a task has one core, so the library gets one thread."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Tokenizer.from_file(path)
+
+
+def encode_texts(path: str, texts: list[str | None]) -> Iterator[bytes]:
+    """The ids of each whole text (null: empty) as little-endian 32-bit bytes, in order, without special tokens."""
+    t, at = tokenizer(path), 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= CALL_BYTES):
+            size += len(texts[end] or "")
+            end += 1
+        for found in t.encode_batch_fast([x or "" for x in texts[at:end]], add_special_tokens=False):
+            yield np.array(found.ids, dtype="<u4").tobytes()
+        at = end

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from keepsake.llm import packing, queries
+from keepsake.llm import packing, queries, tokens
 
 
 def plain_bins(lengths, capacity):
@@ -78,3 +78,15 @@ def test_sequences_hold_the_ids(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, piece int, length long")).count() == 0
+
+
+def test_ids_of_every_code_point_are_the_library_s():
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c} a{c}b{c}" for c in points[at : at + 256]) for at in range(0, len(points), 256)]
+    texts += ["line\x08 one \x1b[0m red\x7f", None, "", "<|endoftext|> x<|startoftext|>y"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        reference = tokenizers.Tokenizer.from_file(public.path(name))
+        want = [b"".join(i.to_bytes(4, "little") for i in reference.encode(t or "", add_special_tokens=False).ids) for t in texts]
+        assert list(tokens.encode_texts(public.path(name), texts)) == want
