@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
+from keepsake.session import shared_dir
 
 LINK, ATTACH, SUGGEST, LOW = 0.62, 0.65, 0.55, 0.55
 PROTOTYPES = 5
@@ -77,12 +78,10 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40, write: Call
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; a temporary one is set only where none is."""
+    """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keepsake-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

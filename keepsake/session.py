@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold for a session this library opens itself; a session handed in keeps its own.
@@ -14,6 +16,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+_own: dict[str, str] = {}
+
 
 def get_spark(app: str = "keepsake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's defaults; keyword settings use ``__`` for dots."""
@@ -29,3 +33,18 @@ def get_spark(app: str = "keepsake", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; Spark's own reader, so any store Spark can open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine (tests) gets a temporary folder; a cluster must name one,
+    since its executors would not see a folder of the driver's machine.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="keepsake-")
+        _own[spark.sparkContext.applicationId] = found
+    return found.rstrip("/")
