@@ -4,27 +4,16 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+from keepsake.session import shared_dir
 
+_written: dict[str, SparkSession] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) is a temporary folder made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="keepsake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy", level: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back with the schema it had.
 
     What led to it is then no longer needed: a collection on the driver lets Spark's cleaner drop the shuffle
@@ -32,21 +21,37 @@ def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    _written.append((spark, path))
+    writer = df.write.option("compression", compression)
+    if level is not None:
+        writer = writer.option("parquet.compression.codec.zstd.level", str(level))
+    writer.parquet(path)
+    _written[path] = spark
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``staged`` gave and nothing reads any more; frames built on them are then invalid."""
+    for df in tables:
+        path = df.__dict__.get("_staged_path")
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def forget() -> None:
     """Remove what ``staged`` wrote; runs when the driver ends, and may be called sooner."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone by then
             return
