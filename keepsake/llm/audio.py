@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from keepsake.llm.staging import staged
 
 #: WAVE format tags.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
+#: Compression of stored files: PCM at twice the rate is four times as large, so more work is spent on it.
+MEDIA_LEVEL, PCM_LEVEL = 12, 14
 #: The IMA step sizes and index moves of the public ADPCM recommendation.
 STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118,
@@ -126,21 +129,32 @@ def features(pcm: np.ndarray, rate: int) -> str:
     return f"samples={len(x)} ms={len(x) * 1000 // max(rate, 1)} peak={int(np.abs(x).max())} energy={int((x * x).sum()) // len(x)} mean={int(x.sum()) // len(x)} crossings={int((signs[1:] != signs[:-1]).sum())}"
 
 
-def store_payloads(df: DataFrame, payload: str, tag: int = MULAW, rate: int = 8000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Store each row's payload bytes unchanged as the 8-bit samples of a telephony WAV file.
+def container(samples: bytes, tag: int, rate: int = 8000, block: int = 64) -> bytes:
+    """A telephony WAV file whose data bytes are ``samples``, unchanged, in the format ``tag``.
 
-    The rows are written as a Parquet table in the shared folder and read back: columns ``keep`` and
-    ``media``. Null payloads store a file without samples. No row is dropped and nothing is shuffled.
+    ADPCM takes ``block`` bytes as one block: a header of four, then two codes a byte.
+    """
+    if tag == IMA_ADPCM:
+        return wav(samples, tag, rate, 4, block, struct.pack("<H", 2 * (block - 4) + 1))
+    return wav(samples, tag, rate)
+
+
+def store_payloads(df: DataFrame, payload: str, formats: tuple[int, ...] = (MULAW, ALAW), rate: int = 8000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Store each row's payload bytes unchanged as the sample bytes of a telephony WAV file.
+
+    The format is one of ``formats``, by the payload's crc32, so equal payloads make equal files. The rows
+    are written as a Parquet table in the shared folder and read back: columns ``keep`` and ``media``. Null
+    payloads store a file without samples. No row is dropped and nothing is shuffled.
     """
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            media = [wav(x or b"", tag, rate) for x in b.column(len(keep)).to_pylist()]
+            media = [container(x or b"", formats[zlib.crc32(x or b"") % len(formats)], rate) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(media, pa.binary())], names=[*keep, "media"])
 
     small = df.select(*keep, F.col(payload).cast("binary").alias("_payload"))
     schema = ", ".join(f"`{c}` {t}" for c, t in small.dtypes[:-1]) + (", " if keep else "") + "media binary"
-    return staged(small.mapInArrow(wrap, schema), "audio", "zstd")
+    return staged(small.mapInArrow(wrap, schema), "audio", "zstd", MEDIA_LEVEL)
 
 
 def decode_audio(df: DataFrame, media: str = "media", to_rate: int = 16000, keep: tuple[str, ...] = ()) -> DataFrame:
