@@ -1,4 +1,4 @@
-"""Near-duplicates by shingle similarity: every pair of texts at a Jaccard similarity or above, verified."""
+"""Near-duplicates by shingle similarity: SimHash links first, then every other pair at the similarity; all verified."""
 
 from __future__ import annotations
 
@@ -7,14 +7,18 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.components import connected_components
 from keepsake.llm.decontaminate import bounded
-from keepsake.llm.staging import staged
+from keepsake.llm.simhash import majority, near_edges
+from keepsake.llm.staging import release, staged
 from keepsake.llm.substrings import Words, mix
 
+#: Words of 64 bits in a sketch, and in the short form of it that joins carry along.
+SKETCH, SHORT = 16, 4
+
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``width`` words, A-Z lower-cased; a shorter text is one run."""
@@ -28,105 +32,153 @@ def set_hash(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def size_bounds(similarity: float, upto: int) -> list[int]:
-    """Least sizes of classes such that alike sets are in one class or in two that follow each other."""
-    least, bounds = Fraction(str(similarity)), [1]
-    while len(bounds) < 3 or bounds[-3] <= upto:
-        bounds.append(int(bounds[-1] / least) + 1)
-    return bounds
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: bit k tells whether an odd number of items falls on it.
+
+    Common items of two sets cancel out, so their sketches differ in at most as many bits as the sets have
+    items that are not common: a bound that no pair breaks, unlike SimHash's estimate.
+    """
+    odd = np.bincount((mix(s) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def part_keys(s: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of which two unequal sets at the similarity or above have one in common at least.
+def prefix(s: np.ndarray, similarity: float, hot: np.ndarray) -> np.ndarray:
+    """The first items of a set in an order common to all sets: of two sets at the similarity, these have one in common.
 
-    Sets of n and m items at similarity s differ in at most (n + m)(1 - s)/(1 + s) items. The hashes are cut
-    by value into more parts than that, so some part is equal in both: one key a part, of all its items. A
-    set has keys for its own size class and for the one below, whose pairs it may be part of. Empty parts
-    have keys only where the others might all differ.
+    Such sets have at least ``similarity`` of either's items in common, so the rest of one can't hold them
+    all. The order is by hash, with the items in ``hot`` (sorted) last; any ``hot`` gives the same pairs, a
+    good one spares the comparison of all that share a common line.
     """
-    if not len(s):
-        return np.zeros(0, dtype=np.uint64)
-    bounds, least = size_bounds(similarity, len(s)), Fraction(str(similarity))
-    own = next(t for t in range(len(bounds) - 1) if bounds[t] <= len(s) < bounds[t + 1])
-    mixed, out = mix(s), []
-    for t in {own, max(own - 1, 0)}:
-        differ = int((bounds[t + 1] + bounds[t + 2] - 2) * (1 - least) / (1 + least))
-        parts = differ + (differ + 1) // 4 + 5
-        of = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        name = mix(np.arange(parts, dtype=np.uint64) + np.uint64((t + 1) << 32))
-        used = of[start].astype(np.int64)
-        out.append(mix(np.add.reduceat(mixed, start) ^ name[used]))
-        if len(used) <= differ:
-            out.append(mix(np.delete(name, used)))
-    return np.unique(np.concatenate(out))
-
-
-def _sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, node, n, keys) of every document: the number of its shingle set, its size and its keys."""
+    n, share = len(s), Fraction(str(similarity))
+    k = n - -(-n * share.numerator // share.denominator) + 1 if n else 0
+    if len(hot) and n:
+        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+        late = hot[at] == s
+        s = np.concatenate([s[~late], s[late]])
+    return s[:k]
+
+
+def _hot(docs: DataFrame, width: int, similarity: float, above: int, most: int) -> np.ndarray:
+    """The items that more than ``above`` prefixes have, the ``most`` frequent at most; counted in Spark over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
+        for b in batches:
+            items = np.concatenate([none, *[prefix(shingles(t, width), similarity, none) for t in b.column(0).to_pylist()]])
+            item, n = np.unique(items, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(item.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") > above).orderBy(F.desc("n"), "key").limit(most).select("key").toPandas()
+    return np.sort(found["key"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _sets(docs: DataFrame, width: int, similarity: float, hot: np.ndarray) -> DataFrame:
+    """(doc_id, node, n, fp, sketch, keys) of every document: number, size, SimHash, sketch and prefix of its set."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t, width) for t in b.column(1).to_pylist()]
-            keys = [part_keys(s, similarity).view(np.int64) for s in found]
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_hash(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), lists], names=["doc_id", "node", "n", "keys"])
+            fps = np.array([majority(s) for s in found], dtype=np.uint64).view(np.int64)
+            keys = lists([prefix(s, similarity, shared.value).view(np.int64) for s in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_hash(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(fps), lists([sketch(s) for s in found]), keys], names=names)
+
+    names = ["doc_id", "node", "n", "fp", "sketch", "keys"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, n long, fp long, sketch array<bigint>, keys array<bigint>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, keys array<bigint>")
+
+def _may(a: list[Column], b: list[Column], n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of n and m items with these sketches may have the similarity."""
+    share = Fraction(str(similarity))
+    differ = sum((F.bit_count(x.bitwiseXOR(y)).cast("long") for x, y in zip(a, b, strict=True)), F.lit(0).cast("long"))
+    sizes = F.least(n, m) * share.denominator >= F.greatest(n, m) * share.numerator
+    return sizes & (differ * (share.denominator + share.numerator) <= (n + m) * (share.denominator - share.numerator))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose sets have the similarity, counted on the whole sets."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose sets have the similarity: most others fall to their sketches, the rest are counted."""
     share = Fraction(str(similarity))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t, width) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "items"])
+            found = [shingles(t, width) for t in b.column(1).to_pylist()]
+            own = [set_hash(s) == node for s, node in zip(found, b.column(0).to_pylist(), strict=True)]  # an id may have several texts
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "items"]).filter(pa.array(own, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             stay = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 both = int((q[at] == p).sum())
                 stay.append(both * share.denominator >= share.numerator * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["src", "dst"]).filter(pa.array(stay, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    texts = docs.join(least.join(wanted, "node").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = staged(texts.mapInArrow(read, "node long, items binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "alike-sets")
+    parts = lambda side: [F.get(F.col(f"{side}_sketch"), F.lit(k)) for k in range(SKETCH)]
+    for side in ("src", "dst"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), side)
+    near = staged(pairs.where(_may(parts("src"), parts("dst"), F.col("src_n"), F.col("dst_n"), similarity)).select("src", "dst"), "alike-near")
+    wanted = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    texts = docs.join(nodes.join(wanted, "node").select("doc_id", "node"), "doc_id").select("node", "text")
+    sets = staged(texts.mapInArrow(read, "node long, items binary").dropDuplicates(["node"]), "alike-sets")
     a, b = (sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items")) for c in ("src", "dst"))
-    return staged(pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInArrow(compare, "src long, dst long"), "alike-edges")
+    edges = staged(near.join(a, "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInArrow(compare, "src long, dst long"), "alike-edges")
+    release(near, sets)
+    return edges
+
 
+def _simhash_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """(src, dst) of the sets whose SimHashes are within the radius: spanning links, found bit-sliced."""
+    of = staged(nodes.groupBy("fp").agg(F.min("node").alias("first")), "alike-fps")
+    same = nodes.join(of, "fp").select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    near = near_edges(of.select("fp"), radius)
+    for side in ("src", "dst"):
+        near = near.join(of.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node")), side)
+    return same.unionByName(near.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")))
 
-def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+
+def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, hot_above: int = 32, hot_most: int = 100_000) -> DataFrame:
     """(doc_id, component_id): the least id reachable over pairs whose shingle sets have the similarity.
 
-    Every such pair meets under a key (``part_keys``), and none is linked without its whole sets being
-    compared. Equal sets are one node. Within a key all are first compared with two
-    of them; only where several components are left there, pairs across components are compared as well:
-    all of them. Texts without words are alike. Null ids are left out; rows that repeat an id count together.
+    SimHash within ``radius`` bits, compared bit-sliced, offers the closest copies; the others meet under a
+    common item of their prefixes (``prefix``), where every alike pair meets. Under such an item all are first
+    compared with two of them; only where several components are left, pairs across components follow: they
+    are formed and dropped inside a join by a bound on their difference (``sketch``), so few are ever rows.
+    No pair is linked without its whole sets being compared, none at the similarity is left out. Equal sets
+    are one node. Items that more than ``hot_above`` prefixes have come last in the order of all prefixes (at
+    most ``hot_most`` of them, which bounds what the driver sees; the groups do not depend on either).
+
+    Texts without words are alike. Null ids are left out. Rows that repeat an id are all kept, each in the
+    group of its own text.
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    sets = staged(_sets(known, width, similarity), "alike")
-    nodes = staged(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "alike-nodes")
-    least = nodes.select("node", "doc_id")
-    keyed = sets.select("node", "n", F.explode("keys").alias("key"))
+    sets = staged(_sets(known, width, similarity, _hot(known, width, similarity, hot_above, hot_most)), "alike")
+    nodes = staged(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("sketch").alias("sketch")), "alike-nodes")
+    keyed = sets.select("node", F.explode("keys").alias("key"))
     ends = staged(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "alike-ends")
     shared = staged(keyed.join(bounded(ends, 1_000_000), "key").distinct(), "alike-keys")
-    stars = shared.select(F.explode(F.array(F.struct(F.least("node", "lo").alias("src"), F.greatest("node", "lo").alias("dst")), F.struct(F.least("node", "hi").alias("src"), F.greatest("node", "hi").alias("dst")))).alias("e")).select("e.*").where("src <> dst")
-    edges = _verified(staged(stars.distinct(), "alike-stars"), known, least, width, similarity)
+    stars = shared.select(F.explode(F.array(F.struct("lo", "node"), F.struct(F.col("node").alias("lo"), F.col("hi").alias("node")))).alias("e")).select(F.col("e.lo").alias("src"), F.col("e.node").alias("dst"))
+    first = staged(stars.unionByName(_simhash_pairs(nodes, radius)).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "alike-first")
+    edges = _verified(first, known, nodes, width, similarity)
     member = staged(connected_components(edges), "alike-components")
 
-    named = shared.select("node", "n", "key").join(member, "node", "left").select("node", "n", "key", F.coalesce("component", "node").alias("c"))
+    named = shared.select("node", "key").join(member, "node", "left").select("node", "key", F.coalesce("component", "node").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = staged(named.join(mixed, "key", "left_semi"), "alike-left")
-    other = left.select(F.col("node").alias("dst"), F.col("n").alias("m"), "key", F.col("c").alias("d"))
-    across = left.join(other, "key").where(F.expr(f"node < dst and c <> d and least(n, m) >= {similarity} * greatest(n, m)")).select(F.col("node").alias("src"), "dst").distinct()
-    more = _verified(staged(across, "alike-across"), known, least, width, similarity)
+    folded = lambda k: F.reduce(F.slice("sketch", 1, SKETCH), F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("x")), lambda a, v: F.struct((a["at"] + 1).alias("at"), F.when(F.pmod(a["at"], F.lit(SHORT)) == k, a["x"].bitwiseXOR(v)).otherwise(a["x"]).alias("x")), lambda a: a["x"])
+    short = nodes.select("node", "n", *[folded(k).alias(f"s{k}") for k in range(SHORT)])
+    left = staged(named.join(mixed, "key", "left_semi").join(short, "node"), "alike-left")
+    a, b = left.alias("a"), left.alias("b")
+    of = lambda side: [F.col(f"{side}.s{k}") for k in range(SHORT)]
+    may = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _may(of("a"), of("b"), F.col("a.n"), F.col("b.n"), similarity)
+    across = staged(a.join(b, may).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct(), "alike-across")
+    release(left, ends, first)
+    more = _verified(across, known, nodes, width, similarity)
 
     member = connected_components(edges.unionByName(more))
     joined = nodes.select("node", "doc_id").join(member, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

@@ -33,7 +33,11 @@ def fingerprint(text: str | None, width: int = 4) -> int:
         return h(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    hashes = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())), dtype="<u8")
+    return majority(np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that more than half of the hashes have set; 0 without hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from keepsake.llm import alike
 
@@ -53,3 +55,24 @@ def test_pipeline_links_at_that_similarity(spark):
     rows = [(1, " ".join(w), "en", "s", 1), (2, " ".join(edited), "en", "s", 1), (3, " ".join(f"v{i}" for i in range(104)), "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.distinct(spark, docs, "").collect()} == {1, 3}
+
+
+def test_an_id_with_several_texts_and_string_ids(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [("a", text(1)), ("b", text(2)), ("b", text(1) + " more"), ("c", text(2) + " more"), ("c", text(2) + " more"), ("d", text(3))]
+    got = alike.alike_groups(spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 as node", "2 as n"))
+    assert sorted(map(tuple, got.collect())) == [("a", "a"), ("b", "a"), ("b", "b"), ("c", "b"), ("c", "b"), ("d", "d")]
+
+
+def test_bounds_of_prefixes_and_sketches():
+    rng, none = np.random.default_rng(7), np.zeros(0, np.uint64)
+    for n in (1, 2, 3, 4, 5, 9, 40, 300):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 1 + n // 8), dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            differ = sum(int(x ^ y).bit_count() for x, y in zip(alike.sketch(a).view(np.uint64).tolist(), alike.sketch(b).view(np.uint64).tolist(), strict=True))
+            assert differ <= len(a) + len(b) - 2 * both
+            if len(b) and 5 * both >= 4 * (len(a) + len(b) - both):
+                for hot in (none, np.sort(rng.choice(a, len(a) // 2, replace=False))):
+                    assert len(np.intersect1d(alike.prefix(a, 0.8, hot), alike.prefix(b, 0.8, hot)))
