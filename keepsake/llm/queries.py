@@ -76,7 +76,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = audio.decode_audio(sha, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     size = F.octet_length("samples")
     told = back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "pcm")
-    return audio.pcm_features(staged(told, "pcm", "zstd"), keep=tuple(told.columns[:-1]))
+    return audio.pcm_features(staged(told, "pcm", "zstd", audio.PCM_LEVEL), keep=tuple(told.columns[:-1]))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The url filters on made links: all pages move to a path of their own, three of four name a hub of eight as canonical."""
+    hub = F.concat(F.lit("hub.org/"), (F.floor(F.col("page_id") / 8)).cast("string"))
+    kind, n = F.pmod("page_id", F.lit(4)), F.col("page_id").cast("string")
+    lang = F.element_at(F.array(F.lit("/en/"), F.lit("/es/"), F.lit("/it/")), (F.pmod("page_id", F.lit(3)) + 1).cast("int"))
+    html = (
+        F.when(kind == 1, F.concat(F.lit("<link rel='canonical' href='http://"), hub, F.lit("'>")))
+        .when(kind == 2, F.concat(F.lit('<link rel=alternate href=/other><LINK href="//'), hub, F.lit('" rel=canonical>')))
+        .when(kind == 3, F.concat(F.lit("<meta http-equiv=refresh content='0; url=http://"), hub, F.lit("'>")))
+    )
+    made = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://"), urls.host_of(F.col("url")), lang, n).alias("url"), html.alias("html"))
+    return urls.filter_urls(made, RULES).select("page_id", "rule", "verdict", F.col("component").isNotNull().alias("has_alias"))
+
+
 #: The pages of the tables declare no canonical link and no redirect, so the aliases add nothing to the rules there.
 OP10_SQL = r"""
 WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
@@ -105,6 +119,18 @@ SELECT q.page_id, q.host, q.path, m.rule, COALESCE(m.action, 'allow') AS verdict
 """
 
 
+ALIASES_SQL = r"""
+WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+q AS (SELECT page_id, COALESCE(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        ['/en/', '/es/', '/it/'][CAST(page_id % 3 + 1 AS INTEGER)] || page_id AS path FROM p),
+r(action, h, pre) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m AS (SELECT page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(action, length(h || pre)) AS action
+      FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id),
+j AS (SELECT q.page_id, m.rule, m.action, q.page_id % 4 <> 0 AND q.host <> '' AS has_alias, q.page_id // 8 AS hub FROM q LEFT JOIN m USING (page_id)),
+b AS (SELECT hub, bool_or(COALESCE(action, '') = 'block') AS blocked FROM j WHERE has_alias GROUP BY hub)
+SELECT j.page_id, j.rule, COALESCE(j.action, CASE WHEN j.has_alias AND b.blocked THEN 'block' END, 'allow') AS verdict, j.has_alias FROM j LEFT JOIN b USING (hub)
+"""
+
 OP1_SQL = r"""
 WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
@@ -140,8 +166,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
         "op10_url_filters": op10_url_filters,
+        "url_aliases": url_aliases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op10_url_filters": OP10_SQL, "url_aliases": ALIASES_SQL}

@@ -68,18 +68,53 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.reduce(own, F.lit(None).cast("struct<action:string,rule:string,path:string>"), lambda best, r: F.when(best.isNull() | (F.length(r["rule"]) > F.length(best["rule"])), r).otherwise(best))
 
 
+def plain_target(raw: Column) -> Column:
+    """A link's address as it is meant: trimmed, with the character references that addresses are written with."""
+    for told, meant in (("&quot;", '"'), ("&#39;", "'"), ("&#x2F;", "/"), ("&#x27;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):
+        raw = F.regexp_replace(raw, f"(?i){told}", meant)
+    return F.trim(raw)
+
+
+def absolute(target: Column, url: Column) -> Column:
+    """``target`` as a url, read from the page at ``url``; null for other schemes, bare fragments and empty targets.
+
+    Targets may be whole, begin with ``//``, ``/`` or ``?``, or be relative to the page's folder, where ``.``
+    and ``..`` are resolved.
+    """
+    host, path = host_of(url), path_of(url)
+    base = F.concat(F.lit("x://"), host)
+    own, query = F.regexp_extract(target, "^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_extract(F.when(path == "", F.lit("/")).otherwise(path), "^(.*/)", 1)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    steps = F.split(F.substring(whole, F.lit(2), F.length(whole)), "/", -1)
+    done = F.reduce(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    # a folder named by its dots alone ends in a slash
+    resolved = F.concat(F.lit("/"), F.array_join(done, "/"), F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(done) > 0), F.lit("/")).otherwise(F.lit("")))
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (target == "") | target.startswith("#") | (host == ""), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.lit("x:"), target))
+        .when(target.startswith("?"), F.concat(base, path, query))
+        .otherwise(F.concat(base, resolved, query))
+    )
+
+
 def declared_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) nodes from ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` of absolute urls."""
-    tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+    """(src, dst) nodes from every ``<link rel=canonical>`` and ``<meta http-equiv=refresh>``; ``absolute`` reads their targets.
+
+    A ``<base>`` tag is not heeded. Null urls and urls without a host have no edges.
+    """
     head = F.col(html)
-    canonical = F.regexp_extract(F.regexp_extract(head, tag, 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(head, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    value = lambda tag, name: F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*{form}", 1), F.lit("")) for form in ('"([^"]*)"', "'([^']*)'", "([^\"'\\s>]+)")])
+    tags = lambda name, needs: F.filter(F.regexp_extract_all(head, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0)), lambda t: t.rlike(rf"(?is)\b{needs}\b"))
+    canonical = F.transform(tags("link", r"rel\s*=\s*[\"']?[^\"'>]*\bcanonical"), lambda t: plain_target(value(t, "href")))
+    refresh = F.transform(tags("meta", r"http-equiv\s*=\s*[\"']?refresh"), lambda t: F.regexp_extract(plain_target(value(t, "content")), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     # most pages declare neither: one cheap look for the words spares them the patterns
     some = F.lower(head).contains("canonical") | F.lower(head).contains("refresh")
-    targets = F.when(some, F.array(canonical, refresh)).otherwise(F.array().cast("array<string>"))
+    targets = F.when(some, F.concat(canonical, refresh)).otherwise(F.array().cast("array<string>"))
     return (
-        pages.select(node_of(F.col(url)).alias("src"), F.explode(targets).alias("_to"))
-        .select("src", node_of(F.col("_to")).alias("dst"))
+        pages.select(F.col(url).alias("_from"), F.explode(targets).alias("_to"))
+        .select(node_of(F.col("_from")).alias("src"), node_of(absolute(F.col("_to"), F.col("_from"))).alias("dst"))
         .where("src is not null and dst is not null and src <> dst")
         .distinct()
     )

@@ -46,6 +46,35 @@ def test_aliases(spark):
     assert set(verdict(html=None).values()) == {"allow", "block"}
 
 
+def test_relative_and_several_links(spark):
+    link = lambda *attributes: "".join(f"<link {a}>" for a in attributes)
+    cases = [
+        ("http://h.org/d/e?q#f", link("rel=canonical href=/a/b?x#y"), "h.org/a/b?x"),
+        ("http://h.org/d/e", link("rel='stylesheet' href='/s.css'", "href='g' rel=\"canonical\""), "h.org/d/g"),
+        ("http://h.org/d/e/", link("rel=canonical href='../g/./k'"), "h.org/d/g/k"),
+        ("http://h.org", link("rel=canonical href=g"), "h.org/g"),
+        ("http://h.org/d", link('rel=canonical href="//O.org/z"'), "o.org/z"),
+        ("http://h.org/d", link("rel=canonical href='?a=1&amp;b=2'"), "h.org/d?a=1&b=2"),
+        ("http://h.org/d", link('rel=canonical href="http://o.org/it\'s"'), "o.org/it's"),
+        ("http://h.org/d", "<META content='3; URL=&quot;../m&quot;' http-equiv='refresh'>", "h.org/m"),
+        ("http://h.org/d", link("rel=canonical href='#top'", "rel=canonical href='mailto:a@b.org'", "rel=alternate href=/no", "rel=canonical href=''"), None),
+        (None, link("rel=canonical href=/a"), None),
+    ]
+    for url, html, want in cases:
+        got = urls.declared_edges(spark.createDataFrame([(url, html)], "url string, html string")).collect()
+        assert [r.dst for r in got] == ([want] if want else []), html
+    both = spark.createDataFrame([("http://h.org/d", link("rel=canonical href=/a", "rel=canonical href=/b") + "<meta http-equiv=refresh content='0;url=/c'>")], "url string, html string")
+    assert {r.dst for r in urls.declared_edges(both).collect()} == {"h.org/a", "h.org/b", "h.org/c"}
+
+
+def test_made_aliases_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in queries.url_aliases(spark, folder).collect()}
+    want = set(duckdb.sql(queries.oracle_sql()["url_aliases"].replace("FROM pages", f"FROM '{folder}/pages.parquet'")).fetchall())
+    assert got == want and {r[2] for r in got} == {"allow", "block"}
+
+
 def test_long_chains(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(200)] + [("x", "y"), ("x", "x"), (None, "x"), ("y", "x")] + [("hub", f"h{i}") for i in range(300)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
@@ -109,13 +138,36 @@ def test_query(spark, tmp_path):
     for d, t in enumerate(texts):
         raw = (t or "").encode()
         full = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
-        media = audio.wav(full, audio.MULAW)
+        media = audio.wav(full, (audio.MULAW, audio.ALAW)[zlib.crc32(full) % 2])
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert got[4].feature == got[6].feature
 
 
+def test_every_format_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "cast(text as binary) as p", "1 as media", "2 as feature")
+    formats = (audio.MULAW, audio.ALAW, audio.IMA_ADPCM)
+    stored = audio.store_payloads(docs, "p", formats, keep=("doc_id", "p"))
+    rows, seen = audio.decode_audio(stored, keep=("doc_id", "p", "media")).collect(), set()
+    for r in rows:
+        raw = bytes(r.p or b"")
+        tag, rate, block, data = audio.read_wav(bytes(r.media))
+        assert (tag, rate, data, bytes(r.samples)) == (formats[zlib.crc32(raw) % 3], 8000, raw, raw)
+        if tag == audio.IMA_ADPCM:
+            want = [v for at in range(0, len(raw), block) if len(raw) - at > 1 for v in plain_adpcm(raw[at : at + block].ljust(4, b"\0"))]
+        else:
+            want = [{audio.MULAW: plain_mulaw, audio.ALAW: plain_alaw}[tag](c) for c in raw]
+        assert np.frombuffer(audio.read_wav(bytes(r.pcm))[3], dtype="<i2")[::2].tolist() == want and r.error is None
+        seen.add(tag)
+    assert seen == set(formats) and len(rows) == docs.count()
+
+
+def test_audio_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op7_media_columns(spark, str(tmp_path)).count() == 0
+
+
 def test_short_last_blocks_and_channels(spark):
     raw = np.random.default_rng(3).integers(0, 256, 2 * 32 + 9, dtype=np.uint8)
     raw[2::32] %= 89
@@ -134,5 +186,6 @@ def test_features_are_of_the_stored_pcm(spark, tmp_path):
     text = "some words of a text " * 20
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     [row] = queries.op7_media_columns(spark, str(tmp_path)).collect()
-    pcm, rate = audio.to_pcm(audio.wav(text.encode().ljust(-(-len(text) // 64) * 64, b"\0"), audio.MULAW))
+    full = text.encode().ljust(-(-len(text) // 64) * 64, b"\0")
+    pcm, rate = audio.to_pcm(audio.wav(full, (audio.MULAW, audio.ALAW)[zlib.crc32(full) % 2]))
     assert row.feature == audio.features(audio.resample(pcm, rate, 16000), 16000)
