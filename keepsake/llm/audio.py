@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.staging import staged
+from keepsake.llm.staging import staged_parts
 
 #: WAVE format tags.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
-#: Compression of stored files: PCM at twice the rate is four times as large, so more work is spent on it.
-MEDIA_LEVEL, PCM_LEVEL = 12, 14
+#: Level of compression of stored files: PCM at twice the rate is four times as large as its samples.
+LEVEL = 6
 #: The IMA step sizes and index moves of the public ADPCM recommendation.
 STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118,
@@ -139,12 +139,13 @@ def container(samples: bytes, tag: int, rate: int = 8000, block: int = 64) -> by
     return wav(samples, tag, rate)
 
 
-def store_payloads(df: DataFrame, payload: str, formats: tuple[int, ...] = (MULAW, ALAW), rate: int = 8000, keep: tuple[str, ...] = ()) -> DataFrame:
+def store_payloads(df: DataFrame, payload: str, formats: tuple[int, ...] = (MULAW, ALAW), rate: int = 8000, keep: tuple[str, ...] = (), parts: int = 1) -> list[DataFrame]:
     """Store each row's payload bytes unchanged as the sample bytes of a telephony WAV file.
 
     The format is one of ``formats``, by the payload's crc32, so equal payloads make equal files. The rows
-    are written as a Parquet table in the shared folder and read back: columns ``keep`` and ``media``. Null
-    payloads store a file without samples. No row is dropped and nothing is shuffled.
+    are written to the shared folder as Parquet, as up to ``parts`` tables that can be released one by one,
+    and read back: columns ``keep`` and ``media``. Null payloads store a file without samples. No row is
+    dropped and nothing is shuffled.
     """
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def store_payloads(df: DataFrame, payload: str, formats: tuple[int, ...] = (MULA
 
     small = df.select(*keep, F.col(payload).cast("binary").alias("_payload"))
     schema = ", ".join(f"`{c}` {t}" for c, t in small.dtypes[:-1]) + (", " if keep else "") + "media binary"
-    return staged(small.mapInArrow(wrap, schema), "audio", "zstd", MEDIA_LEVEL)
+    return staged_parts(small.mapInArrow(wrap, schema), "audio", parts, "zstd", LEVEL)
 
 
 def decode_audio(df: DataFrame, media: str = "media", to_rate: int = 16000, keep: tuple[str, ...] = ()) -> DataFrame:

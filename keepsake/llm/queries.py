@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm import audio, chat, decontaminate, packing, quality, simhash, substrings, suffixes, toxicity, urls
 from keepsake.llm.labelled import held_out
-from keepsake.llm.staging import staged
+from keepsake.llm.staging import release, staged
 from keepsake.session import table
 
 RULES: list[urls.Rule] = [
@@ -71,12 +72,15 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = F.greatest(F.lit(64), F.ceil(n / 64) * 64).cast("int")
     zeros = F.unhex(F.repeat(F.lit("00"), padded - n))
     docs = table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n_bytes"), F.concat(text, zeros).alias("payload"))
-    stored = audio.store_payloads(docs, "payload", keep=("doc_id", "n_bytes"))
-    sha = stored.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    back = audio.decode_audio(sha, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
-    size = F.octet_length("samples")
-    told = back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "pcm")
-    return audio.pcm_features(staged(told, "pcm", "zstd", audio.PCM_LEVEL), keep=tuple(told.columns[:-1]))
+    done = []
+    for media in audio.store_payloads(docs, "payload", keep=("doc_id", "n_bytes"), parts=8):
+        sha = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+        back = audio.decode_audio(sha, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+        size = F.octet_length("samples")
+        told = back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "pcm")
+        done.append(staged(told, "pcm", "zstd", audio.LEVEL))
+        release(media)  # so the files and their much larger PCM are never on disk together as a whole
+    return reduce(DataFrame.unionByName, [audio.pcm_features(pcm, keep=tuple(pcm.columns[:-1])) for pcm in done])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import atexit
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
 
 from keepsake.session import shared_dir
 
@@ -19,12 +20,29 @@ def staged(df: DataFrame, label: str, compression: str = "snappy", level: int |
     What led to it is then no longer needed: a collection on the driver lets Spark's cleaner drop the shuffle
     files of plans that nothing refers to, so a job of several steps holds about one step's shuffles.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    path = _new_path(df, label)
+    _writer(df, compression, level).parquet(path)
+    return _back(df, path)
+
+
+def staged_parts(df: DataFrame, label: str, parts: int, compression: str = "snappy", level: int | None = None) -> list[DataFrame]:
+    """As ``staged``, but as up to ``parts`` tables of whole input partitions, each of which can be released by itself."""
+    path = _new_path(df, label)
+    _writer(df.withColumn("_part", F.spark_partition_id() % parts), compression, level).partitionBy("_part").parquet(path)
+    return [_back(df, f"{path}/_part={k}") for k in range(parts) if _folder(df.sparkSession, f"{path}/_part={k}")] or [df.sparkSession.createDataFrame([], df.schema)]
+
+
+def _new_path(df: DataFrame, label: str) -> str:
+    return f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
+
+
+def _writer(df: DataFrame, compression: str, level: int | None) -> DataFrameWriter:
     writer = df.write.option("compression", compression)
-    if level is not None:
-        writer = writer.option("parquet.compression.codec.zstd.level", str(level))
-    writer.parquet(path)
+    return writer if level is None else writer.option("parquet.compression.codec.zstd.level", str(level))
+
+
+def _back(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
     _written[path] = spark
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -38,12 +56,14 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = df.__dict__.get("_staged_path")
         if path in _written:
-            _delete(_written.pop(path), path)
+            _folder(_written.pop(path), path, delete=True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _folder(spark: SparkSession, path: str, delete: bool = False) -> bool:
+    """Whether the folder is there; with ``delete`` it is removed."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(where, True) if delete else files.exists(where)
 
 
 @atexit.register
@@ -52,6 +72,6 @@ def forget() -> None:
     while _written:
         path, spark = _written.popitem()
         try:
-            _delete(spark, path)
+            _folder(spark, path, delete=True)
         except Exception:  # noqa: BLE001  the session may be gone by then
             return

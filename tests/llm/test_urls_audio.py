@@ -148,7 +148,7 @@ def test_query(spark, tmp_path):
 def test_every_format_on_a_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "cast(text as binary) as p", "1 as media", "2 as feature")
     formats = (audio.MULAW, audio.ALAW, audio.IMA_ADPCM)
-    stored = audio.store_payloads(docs, "p", formats, keep=("doc_id", "p"))
+    [stored] = audio.store_payloads(docs, "p", formats, keep=("doc_id", "p"))
     rows, seen = audio.decode_audio(stored, keep=("doc_id", "p", "media")).collect(), set()
     for r in rows:
         raw = bytes(r.p or b"")
