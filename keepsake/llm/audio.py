@@ -129,6 +129,13 @@ def features(pcm: np.ndarray, rate: int) -> str:
     return f"samples={len(x)} ms={len(x) * 1000 // max(rate, 1)} peak={int(np.abs(x).max())} energy={int((x * x).sum()) // len(x)} mean={int(x.sum()) // len(x)} crossings={int((signs[1:] != signs[:-1]).sum())}"
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows: decoded audio is many times as large as what came in."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def container(samples: bytes, tag: int, rate: int = 8000, block: int = 64) -> bytes:
     """A telephony WAV file whose data bytes are ``samples``, unchanged, in the format ``tag``.
 
@@ -149,7 +156,7 @@ def store_payloads(df: DataFrame, payload: str, formats: tuple[int, ...] = (MULA
     """
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             media = [container(x or b"", formats[zlib.crc32(x or b"") % len(formats)], rate) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(media, pa.binary())], names=[*keep, "media"])
 
@@ -167,7 +174,7 @@ def decode_audio(df: DataFrame, media: str = "media", to_rate: int = 16000, keep
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             rows = []
             for x in b.column(len(keep)).to_pylist():
                 try:
@@ -187,7 +194,7 @@ def pcm_features(df: DataFrame, pcm: str = "pcm", keep: tuple[str, ...] = ()) ->
     """``keep`` and the ``feature`` of stored PCM files; null for a null file. Rows are independent."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             found = [None if x is None else features(*to_pcm(x)) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, pa.string())], names=[*keep, "feature"])
 
