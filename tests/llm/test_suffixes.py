@@ -76,3 +76,21 @@ def test_a_passage_repeated_inside_a_document(spark):
         assert found(spark, rows, 20, "13") == plain(rows, 20)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_slices_of_one_text_among_decoys(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(70)]  # every slice shares words with all others, few share 20 in a row
+    rows = []
+    for d in range(2000):
+        a = rng.randrange(60)
+        n = rng.randint(5, 19) if d % 300 else rng.randint(20, 30)
+        rows.append((d, " ".join([f"x{d}", *base[a : a + n], f"y{d}"])))
+    got, want = found(spark, rows, 20, "13"), plain(rows, 20)
+    assert len(want) >= 5 and got == want
+
+
+def test_string_ids(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([("a", words), ("b", "x " + words), ("c", None)], "doc_id string, text string")
+    assert sorted(map(tuple, suffixes.repeated_passages(df, 20).collect())) == [("a", 0, 30, "b"), ("b", 1, 30, "a")]
