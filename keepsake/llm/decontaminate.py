@@ -68,91 +68,115 @@ def window_hashes(words: Column, size: int) -> Column:
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, to be broadcast if a count shows that it has at most ``rows`` rows; else joined by a shuffle."""
+    """``df``, to be broadcast if a count shows that it has at most ``rows`` rows; else joined by a shuffle.
+
+    For tables of a few numbers or single words a row, so the count bounds the bytes as well.
+    """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def benchmark_windows(benchmark: DataFrame, size: int, item_id: str, text: str) -> DataFrame:
-    """(item, at, window, n_windows): the items' windows with at least as many words as slots."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words_of(marked(F.col(text)), False).alias("w")).distinct()
-    rows = items.select("item", "w", F.posexplode(window_hashes(F.col("w"), size)).alias("at", "window"))
-    solid = rows.where(F.size(F.filter(F.slice("w", F.col("at") + 1, size), lambda x: x.startswith("⟨"))) * 2 <= size)
-    counts = solid.groupBy("item").agg(F.countDistinct("window").alias("n_windows"))
-    return solid.select("item", "at", "window").join(counts, "item")
+def item_classes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, member, w, v): every item with its words as template (w) and with values (v), and its class.
+
+    Items of one class have the same template, and their slots are equal to each other at the same places, so
+    one can't be told from another by a document with new values. ``item`` is the least of the class, of which
+    ``member`` is one; an item id with several texts is a member by each. Null ids are left out.
+    """
+    told = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("member"), marked(F.coalesce(F.col(text), F.lit(""))).alias("m"))
+    words = told.select("member", words_of(F.col("m"), False).alias("w"), words_of(F.col("m"), True).alias("v")).distinct()
+    places = F.transform("v", lambda x: F.when(x.startswith("⟨"), F.array_position("v", x)).otherwise(F.lit(0)))
+    keyed = words.withColumn("_k", F.xxhash64("w", places))
+    return keyed.join(keyed.groupBy("_k").agg(F.min("member").alias("item")), "_k").select("item", "member", "w", "v")
+
+
+def class_windows(items: DataFrame, size: int) -> DataFrame:
+    """(item, at, window, n_windows): the classes' template windows with at least as many words as slots."""
+    rows = items.select("item", "w", F.posexplode(window_hashes(F.col("w"), size)).alias("at", "window")).where(F.size(F.filter(F.slice("w", F.col("at") + 1, size), lambda x: x.startswith("⟨"))) * 2 <= size)
+    solid = rows.select("item", "at", "window").distinct()
+    return solid.join(solid.groupBy("item").agg(F.countDistinct("window").alias("n_windows")), "item")
 
 
-def _whole_words(text: Column) -> Column:
-    """The words with their values and without the slots' types, which depend on what stands before."""
-    return let(words_of(marked(text), True), lambda v: F.transform(v, lambda x: F.regexp_replace(x, "⟨[a-z]+⟩", "")))
+def _bare(valued: Column) -> Column:
+    """Valued words without the slots' types, which depend on what stands before."""
+    return F.transform(valued, lambda x: F.regexp_replace(x, "⟨[a-z]+⟩", ""))
 
 
-def _whole_items(docs: DataFrame, benchmark: DataFrame, bench: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, broadcast_rows: int) -> DataFrame | None:
-    """(doc, item, n_slots) of the documents that hold, word for word, an item of which ``bench`` has no window; None without such items."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), _whole_words(F.col(item_text)).alias("v"), F.size(F.filter(words_of(marked(F.col(item_text)), False), lambda x: x.startswith("⟨"))).alias("n_slots"))
-    short = items.where(F.size("v") > 0).join(bench.select("item").distinct(), "item", "left_anti").select("item", F.size("v").alias("length"), F.xxhash64("v").alias("whole"), "n_slots")
-    short = staged(short.groupBy("item", "length", "whole").agg(F.max("n_slots").alias("n_slots")), "whole-items")
+def _whole_items(docs: DataFrame, items: DataFrame, bench: DataFrame, doc_id: str, text: str, broadcast_rows: int) -> DataFrame | None:
+    """(doc, item, n_items, n_slots) of the documents that hold, word for word, an item of which ``bench`` has no window; None without such items."""
+    left = items.where(F.size("v") > 0).join(bench.select("item").distinct(), "item", "left_anti")
+    shown = left.select("member", _bare(F.col("v")).alias("b"), F.size(F.filter("w", lambda x: x.startswith("⟨"))).alias("n_slots"))
+    short = staged(shown.groupBy(F.size("b").alias("length"), F.xxhash64("b").alias("whole")).agg(F.min("member").alias("item"), F.countDistinct("member").alias("n_items"), F.max("n_slots").alias("n_slots")), "whole-items")
     lengths = sorted(r.length for r in short.select("length").distinct().collect())
     if not lengths:
         return None
-    words = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), _whole_words(F.col(text)).alias("v"))
+    words = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), let(words_of(marked(F.col(text)), True), _bare).alias("v"))
     of_length = lambda k: F.transform(F.array_distinct(window_hashes(F.col("v"), k)), lambda h: F.struct(F.lit(k).alias("length"), h.alias("whole")))
-    runs = F.flatten(F.array(*[of_length(k) for k in lengths]))
-    held = words.select("doc", F.explode(runs).alias("r")).select("doc", "r.length", "r.whole")
-    return held.join(bounded(short, broadcast_rows), ["length", "whole"]).groupBy("doc", "item").agg(F.max("n_slots").alias("n_slots"))
+    held = words.select("doc", F.explode(F.flatten(F.array(*[of_length(k) for k in lengths]))).alias("r")).select("doc", "r.length", "r.whole")
+    return held.join(bounded(short, broadcast_rows), ["length", "whole"]).select("doc", "item", "n_items", "n_slots").distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other numbers, names and units in its slots.
 
-    A document is a candidate for an item if it has ``share`` of the item's template windows of ``size`` words.
-    It is found if so many match with their values too. Else the slots decide: at one of the distances between
-    the two texts that have the share (or at the most frequent, if none has), equal values of the item must
-    stand for equal values of the document, and different for different, else the candidate goes.
+    Items are taken by classes (``item_classes``): re-parameterised versions of one question are one item
+    here, so their number does not multiply the result. A document is a candidate for an item if it has
+    ``share`` of the item's template windows of ``size`` words. It is found if so many match with a member's
+    values too. Else the slots decide: at one of the distances between the two texts that have the share (or
+    at the most frequent, if none has), equal values of the item must stand for equal values of the document,
+    and different for different, else the candidate goes.
 
-    The benchmark's windows are broadcast after a count; beyond ``broadcast_rows`` (24 bytes each) they are
+    The benchmark's windows (rows of numbers) are broadcast after a count; beyond ``broadcast_rows`` they are
     joined by a shuffle. All windows of all documents take part, whole texts. The second step reads only the
     candidates' texts, by a join on the id that is broadcast under the same bound. Items without a window
-    (shorter than ``size`` words, or more slots than words all along) are found where they stand word for
-    word, values included, by the hash of the whole item: one pass for each of their lengths; they count as
-    one window. Null or empty texts match nothing; null ids are left out. Rows that repeat an id count together; repeated items count once. Empty tables give no rows.
+    (shorter than ``size`` words, or more slots than words all along: such templates fit too much to be
+    trusted) are found where they stand word for word, values included, by the hash of the whole item: one
+    pass for each of their lengths; they count as one window, and equal ones as one item. Null or empty texts
+    match nothing; null ids are left out. Rows that repeat an id count together. Empty tables give no rows.
 
-    Returns doc_id, item_id, n_windows (of the item), n_matched, n_slots (aligned), kind: ``exact`` or
+    Returns doc_id, item_id (the least of the class), n_items (members of the class), n_windows (of the item),
+    n_matched, n_slots (aligned), kind: ``exact`` (all that matched has a member's values) or
     ``reparameterised``.
     """
-    bench = staged(benchmark_windows(benchmark, size, item_id, item_text), "benchmark-windows")
+    items = staged(item_classes(benchmark, item_id, item_text), "items")
+    bench = staged(class_windows(items, size), "benchmark-windows")
     hashed = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.explode(window_hashes(words_of(marked(F.col(text)), False), size)).alias("window"))
     keys = bench.select("window", "item", "n_windows").distinct()
     met = hashed.join(bounded(keys, broadcast_rows), "window").groupBy("doc", "item", "n_windows").agg(F.countDistinct("window").alias("n_matched"))
-    candidates = staged(met.where(F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * share))), "candidates")
+    need = F.greatest(F.lit(1), F.ceil(F.col("n_windows") * share))
+    candidates = staged(met.where(F.col("n_matched") >= need), "candidates")
 
-    few = bounded(candidates, broadcast_rows)
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("_t")).join(bounded(candidates.select("doc").distinct(), broadcast_rows), "doc", "left_semi").distinct()
     theirs = texts.select("doc", marked(F.col("_t")).alias("m")).select("doc", words_of(F.col("m"), False).alias("w"), words_of(F.col("m"), True).alias("v"))
-    at_docs = theirs.select("doc", "v", F.posexplode(window_hashes(F.col("w"), size)).alias("d_at", "window")).join(few, "doc").join(bounded(bench.select("item", F.col("at").alias("i_at"), "window"), broadcast_rows), ["item", "window"])
-    aligned = at_docs.select("doc", "item", "n_windows", "n_matched", (F.col("d_at") - F.col("i_at")).alias("shift"), "i_at", "window", F.slice("v", F.col("d_at") + 1, size).alias("dv"))
-    need = F.greatest(F.lit(1), F.ceil(F.col("n_windows") * share))
+    places = bounded(bench.select("item", F.col("at").alias("i_at"), "window"), broadcast_rows)
+    at_docs = theirs.select("doc", "v", F.posexplode(window_hashes(F.col("w"), size)).alias("d_at", "window")).join(bounded(candidates, broadcast_rows), "doc").join(places, ["item", "window"])
+    aligned = staged(at_docs.select("doc", "item", "n_windows", "n_matched", (F.col("d_at") - F.col("i_at")).alias("shift"), "i_at", "window", F.slice("v", F.col("d_at") + 1, size).alias("dv")), "aligned")
     pair, at_shift = ["doc", "item", "n_windows", "n_matched"], ["doc", "item", "shift"]
     shifts = aligned.groupBy(*pair, "shift").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("window").alias("n_here"))
     most = shifts.groupBy("doc", "item").agg(F.max("n").alias("most"))
     judged_shifts = staged(shifts.join(most, ["doc", "item"]).where((F.col("n_here") >= need) | (F.col("n") == F.col("most"))).drop("most", "n_here"), "shifts")
-    ours = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words_of(marked(F.col(item_text)), True).alias("iv")).distinct()
-    verbatim = aligned.join(bounded(ours, broadcast_rows), "item").where(F.slice("iv", F.col("i_at") + 1, size) == F.col("dv")).groupBy("doc", "item").agg(F.countDistinct("window").alias("n_exact"))
+    valued = items.select("item", F.posexplode(window_hashes(F.col("v"), size)).alias("i_at", "own")).distinct()
+    verbatim = aligned.withColumn("own", F.xxhash64("dv")).join(bounded(valued, broadcast_rows), ["item", "i_at", "own"], "left_semi").groupBy("doc", "item").agg(F.countDistinct("window").alias("n_exact"))
     cells = (
         aligned.select(*at_shift, F.posexplode("dv").alias("o", "dval"), "i_at").where(F.col("dval").startswith("⟨"))
         .join(judged_shifts.select(*at_shift), at_shift)
         .select(*at_shift, (F.col("i_at") + F.col("o")).alias("place"), "dval").distinct()
     )
-    slots = cells.join(bounded(ours, broadcast_rows), "item").select(*at_shift, "dval", F.get(F.col("iv"), F.col("place")).alias("ival"))
-    forward = slots.groupBy(*at_shift, "ival").agg(F.countDistinct("dval").alias("to"), F.count(F.lit(1)).alias("n_slots"), F.sum((F.col("ival") != F.col("dval")).cast("int")).alias("changed")).groupBy(*at_shift).agg(F.max("to").alias("to"), F.sum("n_slots").alias("n_slots"), F.sum("changed").alias("changed"))
+    # the slots of one member stand for all: they are equal to each other at the same places
+    ours = items.where("item = member").groupBy("item").agg(F.min("v").alias("v")).select("item", F.posexplode("v").alias("place", "ival")).where(F.col("ival").startswith("⟨"))
+    slots = cells.join(bounded(ours, broadcast_rows), ["item", "place"]).select(*at_shift, "dval", "ival")
+    forward = slots.groupBy(*at_shift, "ival").agg(F.countDistinct("dval").alias("to"), F.count(F.lit(1)).alias("n_slots")).groupBy(*at_shift).agg(F.max("to").alias("to"), F.sum("n_slots").alias("n_slots"))
     backward = slots.groupBy(*at_shift, "dval").agg(F.countDistinct("ival").alias("from")).groupBy(*at_shift).agg(F.max("from").alias("from"))
     judged = judged_shifts.join(forward, at_shift, "left").join(backward, at_shift, "left").select(
-        *pair, F.struct(F.expr("coalesce(`to`, 1) = 1 and coalesce(`from`, 1) = 1").alias("fits"), "n", (-F.col("shift")).alias("back"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("changed", F.lit(0)).alias("changed")).alias("s")
+        *pair, F.struct(F.expr("coalesce(`to`, 1) = 1 and coalesce(`from`, 1) = 1").alias("fits"), "n", (-F.col("shift")).alias("back"), F.coalesce("n_slots", F.lit(0)).alias("n_slots")).alias("s")
     ).groupBy(*pair).agg(F.max("s").alias("s")).join(verbatim, ["doc", "item"], "left")
-    found = judged.where(F.col("s.fits") | (F.coalesce("n_exact", F.lit(0)) >= need)).select(
-        F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), F.col("s.n_slots").cast("long").alias("n_slots"),
-        F.when(~F.col("s.fits") | (F.col("s.changed") == 0), "exact").otherwise("reparameterised").alias("kind"),
+    exact, long = F.coalesce("n_exact", F.lit(0)), "long"
+    sizes = items.groupBy("item").agg(F.countDistinct("member").alias("n_items"))
+    found = judged.where(F.col("s.fits") | (exact >= need)).join(bounded(sizes, broadcast_rows), "item").select(
+        F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_items", F.col("n_windows").cast(long), F.col("n_matched").cast(long), F.col("s.n_slots").cast(long).alias("n_slots"),
+        F.when(~F.col("s.fits") | (exact >= F.col("n_matched")), "exact").otherwise("reparameterised").alias("kind"),
     )
-    whole = _whole_items(docs, benchmark, bench, doc_id, text, item_id, item_text, broadcast_rows)
+    whole = _whole_items(docs, items, bench, doc_id, text, broadcast_rows)
     if whole is None:
         return found
-    return found.unionByName(whole.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.lit(1).cast("long").alias("n_windows"), F.lit(1).cast("long").alias("n_matched"), F.col("n_slots").cast("long").alias("n_slots"), F.lit("exact").alias("kind")))
+    one = F.lit(1).cast(long)
+    return found.unionByName(whole.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_items", one.alias("n_windows"), one.alias("n_matched"), F.col("n_slots").cast(long).alias("n_slots"), F.lit("exact").alias("kind")))

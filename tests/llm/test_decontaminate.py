@@ -41,6 +41,7 @@ def test_against_sets_of_windows(spark):
         docs.append((d, " ".join(w)))
     windows = lambda t: {tuple(t.split()[i : i + 8]) for i in range(len(t.split()) - 7)}
     want = {(d, i) for d, t in docs for i, b in items if windows(b) and len(windows(b) & windows(t)) >= max(1, -(-len(windows(b)) // 2))}
+    want |= {(d, i) for d, t in docs for i, b in items if not windows(b) and f" {b} " in f" {t} "}
     assert want and set(leaks(spark, docs, items)) == want
 
 
@@ -70,3 +71,19 @@ def test_items_without_a_window(spark):
     items = [(10, "what is the capital"), (11, "12 + 7 - 3 = 16, 16 km + 4 km = 20 km, 5 + 5 = 10"), (12, names), (13, ""), (14, "-- !")]
     docs = [(1, "He asked: What is the capital? Nobody knew"), (2, "see 12 + 7 - 3 = 16, 16 km + 4 km = 20 km, 5 + 5 = 10."), (3, f"the cities {names}"), (4, "what is a capital"), (5, "see 12 + 7 - 3 = 17, 17 km + 4 km = 21 km, 5 + 5 = 10."), (6, None)]
     assert leaks(spark, docs, items) == {(1, 10): "exact", (2, 11): "exact", (3, 12): "exact"}
+
+
+def test_versions_of_one_question_are_one_item(spark):
+    def version(a, b, c, d):
+        return QUESTION.replace("Paris", a).replace("Lyon", b).replace("9 ", f"{c} ").replace("11 ", f"{d} ")
+
+    names = ["Rome", "Milan", "Oslo", "Bern", "Cadiz", "Porto", "Turin", "Genoa"]
+    items = [(i, version(names[i % 8], names[(i + 3) % 8], i + 20, i + 400)) for i in range(30, 60)] + [(70, version("Rome", "Milan", 5, 5))]
+    docs = [(d, f"so {version(names[d % 8], names[(d + 1) % 8], d + 200, d + 300)}.") for d in range(20)] + [(50, f"so {items[17][1]}."), (51, f"so {version('Bern', 'Oslo', 6, 6)}.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_items) for r in rows}
+    assert len(rows) == len(got)
+    assert got == {(d, 30): ("reparameterised", 30) for d in range(20)} | {(50, 30): ("exact", 30), (51, 70): ("reparameterised", 1)}
+    classes = decontaminate.item_classes(spark.createDataFrame(items, "item_id long, text string")).select("item", "member").collect()
+    assert {(r.item, r.member) for r in classes} == {(30, i) for i in range(30, 60)} | {(70, 70)}
