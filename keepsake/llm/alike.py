@@ -125,11 +125,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, s
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), side)
     near = staged(pairs.where(_may(parts("src"), parts("dst"), F.col("src_n"), F.col("dst_n"), similarity)).select("src", "dst"), "alike-near")
     wanted = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    texts = docs.join(nodes.join(wanted, "node").select("doc_id", "node"), "doc_id").select("node", "text")
-    sets = staged(texts.mapInArrow(read, "node long, items binary").dropDuplicates(["node"]), "alike-sets")
+    owners = staged(nodes.join(wanted, "node").select("doc_id", "node"), "alike-owners")
+    sets = staged(docs.join(bounded(owners, 1_000_000), "doc_id").select("node", "text").mapInArrow(read, "node long, items binary"), "alike-sets")
+    # the pairs are short: they go to the sets, and of each pair's two sets one is sent to the other
     a, b = (sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items")) for c in ("src", "dst"))
-    edges = staged(near.join(a, "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInArrow(compare, "src long, dst long"), "alike-edges")
-    release(near, sets)
+    edges = staged(a.join(bounded(near, 1_000_000), "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInArrow(compare, "src long, dst long"), "alike-edges")
+    release(near, owners, sets)
     return edges
 
 
