@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.staging import staged_parts
+from keepsake.llm.staging import few_rows, staged_parts
 
 #: WAVE format tags.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
@@ -129,13 +129,6 @@ def features(pcm: np.ndarray, rate: int) -> str:
     return f"samples={len(x)} ms={len(x) * 1000 // max(rate, 1)} peak={int(np.abs(x).max())} energy={int((x * x).sum()) // len(x)} mean={int(x.sum()) // len(x)} crossings={int((signs[1:] != signs[:-1]).sum())}"
 
 
-def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of some rows: decoded audio is many times as large as what came in."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def container(samples: bytes, tag: int, rate: int = 8000, block: int = 64) -> bytes:
     """A telephony WAV file whose data bytes are ``samples``, unchanged, in the format ``tag``.
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def staged_parts(df: DataFrame, label: str, parts: int, compression: str = "snap
     return [_back(df, f"{path}/_part={k}") for k in range(parts) if _folder(df.sparkSession, f"{path}/_part={k}")] or [df.sparkSession.createDataFrame([], df.schema)]
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows, where what is made of them is many times as large."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _new_path(df: DataFrame, label: str) -> str:
     return f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
 
