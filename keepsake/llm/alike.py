@@ -100,6 +100,19 @@ def _may(a: list[Column], b: list[Column], n: Column, m: Column, similarity: flo
     return sizes & (differ * (share.denominator + share.numerator) <= (n + m) * (share.denominator - share.numerator))
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """As ``sketch``, with at least as many bits as the set has items: a power of two, so a wider one folds into a narrower."""
+    bits = max(64 * SKETCH, 1 << max(len(s) - 1, 0).bit_length())
+    odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ: no more than the items that the sets don't have in common."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose sets have the similarity: most others fall to their sketches, the rest are counted."""
     share = Fraction(str(similarity))
@@ -108,7 +121,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, s
         for b in few_rows(batches):
             found = [shingles(t, width) for t in b.column(1).to_pylist()]
             own = [set_hash(s) == node for s, node in zip(found, b.column(0).to_pylist(), strict=True)]  # an id may have several texts
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "items"]).filter(pa.array(own, pa.bool_()))
+            wide, items = (pa.array(x, pa.binary()) for x in ([wide_sketch(s) for s in found], [s.tobytes() for s in found]))
+            yield pa.RecordBatch.from_arrays([b.column(0), wide, items], names=["node", "wide", "items"]).filter(pa.array(own, pa.bool_()))
+
+    def bounded_difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few_rows(batches):
+            stay = [least_difference(x, y) * (share.denominator + share.numerator) <= total * (share.denominator - share.numerator) for total, x, y in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["src", "dst"]).filter(pa.array(stay, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_rows(batches):
@@ -123,14 +142,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, s
     parts = lambda side: [F.get(F.col(f"{side}_sketch"), F.lit(k)) for k in range(SKETCH)]
     for side in ("src", "dst"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), side)
-    near = staged(pairs.where(_may(parts("src"), parts("dst"), F.col("src_n"), F.col("dst_n"), similarity)).select("src", "dst"), "alike-near")
+    near = staged(pairs.where(_may(parts("src"), parts("dst"), F.col("src_n"), F.col("dst_n"), similarity)).select("src", "dst", (F.col("src_n") + F.col("dst_n")).alias("total")), "alike-near")
     wanted = near.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     owners = staged(nodes.join(wanted, "node").select("doc_id", "node"), "alike-owners")
-    sets = staged(docs.join(bounded(owners, 1_000_000), "doc_id").select("node", "text").mapInArrow(read, "node long, items binary"), "alike-sets")
-    # the pairs are short: they go to the sets, and of each pair's two sets one is sent to the other
-    a, b = (sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items")) for c in ("src", "dst"))
-    edges = staged(a.join(bounded(near, 1_000_000), "src").join(b, "dst").select("src", "dst", "src_items", "dst_items").mapInArrow(compare, "src long, dst long"), "alike-edges")
-    release(near, owners, sets)
+    sets = staged(docs.join(bounded(owners, 1_000_000), "doc_id").select("node", "text").mapInArrow(read, "node long, wide binary, items binary"), "alike-sets")
+
+    def brought(found: DataFrame, column: str) -> DataFrame:
+        """The pairs are short: they go to the sets, and of each pair's two sets one is sent to the other."""
+        a, b = (sets.select(F.col("node").alias(c), F.col(column).alias(f"{c}_x")) for c in ("src", "dst"))
+        return a.join(bounded(found, 1_000_000), "src").join(b, "dst")
+
+    nearer = staged(brought(near, "wide").select("src", "dst", "total", "src_x", "dst_x").mapInArrow(bounded_difference, "src long, dst long"), "alike-nearer")
+    edges = staged(brought(nearer, "items").select("src", "dst", "src_x", "dst_x").mapInArrow(compare, "src long, dst long"), "alike-edges")
+    release(near, owners, nearer, sets)
     return edges
 
 
