@@ -2,32 +2,86 @@
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Bytes of text that are encoded in one call: an encoding is some fifty times as large as its text.
 CALL_BYTES = 1 << 20
+#: Fixed value: a splitting pattern none of whose pieces holds white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Separators of str.split() that are no white space to the tokenizer.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def drops_white_space(told: dict) -> bool:
+    """Whether a tokenizer file says that a text's ids are its words' ids one after another.
+
+    It does if it only composes, lower-cases and folds white space, keeps the pieces of WORD_PATTERN, merges
+    inside pieces, and has no control token that takes white space with it.
+    """
+    normal = [(x["type"], x.get("pattern")) for x in (told.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        told["model"]["type"] == "BPE"
+        and all(x in (("NFC", None), ("Lowercase", None), ("Replace", {"Regex": r"\s+"})) for x in normal)
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": WORD_PATTERN}, "Removed", True)
+        and not cuts[1]["add_prefix_space"] and not cuts[1].get("use_regex", True)
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or len(t["content"].split()) != 1 for t in told["added_tokens"])
+    )
+
+
+class Encoder:
+    """Ids of texts as little-endian 32-bit bytes, all of them from the library.
+
+    Where the file allows it, words are encoded once and remembered: texts repeat their words. The memory is
+    emptied when it holds ``limit`` words. Other files' texts are encoded whole.
+    """
+
+    def __init__(self, path: str, limit: int = 400_000) -> None:
+        with open(path, encoding="utf-8") as f:
+            self._by_words = drops_white_space(json.load(f))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self._whole, self._limit, self._known = Tokenizer.from_file(path), limit, {}
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        for found in self._whole.encode_batch_fast(texts, add_special_tokens=False):
+            yield array("I", found.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        if not self._by_words or any(c in t for t in texts for c in _ODD):
+            yield from self._encode(texts)
+            return
+        known, words = self._known, [t.split() for t in texts]
+        new = {w for ws in words for w in ws if w not in known}
+        if len(known) + len(new) > self._limit:
+            known.clear()
+            new = {w for ws in words for w in ws}
+        new = list(new)
+        for at in range(0, len(new), 10_000):
+            known.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
+        for ws in words:
+            yield b"".join(map(known.__getitem__, ws))
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    """One tokenizer for each file and Python worker; a task has one core, so the library gets one thread."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Tokenizer.from_file(path)
+def encoder(path: str) -> Encoder:
+    """One encoder for each file and Python worker."""
+    return Encoder(path)
 
 
 def encode_texts(path: str, texts: list[str | None]) -> Iterator[bytes]:
     """The ids of each whole text (null: empty) as little-endian 32-bit bytes, in order, without special tokens."""
-    t, at = tokenizer(path), 0
+    at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end] or "") <= CALL_BYTES):
             size += len(texts[end] or "")
             end += 1
-        for found in t.encode_batch_fast([x or "" for x in texts[at:end]], add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u4").tobytes()
+        yield from encoder(path).encode([x or "" for x in texts[at:end]])
         at = end

@@ -90,3 +90,12 @@ def test_ids_of_every_code_point_are_the_library_s():
         reference = tokenizers.Tokenizer.from_file(public.path(name))
         want = [b"".join(i.to_bytes(4, "little") for i in reference.encode(t or "", add_special_tokens=False).ids) for t in texts]
         assert list(tokens.encode_texts(public.path(name), texts)) == want
+
+
+def test_words_are_remembered_only_where_the_file_allows_it():
+    public = pytest.importorskip("public_tokenizers")
+    told = {n: tokens.json.load(open(public.path(n), encoding="utf-8")) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+    assert tokens.drops_white_space(told["word_bpe_49k.json"]) and not tokens.drops_white_space(told["byte_bpe_50k.json"])
+    small = tokens.Encoder(public.path("word_bpe_49k.json"), limit=5)
+    texts = ["one two three", "four five six seven", "", "one two", "eight nine ten eleven twelve thirteen"] * 3
+    assert [x for t in texts for x in small.encode([t])] == list(tokens.encode_texts(public.path("word_bpe_49k.json"), texts))
