@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,6 +17,7 @@ CALL_BYTES = 1 << 20
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Separators of str.split() that are no white space to the tokenizer.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+_PLAIN, _MARKS = string.ascii_letters + string.digits, string.punctuation
 
 
 def drops_white_space(told: dict) -> bool:
@@ -39,8 +41,10 @@ def drops_white_space(told: dict) -> bool:
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, all of them from the library.
 
-    Where the file allows it, words are encoded once and remembered: texts repeat their words. The memory is
-    emptied when it holds ``limit`` words. Other files' texts are encoded whole.
+    Where the file allows it, words are encoded once and remembered: texts repeat their words. A last ASCII
+    mark after an ASCII letter or digit is a piece of its own, and a word of ASCII letters alone is one piece,
+    which the library's model merges without the rest of its steps. The memory is emptied when it holds
+    ``limit`` words. Other files' texts are encoded whole.
     """
 
     def __init__(self, path: str, limit: int = 400_000) -> None:
@@ -59,15 +63,29 @@ class Encoder:
             return
         known, words = self._known, [t.split() for t in texts]
         new = {w for ws in words for w in ws if w not in known}
-        if len(known) + len(new) > self._limit:
+        if len(known) + 2 * len(new) > self._limit:
             known.clear()
             new = {w for ws in words for w in ws}
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            known.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
+        self._learn({w[:-1] if self._marked(w) else w for w in new} | {w[-1] for w in new if self._marked(w)})
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in new if self._marked(w))
         for ws in words:
             yield b"".join(map(known.__getitem__, ws))
 
+    @staticmethod
+    def _marked(word: str) -> bool:
+        return word[-1] in _MARKS and word[-2:-1] in _PLAIN and word[-2:-1] != ""
+
+    def _learn(self, words: set[str]) -> None:
+        known, merge, rest = self._known, self._whole.model.tokenize, []
+        for w in words:
+            if w not in known:
+                if w.isascii() and w.isalpha():
+                    known[w] = array("I", [t.id for t in merge(w.lower())]).tobytes()
+                else:
+                    rest.append(w)
+        for at in range(0, len(rest), 10_000):
+            known.update(zip(rest[at : at + 10_000], self._encode(rest[at : at + 10_000]), strict=True))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

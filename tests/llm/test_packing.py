@@ -85,6 +85,7 @@ def test_ids_of_every_code_point_are_the_library_s():
     public = pytest.importorskip("public_tokenizers")
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"{c} a{c}b{c}" for c in points[at : at + 256]) for at in range(0, len(points), 256)]
+    texts += ["a." "b, c;d e.. f.. g!? x<|endoftext|>. 5% $5 5$ don't. 's it's' é. É, aé; \u0301. a\u0301. a.\u0301 A. B_ _b I\u0307. "]
     texts += ["line\x08 one \x1b[0m red\x7f", None, "", "<|endoftext|> x<|startoftext|>y"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         reference = tokenizers.Tokenizer.from_file(public.path(name))
