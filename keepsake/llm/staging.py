@@ -6,6 +6,7 @@ import atexit
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
@@ -34,6 +35,18 @@ def staged_parts(df: DataFrame, label: str, parts: int, compression: str = "snap
     return [_back(df, f"{path}/_part={k}") for k in range(parts) if _folder(df.sparkSession, f"{path}/_part={k}")] or [df.sparkSession.createDataFrame([], df.schema)]
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it holds, Python workers get at most so many rows at a time: for long texts and large sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """The batches in slices of some rows, where what is made of them is many times as large."""
     for b in batches:
