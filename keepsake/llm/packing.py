@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.staging import staged
-from keepsake.llm.tokens import encode_texts
+from keepsake.llm.tokens import encode_texts, encoder
 
 
 class OpenBins:
@@ -119,6 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
             kept = [c.take(pa.array(owner, pa.int32())) for c in b.columns[: len(keep)]]
             p = np.array(piece, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array(p.astype(np.int64) * capacity), pa.array(np.array([len(x) // 4 for x in ids], dtype=np.int64)), pa.array(ids, pa.binary())], names=[*keep, "piece", "start", "length", "ids"])
+        encoder(tokenizer).forget()
 
     small = docs.select(*keep, F.col("text").alias("_text"))
     return small.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in small.dtypes[:-1]) + ", piece int, start long, length long, ids binary")

@@ -17,7 +17,7 @@ CALL_BYTES = 1 << 20
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Separators of str.split() that are no white space to the tokenizer.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-_PLAIN, _MARKS = string.ascii_letters + string.digits, string.punctuation
+_PLAIN, _MARKS = frozenset(string.ascii_letters + string.digits), string.punctuation
 
 
 def drops_white_space(told: dict) -> bool:
@@ -41,13 +41,12 @@ def drops_white_space(told: dict) -> bool:
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, all of them from the library.
 
-    Where the file allows it, words are encoded once and remembered: texts repeat their words. A last ASCII
-    mark after an ASCII letter or digit is a piece of its own, and a word of ASCII letters alone is one piece,
-    which the library's model merges without the rest of its steps. The memory is emptied when it holds
+    Where the file allows it, words are encoded once and remembered: texts repeat their words. The last ASCII
+    marks after an ASCII letter or digit are a piece of their own, and a word of ASCII letters alone is one, which the library's model merges without the rest of its steps. The memory is emptied when it holds
     ``limit`` words. Other files' texts are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 700_000) -> None:
         with open(path, encoding="utf-8") as f:
             self._by_words = drops_white_space(json.load(f))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -66,14 +65,23 @@ class Encoder:
         if len(known) + 2 * len(new) > self._limit:
             known.clear()
             new = {w for ws in words for w in ws}
-        self._learn({w[:-1] if self._marked(w) else w for w in new} | {w[-1] for w in new if self._marked(w)})
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in new if self._marked(w))
+        whole, cut = set(), []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core != w and core[-1:] in _PLAIN:
+                cut.append((w, core, w[len(core) :]))
+                whole.add(core)
+                whole.add(cut[-1][2])
+            else:
+                whole.add(w)
+        self._learn(whole)
+        known.update((w, known[core] + known[marks]) for w, core, marks in cut)
         for ws in words:
             yield b"".join(map(known.__getitem__, ws))
 
-    @staticmethod
-    def _marked(word: str) -> bool:
-        return word[-1] in _MARKS and word[-2:-1] in _PLAIN and word[-2:-1] != ""
+    def forget(self) -> None:
+        """Empty the memory: a worker lives longer than its task."""
+        self._known.clear()
 
     def _learn(self, words: set[str]) -> None:
         known, merge, rest = self._known, self._whole.model.tokenize, []
