@@ -24,7 +24,7 @@ def drops_white_space(told: dict) -> bool:
     """Whether a tokenizer file says that a text's ids are its words' ids one after another.
 
     It does if it only composes, lower-cases and folds white space, keeps the pieces of WORD_PATTERN, merges
-    inside pieces, and has no control token that takes white space with it.
+    inside pieces, and has no control token that takes white space with it or does not begin with ``<|``.
     """
     normal = [(x["type"], x.get("pattern")) for x in (told.get("normalizer") or {}).get("normalizers", [])]
     cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -34,7 +34,7 @@ def drops_white_space(told: dict) -> bool:
         and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
         and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": WORD_PATTERN}, "Removed", True)
         and not cuts[1]["add_prefix_space"] and not cuts[1].get("use_regex", True)
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or len(t["content"].split()) != 1 for t in told["added_tokens"])
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or len(t["content"].split()) != 1 or not t["content"].startswith("<|") for t in told["added_tokens"])
     )
 
 
@@ -68,7 +68,7 @@ class Encoder:
         whole, cut = set(), []
         for w in new:
             core = w.rstrip(_MARKS)
-            if core != w and core[-1:] in _PLAIN:
+            if core != w and core[-1:] in _PLAIN and "<|" not in w:
                 cut.append((w, core, w[len(core) :]))
                 whole.add(core)
                 whole.add(cut[-1][2])
