@@ -7,6 +7,8 @@ benchmark decisions, which are about ids, leave them in.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,29 @@ from keepsake.llm.queries import word_tokenizer
 from keepsake.llm.staging import staged
 from keepsake.session import table
 
+#: Rows that Python workers get at a time: documents are long, and an executor runs several workers.
+BATCH = 500
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def by_few_rows(stage):  # noqa: ANN001, ANN201
+    """The stage in a session that hands Python workers BATCH rows at a time."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@by_few_rows
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score 0.3 or more)."""
     return quality.filter_quality(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
+@by_few_rows
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (shingles of five words, similarity 0.8): the one with the least id; of repeated rows, one."""
     groups = alike.alike_groups(docs)
@@ -31,18 +48,21 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_each.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
+@by_few_rows
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; those of which nothing is left go, others stay as they came."""
     cut = substrings.remove_repeats(docs, keep=("doc_id", "lang", "source"), untouched=True)
     return cut.where("n_words = 0 or n_removed < n_words").select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
+@by_few_rows
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, in its own words or with other values in its slots."""
     leaks = staged(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(decontaminate.bounded(leaks, 2_000_000), "doc_id", "left_anti").select(*COLUMNS)
 
 
+@by_few_rows
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces with the sequence and the place that best-fit packing gave them."""
     pieces = packing.token_pieces(docs, word_tokenizer())
