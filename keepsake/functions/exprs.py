@@ -36,7 +36,23 @@ CATEGORIES = {
     "截屏": ["screenshot"],
     "其他": ["other", "others"],
 }
-COUNTRY_NAMES = {"CN": "China", "JP": "Japan", "US": "United States", "FR": "France", "DE": "Germany", "GB": "United Kingdom", "ES": "Spain", "IT": "Italy"}
+#: The names that country codes are shown by; other codes are shown as they are.
+COUNTRY_NAMES = {
+    "CN": "中国", "US": "美国", "JP": "日本", "KR": "韩国", "GB": "英国", "FR": "法国", "DE": "德国", "IT": "意大利", "ES": "西班牙",
+    "CA": "加拿大", "AU": "澳大利亚", "RU": "俄罗斯", "IN": "印度", "BR": "巴西", "MX": "墨西哥", "TH": "泰国", "SG": "新加坡",
+    "MY": "马来西亚", "ID": "印度尼西亚", "VN": "越南", "PH": "菲律宾", "NZ": "新西兰", "CH": "瑞士", "AT": "奥地利", "BE": "比利时",
+    "NL": "荷兰", "SE": "瑞典", "NO": "挪威", "DK": "丹麦", "FI": "芬兰", "PL": "波兰", "CZ": "捷克", "HU": "匈牙利", "GR": "希腊",
+    "PT": "葡萄牙", "TR": "土耳其", "IL": "以色列", "AE": "阿联酋", "SA": "沙特阿拉伯", "EG": "埃及", "ZA": "南非", "AR": "阿根廷",
+    "CL": "智利", "CO": "哥伦比亚", "PE": "秘鲁",
+}
+#: The names of China's first-level regions by their codes.
+CN_PROVINCES = {
+    "01": "北京市", "02": "天津市", "03": "河北省", "04": "山西省", "05": "内蒙古自治区", "06": "辽宁省", "07": "吉林省", "08": "黑龙江省",
+    "09": "上海市", "10": "江苏省", "11": "浙江省", "12": "安徽省", "13": "福建省", "14": "江西省", "15": "山东省", "16": "河南省",
+    "17": "湖北省", "18": "湖南省", "19": "广东省", "20": "广西壮族自治区", "21": "海南省", "22": "北京市", "23": "四川省", "24": "贵州省",
+    "25": "云南省", "26": "西藏自治区", "27": "陕西省", "28": "甘肃省", "29": "青海省", "30": "宁夏回族自治区", "31": "新疆维吾尔自治区",
+    "32": "台湾省", "33": "香港特别行政区", "34": "澳门特别行政区",
+}
 
 
 def lookup(key: Column, pairs: dict, default: Column | None = None) -> Column:
@@ -179,8 +195,9 @@ def display_subtitle(ts: Column, location: Column) -> Column:
 
 
 def province_name(country: Column, admin: Column) -> Column:
-    """A region's name; numeric codes say nothing and become empty."""
-    return F.when(admin.rlike("^[0-9]+$"), F.lit("")).otherwise(F.coalesce(admin, F.lit("")))
+    """A region's name: China's by their codes; other numeric codes say nothing and become empty."""
+    named = F.when(country == "CN", lookup(admin, CN_PROVINCES))
+    return F.coalesce(named, F.when(admin.rlike("^[0-9]+$"), F.lit("")), admin, F.lit(""))
 
 
 def country_name(code: Column) -> Column:
@@ -202,11 +219,17 @@ def place_short(country: Column, province: Column, city: Column, district: Colum
     return F.coalesce(F.concat(_given(city), F.coalesce(district, F.lit(""))), _given(province), _given(country), F.lit(""))
 
 
-def place_display(country: Column, province: Column, city: Column, district: Column, poi: Column, street: Column) -> Column:
-    """City (or province) and district, then a landmark, then the street in brackets; else the short name."""
+def place_display(country: Column, province: Column, city: Column, district: Column, poi: Column, street: Column, full: Column | None = None, provider: Column | None = None) -> Column:
+    """City (or province) and district, then a landmark, then the street in brackets; else the short name.
+
+    A place from the offline table (``provider`` is ``offline``) has no such detail: its ``full`` name is shown.
+    """
     head = F.concat(F.coalesce(_given(city), _given(province), F.lit("")), F.coalesce(district, F.lit("")))
     tail = F.concat(F.coalesce(poi, F.lit("")), F.coalesce(F.concat(F.lit("（"), _given(street), F.lit("）")), F.lit("")))
-    return F.when(F.length(head) > 0, F.concat(head, tail)).otherwise(place_short(country, province, city, district))
+    shown = F.when(F.length(head) > 0, F.concat(head, tail)).otherwise(place_short(country, province, city, district))
+    if full is None or provider is None:
+        return shown
+    return F.when((provider == "offline") & (F.length(full) > 0), full).otherwise(shown)
 
 
 def municipality(display_name: Column) -> Column:

@@ -1,7 +1,9 @@
 """The library's operators on the driver's tables, each with DuckDB SQL that says the same where SQL can.
 
 The tables are no photo library: orders stand for photos (date taken, score, category), lineitem for faces,
-part for people, embeddings for face vectors, events for what a device does. The operators are the library's.
+part for people, embeddings for face vectors, events for what a device does. Most call the library's operators;
+a few (interval_overlap_join, conditional_counts, modal_value, adjacent_ids) write the same expression out, and
+others (events_in_window, folder_counts, neighbours_of_one) call the operator.
 """
 
 from __future__ import annotations
@@ -509,3 +511,58 @@ def changed_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def links_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("person_id_a"), F.col("l_partkey").alias("person_id_b"))
     return jobs.link_apart(pairs.limit(0), pairs)
+
+
+def _values(pairs: dict[str, str]) -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in pairs.items())
+
+
+CODES = [*X.COUNTRY_NAMES, "XX"]
+
+
+@query(f"""WITH c AS (SELECT c_custkey, [{", ".join(f"'{c}'" for c in CODES)}][CAST(c_custkey % {len(CODES)} AS INTEGER) + 1] AS code, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment WHEN c_custkey % 11 = 0 THEN NULL ELSE lpad(CAST(c_custkey % 40 AS VARCHAR), 2, '0') END AS admin FROM customer),
+d AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'CN' ELSE code END AS code, admin FROM c),
+n(k, name) AS (VALUES {_values(X.COUNTRY_NAMES)}), p(k, name) AS (VALUES {_values(X.CN_PROVINCES)})
+SELECT c_custkey, COALESCE(n.name, d.code) AS country, COALESCE(CASE WHEN d.code = 'CN' THEN p.name END, CASE WHEN regexp_full_match(admin, '[0-9]+') THEN '' END, admin, '') AS province
+FROM d LEFT JOIN n ON n.k = d.code LEFT JOIN p ON p.k = d.admin""")
+def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    code = F.when(key % 3 == 0, "CN").otherwise(F.element_at(F.array(*map(F.lit, CODES)), (key % len(CODES) + 1).cast("int")))
+    admin = F.when(key % 7 == 0, F.col("c_mktsegment")).when(key % 11 != 0, F.lpad((key % 40).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.country_name(code).alias("country"), X.province_name(code, admin).alias("province"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey))
+SELECT previous, next FROM o WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'P')""")
+def neighbours_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    one = orders.where("o_orderstatus = 'P'").agg(F.min("o_orderkey")).first()[0]
+    return relational.neighbours(orders.select(F.col("o_orderkey").alias("id"), "o_orderdate"), "o_orderdate", one)
+
+
+def photos_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as photos with the columns that the library's photo operators read."""
+    key, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    return o.select(
+        key.alias("id"), F.concat(F.lit("/p/"), "o_orderpriority").alias("folder"), F.when(F.col("o_orderstatus") == "P", "excluded").otherwise("active").alias("status"),
+        F.when(key % 13 == 0, F.lit("2024-01-01")).alias("deleted_at"), F.when(key % 5 != 0, key % 2 == 0).alias("ai_analyzed"), F.when(key % 3 == 0, "ready").otherwise("failed").alias("thumbnail_status"),
+        F.when(key % 4 != 0, (key % 7).cast("double")).alias("gps_latitude"), (key % 3).cast("double").alias("gps_longitude"), F.when(key % 6 != 0, F.when(key % 8 == 0, " ").otherwise("here")).alias("location"),
+        (key % 4).alias("face_count"), F.when(key % 9 != 0, F.col("o_orderpriority")).alias("caption"),
+    )
+
+
+@query("""WITH p AS (SELECT '/p/' || o_orderpriority AS folder, o_orderstatus <> 'P' AS live, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 2 = 0 END AS ai, o_orderkey % 3 = 0 AS thumb,
+  o_orderkey % 4 <> 0 AND NOT (o_orderkey % 7 = 0 AND o_orderkey % 3 = 0) AS gps, o_orderkey % 6 <> 0 AND o_orderkey % 8 <> 0 AS located, o_orderkey % 4 AS faces, o_orderkey % 9 <> 0 AS captioned
+  FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT folder, count(*) AS total, count(*) FILTER (live) AS active, count(*) FILTER (NOT live) AS excluded, count(*) FILTER (live AND ai) AS analyzed, count(*) FILTER (live AND NOT COALESCE(ai, false)) AS unanalyzed,
+  count(*) FILTER (live AND thumb) AS thumbnails, count(*) FILTER (live AND gps) AS with_gps, count(*) FILTER (live AND gps AND located) AS geocoded, count(*) FILTER (live AND faces > 0) AS with_faces, count(*) FILTER (live AND captioned) AS captioned
+FROM p GROUP BY folder""")
+def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.conditional_counts(photos_of_orders(spark, sf_dir), ["folder"])
+
+
+@query("""WITH e AS (SELECT o_custkey AS id, min(o_orderdate) AS start_time, max(o_orderdate) AS end_time FROM orders GROUP BY o_custkey)
+SELECT id, strftime(start_time, '%Y-%m-%d') AS first_day, strftime(end_time, '%Y-%m-%d') AS last_day FROM e WHERE start_time <= TIMESTAMP '1995-06-30' AND end_time >= TIMESTAMP '1995-06-01'""")
+def events_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("start_time"), F.max("o_orderdate").alias("end_time"))
+    return filters.overlapping(spans, datetime(1995, 6, 1), datetime(1995, 6, 30)).select("id", F.date_format("start_time", "yyyy-MM-dd").alias("first_day"), F.date_format("end_time", "yyyy-MM-dd").alias("last_day"))

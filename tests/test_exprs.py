@@ -38,7 +38,13 @@ def value(spark, column):
     (lambda: X.place_full(F.lit("A"), F.lit(""), F.lit("[]"), F.lit("D"), F.lit("")), "A，D"),
     (lambda: X.place_short(F.lit("A"), F.lit("P"), F.lit("[]"), F.lit("D")), "P"),
     (lambda: X.place_display(F.lit("A"), F.lit("P"), F.lit("C"), F.lit("D"), F.lit("poi"), F.lit("s")), "CDpoi（s）"),
+    (lambda: X.place_display(F.lit("A"), F.lit("P"), F.lit("C"), F.lit("D"), F.lit(""), F.lit(""), F.lit("whole"), F.lit("offline")), "whole"),
+    (lambda: X.place_display(F.lit("A"), F.lit("P"), F.lit("C"), F.lit("D"), F.lit(""), F.lit(""), F.lit("whole"), F.lit("other")), "CD"),
     (lambda: X.province_name(F.lit("US"), F.lit("12")), ""),
+    (lambda: X.province_name(F.lit("CN"), F.lit("23")), "四川省"),
+    (lambda: X.province_name(F.lit("CN"), F.lit("99")), ""),
+    (lambda: X.country_name(F.lit("CN")), "中国"),
+    (lambda: X.country_name(F.lit("XX")), "XX"),
     (lambda: X.province_name(F.lit("US"), F.lit("California")), "California"),
     (lambda: X.gps_number(F.lit("33.5 S")), -33.5),
     (lambda: X.gps_number(F.lit("nowhere")), None),
