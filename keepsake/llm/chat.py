@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.staging import staged
+from keepsake.llm.staging import few_rows, release, staged
 
 #: The markers of a turn, which become ids of their own behind the vocabulary.
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+_TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(END), re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -40,31 +44,50 @@ class Codec:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True
         self.start = self._t.get_vocab_size()
         self.end = self.start + 1
-
-    def encode(self, text: str) -> list[int]:
-        return self._t.encode(text, add_special_tokens=False).ids if text else []
+        self.head = lru_cache(maxsize=1024)(self._head)
+        self._close = np.array([self.end, *self._t.encode("\n", add_special_tokens=False).ids], dtype=np.int32)
+
+    def _head(self, role: str) -> np.ndarray:
+        return np.array([self.start, *self._t.encode(escape_role(role) + "\n", add_special_tokens=False).ids], dtype=np.int32)
+
+    def bodies(self, texts: set[str]) -> dict[str, np.ndarray]:
+        """Ids of the escaped texts, encoded about a megabyte at a time: an encoding is many times as large as its text."""
+        found, some, size = {}, [], 0
+        for text in [*texts, None]:
+            if text is None or size > 1 << 20:
+                ids = self._t.encode_batch_fast([escape(t) for t in some], add_special_tokens=False)
+                found.update((t, np.array(e.ids, dtype=np.int32)) for t, e in zip(some, ids, strict=True))
+                some, size = [], 0
+            if text is not None:
+                some.append(text)
+                size += len(text)
+        return found
 
     def turn(self, role: str, text: str) -> tuple[list[int], int, int]:
         """Ids of one turn, and where the escaped text begins and ends in them."""
-        head = [self.start, *self.encode(escape_role(role) + "\n")]
-        body = self.encode(escape(text))
-        return [*head, *body, self.end, *self.encode("\n")], len(head), len(head) + len(body)
-
-    def decode(self, ids: list[int]) -> str:
-        """The formatted text of ids, markers included."""
-        parts, run = [], []
-        for i in [*ids, None]:
-            if i is None or i >= self.start:
-                parts.append(self._t.decode(run, skip_special_tokens=False) if run else "")
-                parts.append({self.start: START, self.end: END}.get(i, ""))
-                run = []
-            else:
-                run.append(i)
-        return "".join(parts)
+        parts, lo, hi = self.framed(role, self.bodies({text})[text])
+        return np.concatenate(parts).tolist(), lo, hi
+
+    def framed(self, role: str, body: np.ndarray) -> tuple[list[np.ndarray], int, int]:
+        """As ``turn``, of encoded text and in parts."""
+        head = self.head(role)
+        return [head, body, self._close], len(head), len(head) + len(body)
+
+    def texts(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[list[int], list[str]]:
+        """The formatted text of ids, markers included, in parts: (begins, texts), cut at markers and at ``cuts``."""
+        marks = np.flatnonzero(ids >= self.start)
+        at = np.unique(np.concatenate([[0, len(ids)], marks, marks + 1, cuts]).astype(np.int64)).tolist()
+        kinds = {self.start: START, self.end: END}
+        runs = [ids[lo:hi] for lo, hi in zip(at, at[1:])]
+        keys = [r.tobytes() for r in runs]
+        open_ = {k: r.tolist() for k, r in zip(keys, runs, strict=True) if r[0] < self.start}
+        told = dict(zip(open_, self._t.decode_batch(list(open_.values()), skip_special_tokens=False), strict=True))
+        return at[:-1], [told[k] if k in told else kinds[int(r[0])] for k, r in zip(keys, runs, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -117,38 +140,44 @@ def prefix_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows for each conversation's nodes; those it owns carry the tokens."""
         code = codec(tokenizer)
-        for b in batches:
-            rows = []
-            for conv, turns, keys, counts in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turns", "keys", "counts")), strict=True):
-                path, position, ids, loss = b"", 0, [], []
+        for b in few_rows(batches, 500):
+            rows, flat, lengths = [], [np.zeros(0, np.int32)], []
+            turns_of = b.column(b.schema.get_field_index("turns")).to_pylist()
+            known = code.bodies({t["text"] for turns in turns_of for t in turns})
+            for conv, turns, keys, counts in zip(b.column(0).to_pylist(), turns_of, *(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("keys", "counts")), strict=True):
+                path, position, ids, size, loss = b"", 0, [], 0, []
                 for k, t in enumerate(turns):
-                    new, lo, hi = code.turn(t["role"], t["text"])
+                    new, lo, hi = code.framed(t["role"], known[t["text"]])
                     if t["role"] == "assistant" and hi > lo:
-                        loss.append({"start": len(ids) + lo, "end": len(ids) + hi})
+                        loss.append({"start": size + lo, "end": size + hi})
                     ids += new
+                    size += sum(map(len, new))
                     last = k + 1 == len(turns)
                     if last or counts[k + 1]["n"] != counts[k]["n"]:
                         path += keys[k][:8]
                         mine = counts[k]["mine"]
-                        rows.append((conv, last, len(turns), path, position, len(ids), ids if mine else None, loss if mine else None))
-                        position, ids, loss = position + len(ids), [], []
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field("conv_id").type, pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), spans], strict=True)], names=names)
+                        rows.append((conv, last, len(turns), path, position, size, loss if mine else None))
+                        flat += ids if mine else []
+                        lengths.append(size if mine else 0)
+                        position, ids, size, loss = position + size, [], 0, []
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 7, [b.schema.field("conv_id").type, pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), spans], strict=True)]
+            ends = pa.array(np.cumsum([0, *lengths]).astype(np.int32))
+            tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(flat)), mask=cols[6].is_null())
+            yield pa.RecordBatch.from_arrays([*cols[:6], tokens, cols[6]], names=names)
 
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     names = ["conv_id", "last", "n_turns", "path", "position", "size", "ids", "loss"]
     every = staged(named.join(counted, "owner").select("conv_id", "turns", "keys", "counts").mapInArrow(cut, f"conv_id {kind['conv_id']}, last boolean, n_turns long, path binary, position long, size long, ids array<int>, loss array<struct<start:bigint,end:bigint>>"), "tree-rows")
+    release(named)
     members = every.where("last").select("conv_id", F.col("path").alias("node"), "n_turns")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Places inside the task, and the task."""
         at, task = 0, TaskContext.get().partitionId()
         for b in batches:
-            starts = []
-            for size in b.column(2).to_pylist():
-                starts.append(at)
-                at += size
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64()), pa.array([task] * len(starts), pa.int32())], names=["node", "position", "size", "ids", "loss", "local", "task"])
+            ends = at + np.cumsum(b.column(2).to_numpy())
+            starts, at = ends - b.column(2).to_numpy(), int(ends[-1]) if len(ends) else at
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64()), pa.array(np.full(len(starts), task, np.int32))], names=["node", "position", "size", "ids", "loss", "local", "task"])
 
     own = every.where("ids is not null").select(F.col("path").alias("node"), "position", "size", "ids", "loss")
     laid = staged(own.repartitionByRange("node").sortWithinPartitions("node").mapInArrow(lay, "node binary, position long, size long, ids array<int>, loss array<struct<start:bigint,end:bigint>>, local long, task int"), "tree-order")
@@ -157,12 +186,15 @@ def prefix_tree(conversations: DataFrame, tokenizer: str) -> tuple[DataFrame, Da
         bases.append((r["task"], base))
         base += r["n"]
     base_of = laid.sparkSession.createDataFrame(bases, "task int, base long")
-    placed = staged(laid.join(F.broadcast(base_of), "task").select("node", "position", "ids", "loss", (F.col("base") + F.col("local")).alias("start"), (F.col("base") + F.col("local") + F.col("size")).alias("end")), "tree-nodes")
+    begin = F.col("base") + F.col("local")
+    placed = staged(laid.join(F.broadcast(base_of), "task").select("node", begin.alias("start"), (begin + F.col("size")).alias("end")), "tree-places")
     depth = F.octet_length("node") / 8
     up = placed.where(depth > 1).select("node", F.explode(F.sequence(F.lit(1), (depth - 1).cast("int"))).alias("d")).select("node", F.substring(F.col("node"), F.lit(1), (F.col("d") * 8).cast("int")).alias("ancestor"))
     intervals = up.join(placed.select(F.col("node").alias("ancestor"), "start", "end"), "ancestor").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ancestors"))
-    nodes = placed.join(intervals, "node", "left").select("node", "start", "end", "position", "ids", "loss", F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("ancestors"))
-    return staged(nodes, "tree"), members
+    places = placed.join(intervals, "node", "left").select("node", "start", "end", F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("ancestors"))
+    nodes = staged(laid.join(places, "node").select("node", "start", "end", "position", "ids", "loss", "ancestors"), "tree")
+    release(laid, placed)
+    return nodes, members
 
 
 def read_back(nodes: DataFrame, members: DataFrame, tokenizer: str) -> DataFrame:
@@ -179,14 +211,26 @@ def read_back(nodes: DataFrame, members: DataFrame, tokenizer: str) -> DataFrame
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
-        for b in batches:
+        for b in few_rows(batches, 500):
+            parts = b.column(2).flatten()
+            tokens, spans = parts.field("ids"), parts.field("loss").to_pylist()
+            ids = tokens.flatten().to_numpy()
+            part_at = np.cumsum([0, *pc.list_value_length(tokens).to_pylist()])
+            row_at = np.cumsum([0, *pc.list_value_length(b.column(2)).to_pylist()])
+            masked = [(int(part_at[k]) + s["start"], int(part_at[k]) + s["end"]) for k, own in enumerate(spans) for s in own]
+            cuts = [x for s in masked for x in s]
+            begins, texts = code.texts(ids, np.array([*cuts, *part_at[row_at]], dtype=np.int64))
+            first = np.searchsorted(begins, part_at[row_at])
+            under = np.searchsorted(begins, np.array(cuts, dtype=np.int64).reshape(-1, 2))
+            owner = np.searchsorted(part_at[row_at], [s for s, _ in masked], side="right") - 1
+            loss = [""] * b.num_rows
+            for row, (lo, hi) in zip(owner.tolist(), under.tolist(), strict=True):
+                loss[row] += unescape("".join(texts[lo:hi]))
             rows = []
-            for parts in b.column(2).to_pylist():
-                ids = [i for p in parts for i in p["ids"]]
-                text = code.decode(ids)
-                turns = [t.split("\n", 1) for t in re.findall(re.escape(START) + "(.*?)" + re.escape(END), text, re.DOTALL)]
-                loss = "".join(unescape(code.decode(p["ids"][s["start"] : s["end"]])) for p in parts for s in p["loss"])
-                rows.append((text, [unescape(r) for r, _ in turns], [unescape(t) for _, t in turns], loss))
+            for k in range(b.num_rows):
+                text = "".join(texts[first[k] : first[k + 1]])
+                turns = [t.split("\n", 1) for t in _TURN.findall(text)]
+                rows.append((text, [unescape(r) for r, _ in turns], [unescape(t) for _, t in turns], loss[k]))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["conv_id", "n_turns", "formatted", "roles", "texts", "loss_text"])
