@@ -566,3 +566,52 @@ SELECT id, strftime(start_time, '%Y-%m-%d') AS first_day, strftime(end_time, '%Y
 def events_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("start_time"), F.max("o_orderdate").alias("end_time"))
     return filters.overlapping(spans, datetime(1995, 6, 1), datetime(1995, 6, 30)).select("id", F.date_format("start_time", "yyyy-MM-dd").alias("first_day"), F.date_format("end_time", "yyyy-MM-dd").alias("last_day"))
+
+
+@query("""SELECT o_orderkey AS id, o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 AS analyzed, o_orderkey % 3 = 0 AS thumb FROM orders
+WHERE o_orderstatus <> 'P' AND o_orderkey % 13 <> 0 AND ((NOT (o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0) AND o_orderkey % 3 = 0) OR o_orderkey % 3 <> 0)""")
+def photos_to_work_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = photos_of_orders(spark, sf_dir)
+    both = filters.ready_to_analyze(photos).unionByName(filters.needs_thumbnail(photos))
+    return both.select("id", F.coalesce("ai_analyzed", F.lit(False)).alias("analyzed"), (F.col("thumbnail_status") == "ready").alias("thumb"))
+
+
+@query("""SELECT count(*) AS photos, count(*) FILTER (o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0) AS analyzed, CAST(COALESCE(sum(o_orderkey % 1000), 0) AS BIGINT) AS bytes
+FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 13 <> 0""")
+def system_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.system_stats(photos_of_orders(spark, sf_dir).withColumn("file_size", F.col("id") % 1000))
+
+
+@query("""SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+def without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    return filters.excluding(table(spark, sf_dir, "customer"), ordered, "c_custkey").select("c_custkey", "c_nationkey")
+
+
+@query("""SELECT l_suppkey AS device_id, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01' GROUP BY l_suppkey""")
+def displays_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("device_id"), F.col("l_shipdate").alias("displayed_at"))
+    return relational.display_counts(shown, "device_id", datetime(1995, 1, 1), datetime(1996, 1, 1))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_discount * 10 AS cluster_score FROM lineitem
+WHERE l_discount * 10 < 0.55 AND l_suppkey % 4 <> 0 AND NOT (l_partkey % 3 = 0)""")
+def doubtful_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("cluster_score"), F.when(F.col("l_suppkey") % 4 != 0, F.col("l_suppkey")).alias("person_id"),
+        F.when(F.col("l_partkey") % 3 == 0, F.lit(True)).alias("manual_locked"),
+    )
+    return filters.low_confidence_faces(faces).select("l_orderkey", "l_linenumber", "cluster_score")
+
+
+@query("""SELECT o_orderkey, 'task_' || o_orderkey || '_' || o_custkey AS task, o_orderkey AS photo, (o_orderkey % 4 * 90 + 270) % 360 AS turned,
+  CASE WHEN o_custkey % 8 <= 1 THEN 0.7 WHEN o_custkey % 8 >= 5 THEN 0.5 ELSE 0.7::DOUBLE - (0.7::DOUBLE - 0.5::DOUBLE) * (o_custkey % 8 - 1) / 4 END AS threshold,
+  CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * CAST(o_custkey + 1 AS DOUBLE) AS coordinate FROM orders""")
+def photo_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, other = F.col("o_orderkey"), F.col("o_custkey")
+    task = X.task_id(key, other)
+    side = F.concat((other + 1).cast("string"), F.when(key % 2 == 0, " S").otherwise(" N"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", task.alias("task"), X.task_photo(task).alias("photo"), X.rotate(key % 4 * 90, -90).alias("turned"),
+        X.adaptive_threshold(0.7, other % 8).alias("threshold"), X.gps_number(side).alias("coordinate"),
+    )
