@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import audio, chat, decontaminate, packing, quality, simhash, substrings, suffixes, toxicity, urls
+from keepsake.llm import audio, chat, decontaminate, packing, quality, resample, simhash, substrings, suffixes, toxicity, urls
 from keepsake.llm.labelled import held_out
 from keepsake.llm.staging import release, staged
 from keepsake.session import table
@@ -96,6 +96,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The url filters on made links: all pages move to a path of their own, three of four name a hub of eight as canonical."""
     hub = F.concat(F.lit("hub.org/"), (F.floor(F.col("page_id") / 8)).cast("string"))
@@ -158,6 +162,26 @@ SELECT d.doc_id, COALESCE(n_words, 0) AS n_words, COALESCE(n_removed, 0) AS n_re
 """
 
 
+OP13_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS tab),
+texts AS (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+rows AS (SELECT row_number() OVER () AS row, side, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+words AS (SELECT row, side, word, count(*) AS n FROM (SELECT row, side, unnest(ws) AS word FROM rows) GROUP BY ALL),
+known AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)),
+buckets AS (SELECT word, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket FROM known, tab),
+post AS (SELECT row, side, bucket, CAST(sum(n) AS BIGINT) AS n FROM words JOIN buckets USING (word) GROUP BY ALL),
+per AS (SELECT bucket, COALESCE(sum(n) FILTER (side = 0), 0) AS s, COALESCE(sum(n) FILTER (side = 1), 0) AS t FROM post GROUP BY bucket),
+total AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM per),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM per, total),
+w AS (SELECT row, CAST(sum(n * gain) AS BIGINT) AS gained, CAST(sum(n) AS BIGINT) AS n FROM post JOIN gains USING (bucket) WHERE side = 0 GROUP BY row),
+d AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(CASE WHEN n > 0 THEN (gained - ((gained % n) + n) % n) // n ELSE 0 END AS BIGINT) AS weight,
+        CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM rows LEFT JOIN w USING (row) WHERE side = 0),
+e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM d),
+f AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS fit FROM e WHERE n_features >= 20)
+SELECT e.doc_id, e.n_features, e.weight, e.score, CASE WHEN place <= 10 * fit // 100 THEN place END AS rank FROM e LEFT JOIN f USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -170,9 +194,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
         "op10_url_filters": op10_url_filters,
+        "op13_importance_resampling": op13_importance_resampling,
         "url_aliases": url_aliases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op10_url_filters": OP10_SQL, "url_aliases": ALIASES_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op10_url_filters": OP10_SQL, "op13_importance_resampling": OP13_SQL, "url_aliases": ALIASES_SQL}
