@@ -94,7 +94,7 @@ def test_growing_and_profile(spark):
 def test_places(spark):
     cities = spark.createDataFrame([(1, "Beijing", "北京", "北京", "CN", 39.9, 116.4), (2, "Lyon", "", "84", "FR", 45.75, 4.85), (3, "Fiji East", "", "X", "FJ", 0.0, -179.9)], "geoname_id int, name string, name_zh string, admin_name string, country string, latitude double, longitude double")
     points = spark.createDataFrame([(1, 39.95, 116.5), (2, 45.0, 4.0), (3, 0.0, 0.0), (4, 10.0, 10.0), (5, 0.0, 179.9), (6, None, 1.0)], "id long, gps_latitude double, gps_longitude double")
-    assert rows(geo.reverse_geocode(points, cities, 110), "id", "location", "city") == [(1, "北京", "北京"), (2, "France Lyon", "Lyon"), (5, "FJ X Fiji East", "Fiji East")]
+    assert rows(geo.reverse_geocode(points, cities, 110), "id", "location", "city") == [(1, "北京", "北京"), (2, "法国 Lyon", "Lyon"), (5, "FJ X Fiji East", "Fiji East")]
     answers = spark.createDataFrame([("39.9500,116.5000", " ")], "key string, location string"), spark.createDataFrame([("39.9500,116.5000", "second")], "key string, location string")
     asked = points.select("id", F.col("gps_latitude").alias("lat"), F.col("gps_longitude").alias("lon")).where("id = 1")
     assert rows(geo.geocode_chain(asked, *answers), "id", "location") == [(1, "second")]
