@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
-from math import ceil, log, sqrt
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,13 @@ from keepsake.llm.vectors import matrix, sorted_runs, usable
 
 #: Decisions closer than this to a bound are taken by sums that don't depend on how rows lie in a matrix.
 NEAR = 1e-9
+#: What single precision may add to or take from the squared distance of two unit vectors' blocks, and more.
+ROUGH = 1e-5
 SEED = 2024
 #: Grid cells have at least this width, so a coordinate's cell takes seven bits.
 LEAST_CELL = 1 / 60
-LEAF = 256
+#: Rows of one matrix product, on either side.
+STRIP, LENGTH = 256, 4096
 
 
 def row_sums(a: np.ndarray) -> np.ndarray:
@@ -78,9 +81,9 @@ class Blocks:
         self.budget = max(0.0, 2 - 2 * similarity) * self.width / self.wide + NEAR
         self.radius = sqrt(self.budget)
         self.cell = max(2 * self.radius, LEAST_CELL)
-        # as many grid coordinates as make cells of about a tile; more copies of a row, fewer pairs
+        # as many grid coordinates as make cells of about a tile with their guests; more copies of a row, fewer pairs
         per = max(1.5, 4 / (self.cell * sqrt(self.wide)))
-        self.grid = min(self.width, 6, max(1, ceil(log(max(2, n / tile)) / log(per))))
+        self.grid = min(self.width, 6, max(1, round(log(max(1, 4 * n / tile)) / log(per))))
 
     def of(self, rotated: np.ndarray, block: int) -> np.ndarray:
         return rotated[:, block * self.width : (block + 1) * self.width]
@@ -115,21 +118,6 @@ class Blocks:
         return row_sums(square).reshape(len(d), self.count)
 
 
-def leaves(x: np.ndarray) -> list[np.ndarray]:
-    """Rows in groups of up to LEAF that lie close: halved along the widest coordinate again and again."""
-    todo, done = [np.arange(len(x))], []
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= LEAF:
-            done.append(rows)
-            continue
-        own = x[rows]
-        half = len(rows) // 2
-        split = np.argpartition(own[:, np.argmax(own.max(axis=0) - own.min(axis=0))], half)
-        todo += [rows[split[:half]], rows[split[half:]]]
-    return done
-
-
 class Tile:
     """The rows of a grid cell, or of two of its parts, compared in one block of coordinates."""
 
@@ -143,45 +131,62 @@ class Tile:
 
     def compare(self) -> pa.RecordBatch:
         """(node, links, root) of the rows with links that this block is the first to find: how many, and a row they hang together with."""
-        own = self.blocks.of(self.rotated, self.block)
-        sides = [np.flatnonzero(self.side != 2), np.flatnonzero(self.side != 1)] if (self.side > 0).any() else [np.arange(len(own))]
-        groups = [[s[g] for g in leaves(own[s])] for s in sides if len(s)]
-        if len(groups) == len(sides):
-            low, high = ([np.array([f(own[g], axis=0) for g in part]) for part in groups] for f in (np.min, np.max))
-            for a, i in enumerate(groups[0]):
-                gap = np.maximum(0, np.maximum(low[-1] - high[0][a], low[0][a] - high[-1]))
-                for b in np.flatnonzero((gap * gap).sum(axis=1) <= self.blocks.budget + NEAR):
-                    if len(groups) == 2 or b >= a:
-                        self.leaf_pair(i, groups[-1][b], len(groups) == 1 and b == a)
+        homes, guests = ([np.flatnonzero((self.home == h) & (self.side != s)) for s in (2, 1)] for h in (True, False))
+        if (self.side > 0).any():
+            pairs = [(homes[0], homes[1]), (homes[0], guests[1]), (guests[0], homes[1])]
+        else:
+            pairs = [(homes[0], homes[0]), (homes[0], guests[0])]  # two guests meet at home
+        for p, q in pairs:
+            self.strips(p, q, p is q)
         hit = np.flatnonzero(self.links)
         return pa.RecordBatch.from_arrays([pa.array(self.node[hit]), pa.array(self.links[hit]), pa.array(self.node[self.label[hit]])], names=["node", "links", "root"])
 
-    def leaf_pair(self, i: np.ndarray, j: np.ndarray, same: bool) -> None:
+    def strips(self, p: np.ndarray, q: np.ndarray, same: bool) -> None:
+        """Strips of p, in the order of a coordinate that is not in the grid, against the stretch of q within reach there."""
+        own = self.blocks.of(self.rotated, self.block)
+        along = own[:, min(self.blocks.grid, self.blocks.width - 1)]
+        p, q = p[np.argsort(along[p], kind="stable")], q[np.argsort(along[q], kind="stable")]
+        reach, at = self.blocks.radius + ROUGH, along[q]
+        one, square = np.ones((len(own), 1)), (own * own).sum(axis=1, keepdims=True)
+        left, right = np.hstack([own, square, one]).astype(np.float32)[p], np.hstack([-2 * own, one, square]).astype(np.float32)[q]
+        for start in range(0, len(p), STRIP):
+            i = p[start : start + STRIP]
+            first, last = np.searchsorted(at, along[i[0]] - reach), np.searchsorted(at, along[i[-1]] + reach, side="right")
+            for begin in range(max(first, start) if same else first, last, LENGTH):
+                end = min(begin + LENGTH, last)
+                near = left[start : start + STRIP] @ right[begin:end].T <= self.blocks.budget + ROUGH
+                if same and begin < start + STRIP:
+                    near &= np.arange(start, start + len(i))[:, None] < np.arange(begin, end)[None, :]
+                if near.any():
+                    self.settle(i, q[begin:end], near)
+
+    def settle(self, i: np.ndarray, j: np.ndarray, near: np.ndarray) -> None:
+        """Link the pairs in ``near`` that are alike, and whose first block within its share is this one."""
         limit = self.blocks.budget
-        near = self.apart(i, j, self.block) <= limit + NEAR
-        near &= self.home[i][:, None] | self.home[j][None, :]
-        if same:
-            near &= np.arange(len(i))[:, None] < np.arange(len(j))[None, :]
-        sure = np.zeros_like(near)
-        if near.sum() > near.size // 16:  # many: settle them by matrix products, but for those close to a bound
+        sure = None
+        if np.count_nonzero(near) > near.size // 16:  # many: settle them by matrix products, but for those close to a bound
             near &= (cos := self.unit[i] @ self.unit[j].T) >= self.similarity - NEAR
-            sure = near & (cos > self.similarity + NEAR) & (self.apart(i, j, self.block) < limit - NEAR)
+            apart = self.apart(i, j, self.block)
+            near &= apart <= limit + NEAR
+            sure = near & (cos > self.similarity + NEAR) & (apart < limit - NEAR)
             for earlier in range(self.block):
                 if not near.any():
                     return
                 apart = self.apart(i, j, earlier)
                 near &= apart >= limit - NEAR
                 sure &= apart > limit + NEAR
-        a, b = np.nonzero(near & ~sure)
-        if len(a):
-            p, q = i[a], j[b]
+            near &= ~sure
+        a, b = np.nonzero(near)
+        for at in range(0, len(a), STRIP * LENGTH // 16):
+            p, q = i[a[at : at + STRIP * LENGTH // 16]], j[b[at : at + STRIP * LENGTH // 16]]
             within = self.blocks.shares(self.rotated[p] - self.rotated[q]) <= limit
             first = within[:, self.block] & ~within[:, : self.block].any(axis=1)
             p, q = p[first], q[first]
             linked = cosines(self.x[p], self.x[q]) >= self.similarity
             self.link(p[linked], q[linked])
-        a, b = np.nonzero(sure)
-        self.link(i[a], j[b])
+        if sure is not None:
+            a, b = np.nonzero(sure)
+            self.link(i[a], j[b])
 
     def apart(self, i: np.ndarray, j: np.ndarray, block: int) -> np.ndarray:
         """Squared distances in a block, by one product of lengthened rows."""
@@ -231,13 +236,13 @@ def near_links(classes: DataFrame, similarity: float, width: int, tile: int) ->
     return dealt.mapInArrow(compare, "node long, links long, root long")
 
 
-def embedding_groups(vectors: DataFrame, similarity: float = 0.95, width: int = 8, tile: int = 8192, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def embedding_groups(vectors: DataFrame, similarity: float = 0.95, width: int = 8, tile: int = 32_768, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Every row with the number of others it is linked to (cosine of ``similarity`` or more) and its component.
 
     Vectors are turned by a fixed rotation and cut into blocks of ``width`` coordinates. In each block, rows
     within its share of the squared distance meet in grid cells; a cell of more than ``tile`` rows is cut into
-    parts, and each pair of parts is a task's work. Inside, leaves of close rows whose boxes are too far apart
-    are passed over. What is left is verified by the whole vectors' cosine in double precision, each pair in
+    parts, and each pair of parts is a task's work. Inside, strips of rows meet the stretch of rows that one
+    more coordinate leaves them. What is left is verified by the whole vectors' cosine in double precision, each pair in
     the first block that has it, so the union of the blocks counts no pair twice. No pair is ever a row: a
     tile gives counts and one edge a member. Equal vectors are one row of the search, as often as they are.
     ``width`` and ``tile`` change cost alone.

@@ -102,7 +102,7 @@ def plain_groups(rows, similarity):
     return Counter((i, links[n], least[find(n)] if n in parent else i, i is not None and i == (least[find(n)] if n in parent else i)) for n, (i, _, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("size", "similarity", "width", "tile"), [(6, 0.95, 8, 8192), (6, 0.95, 2, 50), (64, 0.95, 8, 64), (24, 0.9, 4, 31), (24, 0.999, 16, 20), (1, 0.95, 8, 10), (16, 0.3, 4, 40)])
+@pytest.mark.parametrize(("size", "similarity", "width", "tile"), [(6, 0.95, 8, 32768), (6, 0.95, 2, 50), (64, 0.95, 8, 64), (24, 0.9, 4, 31), (24, 0.999, 16, 20), (1, 0.95, 8, 10), (16, 0.3, 4, 40)])
 def test_links_and_components(spark, size, similarity, width, tile):
     rows = clustered(400, size, size + width, 0.15) + ODD + [(3, [0.25, 0.5, 1.0], 1), (4, [0.26, 0.5, 1.0], 1), (4, [-0.26, -0.5, -1.0], 1)]
     found = embeddings.embedding_groups(frame(spark, rows), similarity, width, tile)
