@@ -228,7 +228,7 @@ def searched(anchors: DataFrame, rows: DataFrame, start: Callable[[pa.Table, int
 
 
 def mine_hard_negatives(
-    vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, tile: int = 4096, block: int = 4096, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding"
+    vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, tile: int = 1024, block: int = 4096, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding"
 ) -> DataFrame:
     """For every anchor and each of its best rows of the same label, the best rows of other labels whose score is between ``low`` and ``high`` percent of the positive's.
 
