@@ -78,6 +78,24 @@ def test_a_passage_repeated_inside_a_document(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_section_that_a_document_repeats_whole(spark):
+    fresh = lambda k, n: [f"{k}{i}" for i in range(n)]
+    x, p, y = fresh("x", 60), fresh("p", 60), fresh("y", 60)
+    rows = [(1, " ".join(x + p + y + fresh("m", 30) + x + p + y)), (2, " ".join(fresh("a", 70) + p + fresh("b", 70)))]
+    got = found(spark, rows, 50, "4")
+    assert got == plain(rows, 50) and len(got[1]) == 120
+    rows += [(3, " ".join(x + p + y)), (0, " ".join(fresh("c", 10) + p))]
+    assert found(spark, rows, 50, "13") == plain(rows, 50)
+
+
+def test_random_repeated_sections(spark):
+    rng = random.Random(12)
+    sections = [[f"s{k}.{i}" for i in range(rng.randint(8, 70))] for k in range(8)]
+    rows = [(d, " ".join(w for _ in range(rng.randint(1, 9)) for w in (rng.choice(sections) if rng.random() < 0.9 else [f"u{rng.randrange(10**9)}"]))) for d in range(40)]
+    for least in (20, 50):
+        assert found(spark, rows, least, "5") == plain(rows, least)
+
+
 def test_slices_of_one_text_among_decoys(spark):
     rng = random.Random(9)
     base = [f"b{i}" for i in range(70)]  # every slice shares words with all others, few share 20 in a row
