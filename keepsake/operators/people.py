@@ -10,44 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
-from keepsake.session import shared_dir
+from keepsake.operators.nearest import candidate_pairs, similar_pairs
+from keepsake.session import checkpointed
 
 LINK, ATTACH, SUGGEST, LOW = 0.62, 0.65, 0.55, 0.55
 PROTOTYPES = 5
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2048, width: int | None = None) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b with a cosine of at least ``threshold``; exact.
-
-    ``vectors``: id, v (array), and optionally least (a bound of its own; a pair needs the smaller of the two).
-    Rows are dealt into blocks by a hash; each pair of blocks is one task-sized matrix product, and only hits
-    leave it. Vectors that are empty, zero or null have no pairs.
-    """
-    own = vectors.columns
-    rows = vectors.select("id", "v", (F.col("least") if "least" in own else F.lit(float(threshold))).alias("least")).where("v is not null and size(v) > 0")
-    parts = max(1, -(-rows.count() // block))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    dealt = rows.withColumn("_p", part).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("id", "v", "least", "_p", F.least("_p", "_o").alias("lo"), F.greatest("_p", "_o").alias("hi"))
-
-    def product(tile: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = tile["lo"].iloc[0], tile["hi"].iloc[0]
-        sides = [tile[tile["_p"] == p] for p in (lo, hi)]
-        if not all(len(s) for s in sides):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        mats = []
-        for s in sides:
-            m = np.stack([np.asarray(x, dtype=np.float64) for x in s["v"]])
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            mats.append(np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0))
-        sim = mats[0] @ mats[1].T
-        need = np.minimum(sides[0]["least"].to_numpy()[:, None], sides[1]["least"].to_numpy()[None, :])
-        i, j = np.nonzero(sim >= need)
-        a, b = sides[0]["id"].to_numpy()[i], sides[1]["id"].to_numpy()[j]
-        keep = a < b if lo == hi else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sim[i, j][keep]})
-
-    kind = dict(vectors.dtypes)["id"]
-    return dealt.groupBy("lo", "hi").applyInPandas(product, f"a {kind}, b {kind}, similarity double")
+#: The faces a component is scored by once more, and how much less a person needs that a user has confirmed.
+BEST_FACES, CONFIRMED = 5, 0.05
 
 
 def face_graph(faces: DataFrame, base: float = LINK) -> DataFrame:
@@ -77,14 +46,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40, write: Call
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def _unit(v: np.ndarray | None) -> np.ndarray | None:
     """A vector of length one; None for what has no direction."""
     length = 0.0 if v is None else float(np.linalg.norm(np.asarray(v, dtype=np.float64)))
@@ -117,12 +78,18 @@ def choose_prototypes(faces: DataFrame, k: int = PROTOTYPES, pool: int = 10) ->
     return narrow.groupBy("person_id").applyInPandas(pick, f"person_id {types['person_id']}, id {types['id']}, place int")
 
 
-def component_scores(members: DataFrame, prototypes: DataFrame) -> DataFrame:
+def component_scores(members: DataFrame, prototypes: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(component, person_id, score): the mean over the component's faces of the best similarity to the person's prototypes.
 
-    ``members``: component, id, v. ``prototypes``: person_id, v (a few a person). Faces come in blocks against
-    all prototypes, which are cut into blocks as well; similarities below zero count as no match.
+    ``members``: component, id, v. ``prototypes``: person_id, v (a few a person). Similarities below zero
+    count as no match. With ``candidates`` (component, person_id) only those are scored, by joins: work that
+    grows with the candidates. Without, faces come in blocks against all prototypes, which are cut into blocks
+    as well.
     """
+    if candidates is not None:
+        asked = members.join(candidates.select("component", "person_id").distinct(), "component").join(prototypes.select("person_id", F.col("v").alias("_v")), "person_id")
+        met = asked.select("component", "person_id", "id", X.cosine(F.col("v"), F.col("_v")).alias("best")).where("best >= 0")
+        return _mean_of_best(met)
     blocks = lambda df, key: df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // 2048)))).cast("int"))
     left, right = blocks(members, "id"), blocks(prototypes.withColumn("pid", F.xxhash64("person_id", "v")), "pid")
     n_left, n_right = (max(1, -(-x.count() // 2048)) for x in (members, prototypes))
@@ -142,32 +109,70 @@ def component_scores(members: DataFrame, prototypes: DataFrame) -> DataFrame:
 
     kinds = dict(members.dtypes) | {"person_id": dict(prototypes.dtypes)["person_id"]}
     met = a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(best, f"component {kinds['component']}, id {kinds['id']}, person_id {kinds['person_id']}, best double")
+    return _mean_of_best(met)
+
+
+def _mean_of_best(met: DataFrame) -> DataFrame:
     return met.groupBy("component", "person_id", "id").agg(F.max("best").alias("best")).groupBy("component", "person_id").agg(F.avg("best").alias("score"))
 
 
-def decide(components_: DataFrame, scores: DataFrame, attach: float = ATTACH) -> DataFrame:
+def blocked_people(members: DataFrame, cannot_link: DataFrame) -> DataFrame:
+    """(component, person_id): people a component may not join, since a face of it had a person that a user declared another.
+
+    ``members``: component, previous (the person a face had before). ``cannot_link``: person_id_a, person_id_b,
+    in either order.
+    """
+    both = F.explode(F.array(F.struct(F.col("person_id_a").alias("previous"), F.col("person_id_b").alias("person_id")), F.struct(F.col("person_id_b").alias("previous"), F.col("person_id_a").alias("person_id"))))
+    apart = cannot_link.select(both.alias("l")).select("l.*").distinct()
+    return members.where("previous is not null").select("component", "previous").distinct().join(apart, "previous").select("component", "person_id").distinct()
+
+
+def attach_components(members: DataFrame, prototypes: DataFrame, cannot_link: DataFrame | None = None, attach: float = ATTACH, best_faces: int = BEST_FACES, confirmed: float = CONFIRMED, candidates: DataFrame | None = None) -> DataFrame:
     """What becomes of each component: attached to its best person, a new person, or pending again.
 
-    ``components_``: component, faces, photos, retries (the most tried face's). A new person needs two faces
-    on two photos, or ten tries. Returns component, action, person_id, retries, score (1 for a new person).
+    ``members``: component, id, v, photo_id, quality_score, retry_count, previous (the person a face had, or
+    null). ``prototypes``: person_id, v, locked (a user's own choice). The best person has the highest mean
+    score (ties: the least id) among those that no cannot-link of the faces' previous people blocks. A
+    component joins it if that score reaches the threshold, which falls with the tries of its most tried face;
+    else if the score of its ``best_faces`` best faces alone does (for components with more), against that one
+    person; else if the person is confirmed by a locked prototype and the score is short by at most
+    ``confirmed``. Else two faces on two photos, or ten tries, make a new person. ``candidates`` (component,
+    person_id) restricts whom a component is compared with.
+
+    Returns component, action (attach, create, pending), person_id, retries, score (that of the decision; of
+    components that find no one, the best there was, 0 at least).
     """
-    best = scores.groupBy("component").agg(F.max_by(F.struct("person_id", "score"), F.struct("score", -F.col("person_id"))).alias("b"))
-    joined = components_.join(best, "component", "left")
-    fits = F.col("b.score") >= X.adaptive_threshold(attach, F.col("retries"))
+    scores = component_scores(members.select("component", "id", "v"), prototypes.select("person_id", "v"), candidates)
+    if cannot_link is not None:
+        scores = scores.join(blocked_people(members, cannot_link), ["component", "person_id"], "left_anti")
+    best = scores.groupBy("component").agg(F.max_by(F.struct("person_id", "score"), F.struct("score", -F.col("person_id"))).alias("b")).select("component", "b.*")
+    sizes = members.groupBy("component").agg(F.count("*").alias("faces"), F.countDistinct("photo_id").alias("photos"), F.max(F.coalesce("retry_count", F.lit(0))).alias("retries"))
+    judged = sizes.join(best, "component", "left").withColumn("least", X.adaptive_threshold(attach, F.col("retries")))
+    again = judged.where((F.col("faces") > best_faces) & (F.col("score") < F.col("least"))).select("component", "person_id")
+    top = members.join(again.select("component"), "component", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("component").orderBy(F.desc_nulls_last("quality_score"), "id"))).where(F.col("_n") <= best_faces)
+    second = component_scores(top.select("component", "id", "v"), prototypes.select("person_id", "v"), again).select("component", F.col("score").alias("second"))
+    sure = prototypes.groupBy("person_id").agg(F.bool_or(F.coalesce("locked", F.lit(False))).alias("sure"))
+    joined = judged.join(second, "component", "left").join(sure, "person_id", "left")
+    by_all, by_best = F.col("score") >= F.col("least"), F.col("second") >= F.col("least")
+    fits = F.coalesce(by_all, F.lit(False)) | F.coalesce(by_best, F.lit(False)) | F.coalesce(F.col("sure") & (F.col("score") >= F.col("least") - confirmed), F.lit(False))
     makes = ((F.col("faces") >= 2) & (F.col("photos") >= 2)) | (F.col("retries") >= 10)
     action = F.when(fits, "attach").when(makes, "create").otherwise("pending")
-    return joined.select("component", action.alias("action"), F.when(fits, F.col("b.person_id")).alias("person_id"), F.when(action == "pending", F.col("retries") + 1).otherwise(F.lit(0)).alias("retries"), F.when(fits, F.col("b.score")).otherwise(F.lit(1.0)).alias("score"))
+    score = F.when(~F.coalesce(by_all, F.lit(False)) & F.coalesce(by_best, F.lit(False)), F.col("second")).otherwise(F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)))
+    return joined.select("component", action.alias("action"), F.when(fits, F.col("person_id")).alias("person_id"), F.when(action == "pending", F.col("retries") + 1).otherwise(F.lit(0)).alias("retries"), score.alias("score"))
 
 
-def cluster_step(faces: DataFrame, link: float = LINK, attach: float = ATTACH, write: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, component, action, person_id, retries, score) for all pending faces at once; a new person has its component's id."""
+def cluster_step(faces: DataFrame, link: float = LINK, attach: float = ATTACH, write: Callable[[DataFrame], DataFrame] | None = None, cannot_link: DataFrame | None = None, previous: str = "person_id") -> DataFrame:
+    """(id, component, action, person_id, retries, score) for all pending faces at once; a new person has its component's id.
+
+    ``previous`` names the column with the person that a pending face had, which its cannot-links go by.
+    """
     pending = faces.where("cluster_status = 'pending' and embedding is not null and size(embedding) > 0")
     comp = components(pending.select("id"), face_graph(pending, link), write=write)
-    members = pending.join(comp, "id")
-    sizes = members.groupBy("component").agg(F.count("*").alias("faces"), F.countDistinct("photo_id").alias("photos"), F.max(F.coalesce("retry_count", F.lit(0))).alias("retries"))
-    prototypes = choose_prototypes(faces).join(faces.select("id", F.col("embedding").alias("v")), "id").select("person_id", "v")
-    scores = component_scores(members.select("component", "id", F.col("embedding").alias("v")), prototypes)
-    return comp.join(decide(sizes, scores, attach), "component").select("id", "component", "action", F.coalesce("person_id", F.when(F.col("action") == "create", F.col("component"))).alias("person_id"), "retries", "score")
+    members = pending.join(comp, "id").select("component", "id", F.col("embedding").alias("v"), "photo_id", "quality_score", "retry_count", F.col(previous).alias("previous"))
+    assigned = faces.where("cluster_status <> 'pending'")
+    prototypes = choose_prototypes(assigned).join(faces.select("id", F.col("embedding").alias("v"), F.col("manual_locked").alias("locked")), "id").select("person_id", "v", "locked")
+    decided = attach_components(members, prototypes, cannot_link, attach)
+    return comp.join(decided, "component").select("id", "component", "action", F.coalesce("person_id", F.when(F.col("action") == "create", F.col("component"))).alias("person_id"), "retries", "score")
 
 
 def applied(faces: DataFrame, step: DataFrame) -> DataFrame:
@@ -190,7 +195,7 @@ def recluster(faces: DataFrame, least: float = LOW, rounds: int = 3, write: Call
     for _ in range(rounds):
         low = (F.col("cluster_score") < least) & F.col("person_id").isNotNull() & ~F.coalesce("manual_locked", F.lit(False))
         freed = write(faces.withColumn("_was", F.when(low, F.col("person_id"))).withColumn("cluster_status", F.when(low, "pending").otherwise("held")).withColumn("person_id", F.when(low, F.lit(None)).otherwise(F.col("person_id"))))
-        after = applied(freed, cluster_step(freed, write=write, **how))
+        after = applied(freed, cluster_step(freed, write=write, previous="_was", **how))
         settled = write(after.withColumn("_moved", F.col("_was").isNotNull() & F.col("person_id").isNotNull() & (F.col("person_id") != F.col("_was"))).withColumn("person_id", F.coalesce("person_id", "_was")))
         moved = settled.where("_moved").limit(1).count()
         status = faces.select("id", F.col("cluster_status").alias("_old"))
@@ -208,13 +213,31 @@ def pair_similarity(prototypes: DataFrame, pairs: DataFrame) -> DataFrame:
     return ways[0].join(ways[1], ["a", "b"]).select("a", "b", ((F.col("from_a") + F.col("from_b")) / 2).alias("similarity"), F.col("best_a").alias("best"))
 
 
-def merge_suggestions(prototypes: DataFrame, cannot_link: DataFrame | None = None, least: float = SUGGEST, limit: int | None = None) -> DataFrame:
+def person_candidates(prototypes: DataFrame, least: float, **how: float | bool) -> DataFrame:
+    """(component, person_id): pairs of people, both ways, of which some two prototypes are similar by ``least``; ``how`` is for ``candidate_pairs``.
+
+    A mean of best matches is no higher than the best of them, so with ``exact`` no pair of people whose
+    similarity reaches ``least`` is left out.
+    """
+    numbered = checkpointed(prototypes.select("person_id", "v").withColumn("id", F.monotonically_increasing_id()))
+    pairs = candidate_pairs(numbered.select("id", "v", "person_id"), least, between="person_id", **how)
+    a, b = (numbered.select(F.col("id").alias(x), F.col("person_id").alias(f"{x}_p")) for x in ("a", "b"))
+    people = pairs.join(a, "a").join(b, "b")
+    ways = F.explode(F.array(F.struct(F.col("a_p").alias("component"), F.col("b_p").alias("person_id")), F.struct(F.col("b_p").alias("component"), F.col("a_p").alias("person_id"))))
+    return people.select(ways.alias("w")).select("w.*").distinct()
+
+
+def merge_suggestions(prototypes: DataFrame, cannot_link: DataFrame | None = None, least: float = SUGGEST, limit: int | None = None, exact: bool = True, **how: float) -> DataFrame:
     """(target, candidate, similarity, rank): people that may be one, each candidate with its best target only.
 
-    Similarity of two people: the mean, in both directions, of each prototype's best match. ``prototypes``:
-    person_id, v. Pairs that users declared different are left out, whichever way they were written.
+    Similarity of two people: the mean, in both directions, of each prototype's best match; a direction without
+    a match does not count. ``prototypes``: person_id, v. Only people with two prototypes that are similar by
+    ``least`` are scored: no others can reach it. With ``exact`` those are found by the pruned join, without by
+    signatures (``candidate_pairs``, which takes ``how``): for very many people, at the recall asked for. Pairs
+    that users declared different are left out, whichever way they were written.
     """
-    scores = component_scores(prototypes.select(F.col("person_id").alias("component"), F.xxhash64("person_id", "v").alias("id"), "v"), prototypes).where("component <> person_id")
+    wanted = person_candidates(prototypes, least - 1e-9, exact=exact, **how)
+    scores = component_scores(prototypes.select(F.col("person_id").alias("component"), F.xxhash64("person_id", "v").alias("id"), "v"), prototypes, wanted)
     both = scores.groupBy(F.least("component", "person_id").alias("lo"), F.greatest("component", "person_id").alias("hi")).agg(F.avg("score").alias("similarity")).where(F.col("similarity") >= least)
     if cannot_link is not None:
         both = both.join(cannot_link.select(F.least("person_id_a", "person_id_b").alias("lo"), F.greatest("person_id_a", "person_id_b").alias("hi")).distinct(), ["lo", "hi"], "left_anti")

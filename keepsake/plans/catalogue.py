@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
-from keepsake.operators import curation, events, filters, geo, jobs, people, relational
+from keepsake.operators import curation, events, filters, geo, jobs, nearest, people, relational
 from keepsake.session import table
 from keepsake.sources import files
 
@@ -316,6 +316,13 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.similar_pairs(vectors(spark, sf_dir).select("id", "v"), ALIKE).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"WITH {UNIT} SELECT x.vec_id AS a, y.vec_id AS b, round(list_inner_product(x.e, y.e) / (x.n * y.n), 6) AS similarity FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.45")
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search by signatures, asked for so high a recall that on these tables it misses none."""
+    found = nearest.candidate_pairs(vectors(spark, sf_dir).select("id", "v"), 0.45, recall=0.9999, bits=6)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""WITH RECURSIVE {UNIT}, p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_inner_product(x.e, y.e) / (x.n * y.n) >= {ALIKE}),
 r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY id""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,6 +359,28 @@ def merge_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", "candidate", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query(f"""WITH {UNIT}, t AS (SELECT label, e, n, r = 1 AND label % 2 = 0 AS locked FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM v) WHERE r <= 5),
+m AS (SELECT vec_id % 83 AS component, vec_id, e, n, CASE WHEN vec_id % 83 % 3 = 0 THEN 0 ELSE vec_id // 166 END AS photo_id, (vec_id * 37) % 101 AS quality, (vec_id * 7) % 6 AS retry, CASE WHEN vec_id % 5 = 0 THEN vec_id % 10 END AS previous FROM v),
+bests AS (SELECT component, vec_id, label AS person_id, max(list_inner_product(m.e, t.e) / (m.n * t.n)) AS best, any_value(quality) AS quality FROM m CROSS JOIN t GROUP BY ALL),
+blocked AS (SELECT DISTINCT component, other AS person_id FROM m JOIN (SELECT range AS p, (range + 5) % 10 AS other FROM range(10)) ON p = previous),
+s AS (SELECT component, person_id, avg(best) AS score FROM bests WHERE best >= 0 AND (component, person_id) NOT IN (SELECT (component, person_id) FROM blocked) GROUP BY ALL),
+b AS (SELECT component, arg_max(person_id, (score, -person_id)) AS person_id, max(score) AS score FROM s GROUP BY component),
+z AS (SELECT component, count(*) AS faces, count(DISTINCT photo_id) AS photos, CAST(max(retry) AS INTEGER) AS retries FROM m GROUP BY component),
+j AS (SELECT z.*, person_id, score, CASE WHEN retries <= 1 THEN 0.25 WHEN retries >= 5 THEN 0.5 ELSE 0.25 + 0.25 * (retries - 1) / 4.0 END AS least FROM z LEFT JOIN b USING (component)),
+top AS (SELECT component, vec_id FROM m QUALIFY row_number() OVER (PARTITION BY component ORDER BY quality DESC, vec_id) <= 5),
+w AS (SELECT j.component, avg(best) AS second FROM j JOIN bests USING (component, person_id) JOIN top USING (component, vec_id) WHERE faces > 5 AND score < least AND best >= 0 GROUP BY 1),
+k AS (SELECT label AS person_id, bool_or(locked) AS sure FROM t GROUP BY label),
+d AS (SELECT j.*, second, COALESCE(score >= least, false) AS f1, COALESCE(second >= least, false) AS f2, COALESCE(sure AND score >= least - 0.2, false) AS f3 FROM j LEFT JOIN w USING (component) LEFT JOIN k USING (person_id))
+SELECT component, CASE WHEN f1 OR f2 OR f3 THEN 'attach' WHEN (faces >= 2 AND photos >= 2) OR retries >= 10 THEN 'create' ELSE 'pending' END AS action, CASE WHEN f1 OR f2 OR f3 THEN person_id END AS person_id,
+  CASE WHEN f1 OR f2 OR f3 OR (faces >= 2 AND photos >= 2) OR retries >= 10 THEN 0 ELSE retries + 1 END AS retries, round(CASE WHEN NOT f1 AND f2 THEN second ELSE greatest(COALESCE(score, 0), 0) END, 6) AS score FROM d""")
+def attach_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    members = rows.select((F.col("id") % 83).alias("component"), "id", "v", F.when(F.col("id") % 83 % 3 == 0, 0).otherwise(F.floor(F.col("id") / 166)).alias("photo_id"), (F.col("id") * 37 % 101).alias("quality_score"), (F.col("id") * 7 % 6).cast("int").alias("retry_count"), F.when(F.col("id") % 5 == 0, (F.col("id") % 10).cast("int")).alias("previous"))
+    protos = prototypes(spark, sf_dir).withColumn("locked", F.row_number().over(Window.partitionBy("label").orderBy("id")) == 1).select(F.col("label").alias("person_id"), "v", (F.col("locked") & (F.col("label") % 2 == 0)).alias("locked"))
+    apart = spark.range(5).select(F.col("id").cast("int").alias("person_id_a"), (F.col("id") + 5).cast("int").alias("person_id_b"))
+    return people.attach_components(members, protos, apart, attach=0.25, confirmed=0.2).withColumn("score", F.round("score", 6))
+
+
 NOW = datetime(2024, 1, 30, 12)
 
 

@@ -1,9 +1,10 @@
 """Face clustering, prototypes and suggestions against numpy."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from keepsake.operators import people
+from keepsake.operators import nearest, people
 
 
 def faces(spark, n=90, seed=1):
@@ -66,3 +67,88 @@ def test_suggestions_and_sync(spark):
     moved = people.merge_people(f.withColumn("cluster_status", F.lit("assigned")), spark.createDataFrame([(2, 1)], "source long, target long"))
     assert {r.person_id for r in moved.collect()} == {1}
     assert [r.id for r in people.split_faces(moved, spark.createDataFrame([(12,)], "id long"), None).where("person_id is null and cluster_status = 'pending'").collect()] == [12]
+
+
+def attached(spark, component, locked=False, cannot_link=None, **how):
+    """The decision on one component of (quality, vector[, previous]) faces, among person 11 and 22."""
+    protos = spark.createDataFrame([(11, [1.0, 0.0, 0.0], locked), (11, [0.97, 0.243, 0.0], False), (22, [0.0, 1.0, 0.0], False)], "person_id long, v array<double>, locked boolean")
+    rows = [(1, k, [float(x) for x in f[1]], k, float(f[0]), how.get("retries", 0), f[2] if len(f) > 2 else None) for k, f in enumerate(component)]
+    members = spark.createDataFrame(rows, "component long, id long, v array<double>, photo_id long, quality_score double, retry_count int, previous long")
+    links = spark.createDataFrame(cannot_link, "person_id_a long, person_id_b long") if cannot_link else None
+    r = people.attach_components(members, protos, links, attach=0.7).first()
+    return r.action, r.person_id, r.score
+
+
+def test_a_component_joins_the_person_it_is_like(spark):
+    action, person, score = attached(spark, [(0.5, (1, 0, 0)), (0.5, (0.92, 0.392, 0))])
+    assert (action, person) == ("attach", 11) and score > 0.7
+    action, person, score = attached(spark, [(0.5, (0, 0, 1)), (0.5, (0.1, 0.1, 0.99))])
+    assert (action, person) == ("create", None) and score < 0.7
+
+
+def test_its_best_faces_decide_where_the_others_drag_it_down(spark):
+    good = [(0.9, (1, 0, 0)), (0.85, (0.98, 0.199, 0)), (0.8, (0.97, 0.243, 0)), (0.75, (0.99, 0.1, 0)), (0.7, (0.96, 0.28, 0))]
+    bad = [(0.1, v) for v in ((0, 0, 1), (0.05, 0.05, 0.99), (0.02, 0.02, 0.999), (0, 0.1, 0.995), (0.03, 0, 0.999))]
+    action, person, score = attached(spark, good + bad)
+    assert (action, person) == ("attach", 11) and score > 0.95
+    assert attached(spark, good[:2] + bad[:3])[0] == "create"  # five faces: there are no others
+
+
+def test_a_confirmed_person_needs_less(spark):
+    face = (0.5, (0.68, 0, np.sqrt(1 - 0.68**2)))
+    assert attached(spark, [face]) == ("pending", None, pytest.approx(0.68))
+    assert attached(spark, [face], locked=True) == ("attach", 11, pytest.approx(0.68))
+    assert attached(spark, [(0.5, (0.64, 0, np.sqrt(1 - 0.64**2)))], locked=True)[0] == "pending"
+
+
+def test_a_cannot_link_of_a_face_blocks_its_component(spark):
+    faces = [(0.5, (1, 0, 0), 22), (0.5, (0.98, 0.2, 0))]
+    for pair in ((11, 22), (22, 11)):
+        action, person, score = attached(spark, faces, cannot_link=[pair])
+        assert (action, person) == ("create", None) and score < 0.2  # what is left is person 22
+    assert attached(spark, faces, cannot_link=[(11, 33)])[1] == 11
+
+
+def test_pruned_join_is_exact_and_prunes(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 24))
+    v = centres[rng.integers(0, 12, 900)] + 0.15 * rng.normal(size=(900, 24))
+    odd = [(900, [0.0] * 24), (901, None), (902, []), (903, [1.0, None]), (904, [float("nan")] * 24), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (907, [2.0, -4.0]), (None, [1.0, 2.0])]
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(900)] + odd, "id long, v array<double>").repartition(5)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.8, 1)), strict=True)} | {(905, 906)}
+    for block, pivots in ((2048, 64), (40, 64), (7, 3)):
+        assert {(r.a, r.b) for r in nearest.similar_pairs(df, 0.8, block, pivots).collect()} == want
+    _, cells = nearest.celled(df.withColumn("least", F.lit(0.8)), 40, 64)
+    sizes = [r.parts for r in cells.where("cell.size = 24").collect()]
+    kept = nearest.meeting(cells).where("a.size = 24").count()
+    share = 1 - kept / (len(sizes) * (len(sizes) + 1) / 2)
+    assert share > 0.6, share  # pairs of cells that are never compared
+
+
+def test_signatures_find_what_they_promise(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    v = centres[rng.integers(0, 40, 1500)] + 0.55 * rng.normal(size=(1500, 32))
+    df = spark.createDataFrame([(i, v[i].tolist(), int(i % 7)) for i in range(1500)] + [(1500, None, 0), (1501, [0.0] * 32, 0)], "id long, v array<double>, person_id int")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    pairs = lambda keep: {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.7, 1)), strict=True) if keep(i, j)}
+    want = pairs(lambda i, j: True)
+    found = {(r.a, r.b) for r in nearest.candidate_pairs(df.select("id", "v"), 0.7, recall=0.9).collect()}
+    assert len(want) > 2000 and found <= want and len(found) >= 0.9 * len(want), (len(found), len(want))
+    assert {(r.a, r.b) for r in nearest.candidate_pairs(df, 0.7, exact=True, between="person_id").collect()} == pairs(lambda i, j: i % 7 != j % 7)
+    between = {(r.a, r.b) for r in nearest.candidate_pairs(df, 0.7, recall=0.99, between="person_id").collect()}
+    assert between <= pairs(lambda i, j: i % 7 != j % 7) and len(between) >= 0.97 * len(pairs(lambda i, j: i % 7 != j % 7))
+
+
+def test_suggestions_by_signatures(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 16))
+    rows = [(p, (centres[p // 2] + 0.2 * rng.normal(size=16)).tolist()) for p in range(60) for _ in range(3)]
+    protos = spark.createDataFrame(rows, "person_id long, v array<double>")
+    exact = {(r.target, r.candidate, r.rank): r.similarity for r in people.merge_suggestions(protos, least=0.7).collect()}
+    assert len(exact) >= 30
+    found = {(r.target, r.candidate, r.rank): r.similarity for r in people.merge_suggestions(protos, least=0.7, exact=False, recall=0.999).collect()}
+    assert found.keys() == exact.keys() and all(abs(found[k] - exact[k]) < 1e-12 for k in exact)
+    assert nearest.candidate_pairs(protos.limit(0).withColumnRenamed("person_id", "id"), 0.5).count() == 0
+    assert nearest.similar_pairs(protos.limit(0).withColumnRenamed("person_id", "id"), 0.5).count() == 0
