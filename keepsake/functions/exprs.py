@@ -157,8 +157,9 @@ def clean_path(path: str) -> str:
 
 
 def search_terms(query: str) -> list[str]:
-    """The words of a search, lower-cased, quotes dropped."""
-    return [t for t in re.sub(r'"', "", query).lower().split() if t]
+    """The terms of a search, lower-cased, without quotes; a term that marks part (``well-known``) is several words with spaces between."""
+    cut = [re.sub(r"[\W_]+", " ", t).strip() for t in query.replace('"', "").lower().split()]
+    return [t for t in cut if t]
 
 
 def token_text(text: Column) -> Column:

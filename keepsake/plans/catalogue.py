@@ -8,6 +8,7 @@ others (events_in_window, folder_counts, neighbours_of_one) call the operator.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
-from keepsake.operators import curation, events, filters, geo, jobs, nearest, people, relational
-from keepsake.session import table
+from keepsake.operators import curation, events, filters, geo, jobs, nearest, people, relational, search
+from keepsake.session import shared_dir, table
 from keepsake.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +90,28 @@ def keyword_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(filters.matches_terms([F.col("text")], 'the "of"')).select("doc_id")
 
 
+PLAIN = r"' ' || trim(regexp_replace(lower(COALESCE(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {PLAIN} AS t FROM documents) WHERE contains(t, ' the ') AND contains(t, ' of ')")
+def indexed_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through a stored index."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.build_index(table(spark, sf_dir, "documents"), path, "doc_id")
+    return search.search_index(spark, path, 'the "of"').withColumnRenamed("id", "doc_id")
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'of-the: ' || reverse(text) WHEN doc_id % 7 = 0 THEN 'OF THE ' || COALESCE(text, '') ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0)
+SELECT doc_id FROM (SELECT doc_id, {PLAIN} AS t FROM d) WHERE contains(t, ' of the ')""")
+def indexed_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase, after two updates of some documents and the removal of others; nothing else is indexed again."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.build_index(docs, path, "doc_id")
+    search.update_index(docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("OF THE "), F.coalesce("text", F.lit("")))), path, docs.where("doc_id % 13 = 0"), "doc_id")
+    search.update_index(docs.where("doc_id % 10 = 0 and doc_id % 13 <> 0").withColumn("text", F.concat(F.lit("of-the: "), F.reverse("text"))), path, docs.where("doc_id % 13 = 0"), "doc_id")
+    return search.search_index(spark, path, "of-the").withColumnRenamed("id", "doc_id")
+
+
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def never_displayed_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("photo_id"))
