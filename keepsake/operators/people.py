@@ -237,11 +237,26 @@ def merge_suggestions(prototypes: DataFrame, cannot_link: DataFrame | None = Non
     that users declared different are left out, whichever way they were written.
     """
     wanted = person_candidates(prototypes, least - 1e-9, exact=exact, **how)
-    scores = component_scores(prototypes.select(F.col("person_id").alias("component"), F.xxhash64("person_id", "v").alias("id"), "v"), prototypes, wanted)
-    both = scores.groupBy(F.least("component", "person_id").alias("lo"), F.greatest("component", "person_id").alias("hi")).agg(F.avg("score").alias("similarity")).where(F.col("similarity") >= least)
+    scores = component_scores(_as_members(prototypes), prototypes, wanted)
+    return suggested(pair_scores(scores, least), cannot_link, limit)
+
+
+def _as_members(prototypes: DataFrame) -> DataFrame:
+    """Every person a component of the own prototypes."""
+    return prototypes.select(F.col("person_id").alias("component"), F.xxhash64("person_id", "v").alias("id"), "v")
+
+
+def pair_scores(scores: DataFrame, least: float) -> DataFrame:
+    """(lo, hi, similarity) of pairs of people at ``least`` or above, from scores (component, person_id, score) in either direction."""
+    both = scores.groupBy(F.least("component", "person_id").alias("lo"), F.greatest("component", "person_id").alias("hi")).agg(F.avg("score").alias("similarity"))
+    return both.where((F.col("similarity") >= least) & (F.col("lo") < F.col("hi")))
+
+
+def suggested(pairs: DataFrame, cannot_link: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(target, candidate, similarity, rank) from pairs (lo, hi, similarity): each candidate goes to its best target, the lesser of a pair."""
     if cannot_link is not None:
-        both = both.join(cannot_link.select(F.least("person_id_a", "person_id_b").alias("lo"), F.greatest("person_id_a", "person_id_b").alias("hi")).distinct(), ["lo", "hi"], "left_anti")
-    best = both.groupBy(F.col("hi").alias("candidate")).agg(F.max_by(F.struct(F.col("lo").alias("target"), "similarity"), F.struct("similarity", -F.col("lo"))).alias("b")).select("b.target", "candidate", "b.similarity")
+        pairs = pairs.join(cannot_link.select(F.least("person_id_a", "person_id_b").alias("lo"), F.greatest("person_id_a", "person_id_b").alias("hi")).distinct(), ["lo", "hi"], "left_anti")
+    best = pairs.groupBy(F.col("hi").alias("candidate")).agg(F.max_by(F.struct(F.col("lo").alias("target"), "similarity"), F.struct("similarity", -F.col("lo"))).alias("b")).select("b.target", "candidate", "b.similarity")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("similarity"), "candidate")))
     return ranked.where(F.col("rank") <= limit) if limit else ranked
 

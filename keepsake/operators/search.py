@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
+from keepsake.session import finished_folders
 
 #: Folders that a generation's postings are dealt into by term, and tasks that the documents of each are dealt to.
 BUCKETS, SALTS = 64, 8
@@ -56,9 +57,7 @@ def _write(docs: DataFrame, gone: DataFrame | None, path: str, gen: int, key: st
 
 def _generations(spark: SparkSession, path: str) -> list[int]:
     """The generations whose documents are written to the end; one folder for each update."""
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/documents/gen=*/_SUCCESS")
-    found = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(top)
-    return sorted(int(f.getPath().getParent().getName().removeprefix("gen=")) for f in found)
+    return finished_folders(spark, f"{path}/documents", "gen")
 
 
 def _postings(spark: SparkSession, path: str) -> DataFrame:

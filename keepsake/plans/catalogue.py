@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
-from keepsake.operators import curation, events, filters, geo, jobs, nearest, people, relational, search
+from keepsake.operators import curation, events, filters, geo, jobs, nearest, people, relational, search, slices
 from keepsake.session import shared_dir, table
 from keepsake.sources import files
 
@@ -382,6 +382,27 @@ def merge_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", "candidate", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query(f"""WITH {UNIT}, t AS (SELECT label, e, n FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM v) WHERE CASE WHEN label = 9 THEN false WHEN label % 4 = 1 THEN r BETWEEN 4 AND 9 ELSE r <= 5 END),
+l AS (SELECT label, e, n, row_number() OVER () AS vec_id FROM t), {SCORES.format(left='l')},
+b AS (SELECT least(component, person_id) AS lo, greatest(component, person_id) AS hi, avg(score) AS sim FROM s WHERE component <> person_id GROUP BY ALL HAVING avg(score) >= 0.12),
+x AS (SELECT hi AS candidate, arg_max(lo, (sim, -lo)) AS target, max(sim) AS sim FROM b GROUP BY hi)
+SELECT target, candidate, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY target ORDER BY sim DESC, candidate) AS INTEGER) AS rank FROM x""")
+def resumed_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions after two people changed and one lost all prototypes: the second round of slices looks at these three alone."""
+    path = f"{shared_dir(spark)}/suggestions-{uuid.uuid4().hex}"
+    placed = vectors(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).select(F.col("label").alias("person_id"), "v", "r")
+    first = placed.where("r <= 5").select("person_id", "v", F.lit(1).alias("gen"))
+    while slices.run_slice(first, path, 0.12, limit=4):
+        pass
+    moved = F.col("person_id") % 4 == 1
+    fresh = placed.where("r between 4 and 9 and person_id <> 9").where(moved).select("person_id", "v", F.lit(2).alias("gen"))
+    gone = first.where("person_id = 9").select("person_id", F.lit(None).cast(first.schema["v"].dataType).alias("v"), F.lit(2).alias("gen")).distinct()
+    second = first.where(~moved & (F.col("person_id") != 9)).unionByName(fresh).unionByName(gone)
+    while slices.run_slice(second, path, 0.12, limit=2):
+        pass
+    return slices.stored_suggestions(spark, path).select("target", "candidate", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query(f"""WITH {UNIT}, t AS (SELECT label, e, n, r = 1 AND label % 2 = 0 AS locked FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM v) WHERE r <= 5),
 m AS (SELECT vec_id % 83 AS component, vec_id, e, n, CASE WHEN vec_id % 83 % 3 = 0 THEN 0 ELSE vec_id // 166 END AS photo_id, (vec_id * 37) % 101 AS quality, (vec_id * 7) % 6 AS retry, CASE WHEN vec_id % 5 = 0 THEN vec_id % 10 END AS previous FROM v),
 bests AS (SELECT component, vec_id, label AS person_id, max(list_inner_product(m.e, t.e) / (m.n * t.n)) AS best, any_value(quality) AS quality FROM m CROSS JOIN t GROUP BY ALL),

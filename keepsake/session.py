@@ -56,3 +56,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def finished_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders ``path/name=number`` that a job has written to its end."""
+    marks = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(int(f.getPath().getParent().getName().removeprefix(f"{name}=")) for f in found or [])
