@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.llm.decontaminate import bounded
 from keepsake.llm.staging import release, staged
 from keepsake.llm.substrings import Words, mix, powers
 
@@ -109,7 +110,7 @@ def _kind(docs: DataFrame) -> str:
 
 
 def _windows(suffixes: DataFrame, least: int) -> DataFrame:
-    """(window, doc_id, at, rel, lo, hi): all runs of ``least`` words around each suffix's seed, by hash; they start at ``at + rel``."""
+    """(window, doc_id, start, lo, hi): all runs of ``least`` words around each suffix's seed, by hash."""
     reach = least + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,25 +125,25 @@ def _windows(suffixes: DataFrame, least: int) -> DataFrame:
                 np.cumsum(mix(codes + np.uint64(1)) * forward, axis=1, out=sums[:, 1:])
                 hashes = mix((sums[:, first + least] - sums[:, first]) * inverse[first])
                 row, col = np.nonzero((first >= reach - n_back[:, None]) & (first + least <= reach + n_key[:, None]))
-                rel = pa.array((first[col] - reach).astype(np.int32))
-                ids, at, lo, hi = (part.column(c).take(pa.array(row)) for c in (2, 3, 4, 5))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[row, col].view(np.int64)), ids, at, rel, lo, hi], names=["window", "doc_id", "at", "rel", "lo", "hi"])
+                start = part.column(3).to_numpy()[row] - reach + first[col]
+                ids, lo, hi = (part.column(c).take(pa.array(row)) for c in (2, 4, 5))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[row, col].view(np.int64)), ids, pa.array(start), lo, hi], names=["window", "doc_id", "start", "lo", "hi"])
 
     kind = _kind(suffixes)
-    return suffixes.select("key", "back", "doc_id", "at", "lo", "hi").mapInArrow(run, f"window long, doc_id {kind}, at long, rel int, lo {kind}, hi {kind}")
+    return suffixes.select("key", "back", "doc_id", "at", "lo", "hi").mapInArrow(run, f"window long, doc_id {kind}, start long, lo {kind}, hi {kind}")
 
 
 def _shared_windows(suffixes: DataFrame, least: int) -> DataFrame:
-    """(doc_id, at, start, end, other) of every run of ``least`` words that two different extents have.
+    """(doc_id, start, end, other) of every run of ``least`` words that two different extents have.
 
     Neighbours in an order are few, so what stands between two suffixes can hide a match of theirs; equal
     windows can't be hidden. Counts combine before the shuffle, and adaptive execution splits the way back.
     """
     windows = staged(_windows(suffixes, least), "windows")
     again = windows.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    alone = windows.where("lo = hi").select("window", "doc_id", "at", (F.col("at") + F.col("rel")).alias("start"))  # the others' whole extents are found as such
+    alone = windows.where("lo = hi").select("window", "doc_id", "start")  # the others' whole extents are found as such
     met = alone.join(again, "window")
-    return met.select("doc_id", "at", "start", (F.col("start") + least).alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
+    return met.select("doc_id", "start", (F.col("start") + least).alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
 
 
 def _matrix(values: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +160,7 @@ def _common(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
 
 
 def _matches(rows: pa.Table, least: int, near: int) -> pa.RecordBatch:
-    """Matches of at least ``least`` words between sorted suffixes and their neighbours: (doc_id, at, start, end).
+    """Matches of at least ``least`` words between sorted suffixes and their neighbours: (doc_id, start, end).
 
     Neighbours are the rows up to ``near`` places on, and the next and the previous row of another document.
     """
@@ -183,7 +184,7 @@ def _matches(rows: pa.Table, least: int, near: int) -> pa.RecordBatch:
     i, j, right, left = i[long], j[long], right[long], left[long]
     who = np.concatenate([i, j])
     start, end = at[who] - np.concatenate([left, left]), at[who] + np.concatenate([right, right])
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(who, pa.int64())), *(pa.array(x.astype(np.int64)) for x in (at[who], start, end))], names=["doc_id", "at", "start", "end"])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(who, pa.int64())), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], names=["doc_id", "start", "end"])
 
 
 def _tail(rows: pa.Table, near: int) -> pa.Table:
@@ -195,7 +196,7 @@ def _tail(rows: pa.Table, near: int) -> pa.Table:
 
 
 def _sorted_matches(suffixes: DataFrame, by: str, least: int, near: int) -> DataFrame:
-    """(doc_id, at, start, end) from one global order of the suffixes.
+    """(doc_id, start, end) from one global order of the suffixes.
 
     The order is cut by range over the seed, the next two words, document and place, so a seed that a third
     of all documents have is spread over tasks, and what is sampled for the cut is short. Each task compares
@@ -203,8 +204,8 @@ def _sorted_matches(suffixes: DataFrame, by: str, least: int, near: int) -> Data
     with the first of the next.
     """
     kind = _kind(suffixes)
-    names = ["doc_id", "at", "start", "end", "pair", "nth", "seed", "key", "back"]
-    schema = f"doc_id {kind}, at long, start long, end long, pair long, nth long, seed long, key binary, back binary"
+    names = ["doc_id", "start", "end", "pair", "nth", "seed", "key", "back", "at"]
+    schema = f"doc_id {kind}, start long, end long, pair long, nth long, seed long, key binary, back binary, at long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held, first = TaskContext.get().partitionId(), None, None
@@ -214,7 +215,7 @@ def _sorted_matches(suffixes: DataFrame, by: str, least: int, near: int) -> Data
                 first = rows.slice(0, near)
             m = _matches(rows, least, near)
             none = pa.nulls(m.num_rows)
-            yield pa.RecordBatch.from_arrays([*m.columns, *[none.cast(pa.int64())] * 3, *[none.cast(pa.binary())] * 2], names=names)
+            yield pa.RecordBatch.from_arrays([*m.columns, *[none.cast(pa.int64())] * 3, *[none.cast(pa.binary())] * 2, none.cast(pa.int64())], names=names)
             held = _tail(rows, near)
         for pair, end in ((task - 1, first), (task, held)):
             if end is not None:
@@ -222,7 +223,7 @@ def _sorted_matches(suffixes: DataFrame, by: str, least: int, near: int) -> Data
                 none = pa.nulls(k).cast(pa.int64())
                 seed, key, back, ids, at = (end.column(c).combine_chunks() for c in ("seed", "key", "back", "doc_id", "at"))
                 nth = pa.array(np.arange(k) + (0 if pair == task else 1 << 20))
-                yield pa.RecordBatch.from_arrays([ids, at, none, none, pa.array([pair] * k, pa.int64()), nth, seed, key, back], names=names)
+                yield pa.RecordBatch.from_arrays([ids, none, none, pa.array([pair] * k, pa.int64()), nth, seed, key, back, at], names=names)
 
     cut = suffixes.repartitionByRange("seed", F.substring(F.col(by), 1, 8), "doc_id", "at").sortWithinPartitions("seed", by, "doc_id", "at")
     out = staged(cut.mapInArrow(run, schema), "neighbours")
@@ -236,7 +237,7 @@ def _sorted_matches(suffixes: DataFrame, by: str, least: int, near: int) -> Data
             held = _tail(held, 2 * near)
 
     ends = out.where("pair is not null").repartition("pair").sortWithinPartitions("pair", "nth").select("seed", "key", "back", "doc_id", "at")
-    return out.where("pair is null").select("doc_id", "at", "start", "end").unionByName(ends.mapInArrow(across, f"doc_id {kind}, at long, start long, end long"))
+    return out.where("pair is null").select("doc_id", "start", "end").unionByName(ends.mapInArrow(across, f"doc_id {kind}, start long, end long"))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -274,8 +275,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, near: int = 2) -> DataFr
     for all. Where a seed has different surroundings, these are sorted as suffixes once by the words that
     follow and once by the words before, each is compared with its next ``near`` neighbours and the nearest
     of another document, and matches are extended to both sides. Matches that no two neighbours have are
-    found by the hashes of all runs of ``least`` words around those positions. What is found where a document
-    has the same surroundings several times holds at each of those places. A passage that many documents share links each to one other, never all to all.
+    found by the hashes of all runs of ``least`` words around those positions. Surroundings that one document
+    alone repeats are looked at in each of their places. A passage that many documents share links each to one other, never all to all.
 
     Words are compared unchanged, by hashes. Null ids and null, empty or short texts give nothing; rows that
     repeat an id count as one document, and repeats inside a document alone are not reported. Extra columns
@@ -293,20 +294,12 @@ def repeated_passages(docs: DataFrame, least: int = 50, near: int = 2) -> DataFr
     whole = shared.select("doc_id", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
     several = extents.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
     opened = extents.join(several, "seed", "left_semi")
-    places = opened.groupBy("rep.doc_id").agg(F.collect_list(F.struct(F.col("rep.at").alias("at"), "seed", "lo", "hi")).alias("places"))
+    # one stands for all where all are passages as a whole; surroundings that a document alone repeats are opened at every place
+    own = opened.where("lo = hi and n > 1").select("seed", "extent", "lo", "hi")
+    ones = opened.where("lo < hi or n = 1").select("rep.doc_id", "rep.at", "seed", "lo", "hi")
+    each = ones.unionByName(positions.select("seed", "extent", "doc_id", "at").join(bounded(own, 1_000_000), ["seed", "extent"]).select("doc_id", "at", "seed", "lo", "hi"))
+    places = each.groupBy("doc_id").agg(F.collect_list(F.struct("at", "seed", "lo", "hi")).alias("places"))
     suffixes = staged(_suffixes(known, places, least), "suffixes")
     nobody = F.lit(None).cast(_kind(known)).alias("other")
-    near_by = [_sorted_matches(suffixes, by, least, near).select("doc_id", "at", "start", "end", nobody) for by in ("key", "back")]
-    found = near_by[0].unionByName(near_by[1]).unionByName(_shared_windows(suffixes, least)).distinct()
-    return _merged(whole.unionByName(_at_all_places(found, positions, extents)))
-
-
-def _at_all_places(found: DataFrame, positions: DataFrame, extents: DataFrame) -> DataFrame:
-    """(doc_id, start, end, other): what was found at an extent's first place, at all its places in that document.
-
-    Only extents of one document alone need it: those of several are passages as a whole, at every place.
-    """
-    alone = extents.where("lo = hi and n > 1").select("seed", "extent", F.col("rep.at").alias("first"))
-    twins = positions.join(alone, ["seed", "extent"]).where("at <> first").groupBy("doc_id", F.col("first").alias("at")).agg(F.collect_set(F.col("at") - F.col("first")).alias("shifts"))
-    shift = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.coalesce("shifts", F.array().cast("array<bigint>")))).alias("shift")
-    return found.join(twins, ["doc_id", "at"], "left").select("doc_id", "start", "end", "other", shift).select("doc_id", (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), "other")
+    near_by = [_sorted_matches(suffixes, by, least, near).select("doc_id", "start", "end", nobody) for by in ("key", "back")]
+    return _merged(whole.unionByName(near_by[0]).unionByName(near_by[1]).unionByName(_shared_windows(suffixes, least)))
