@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from keepsake.operators import relational as R
+from keepsake.streaming import keyed
 
 
 def table_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
@@ -43,60 +42,25 @@ def time_sessions(photos: DataFrame, key: str, time: str, hours: int = 24, late:
     return windowed.agg(F.count("*").alias("photo_count"), F.min(time).alias("start_time"), F.max(time).alias("end_time")).drop("w")
 
 
-def events_of_device(photos: DataFrame, hours: float = 24, far_km: float = 50.0, least: int = 3, late: str = "1 day") -> DataFrame:
-    """Events as photos arrive, split by time and place: (device_id, start_time, end_time, photo_count).
+def once_per_ttl(results: DataFrame, key: str, time: str, minutes: float = 5) -> DataFrame:
+    """The newest result of a key in a batch, unless the key was handled in the ``minutes`` before, by the clock.
 
-    Input: device_id, taken_at, lat, lon. An event is given out when the watermark has passed its end by the
-    gap, so its rows can't change any more. A device keeps only its open photos.
+    Each key keeps one flag that the state store forgets by itself after that time, whatever the results'
+    own times are; a later batch then takes the key again. Columns are as they came. Such a query never runs
+    out of batches, since time passes: trigger it by the clock, or once.
     """
-    gap = pd.Timedelta(hours=hours)
-
-    def cut(rows: pd.DataFrame) -> list[pd.DataFrame]:
-        rows = rows.sort_values("taken_at", kind="stable")
-        lat, lon = rows["lat"].map(_radians), rows["lon"].map(_radians)
-        a = ((lat.diff() / 2).map(_sin2)) + lat.map(_cos) * lat.shift().map(_cos) * (lon.diff() / 2).map(_sin2)
-        km = a.map(lambda x: 2 * 6371.0 * _atan(x))
-        return [g for _, g in rows.groupby(((rows["taken_at"].diff() >= gap) | (km > far_km)).cumsum())]
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [pd.DataFrame(state.get[0], columns=["taken_at", "lat", "lon"])] if state.exists and state.get[0] else []
-        held += [p[["taken_at", "lat", "lon"]] for p in parts]
-        rows = pd.concat(held) if held else pd.DataFrame(columns=["taken_at", "lat", "lon"])
-        rows["taken_at"] = pd.to_datetime(rows["taken_at"])
-        now = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        groups = cut(rows) if len(rows) else []
-        closed = [g for g in groups if g["taken_at"].max() + gap <= now]
-        still = [g for g in groups if g["taken_at"].max() + gap > now]
-        full = [g for g in closed if len(g) >= least]
-        if still:
-            rest = pd.concat(still)
-            state.update(([(t.isoformat(), None if pd.isna(a) else float(a), None if pd.isna(o) else float(o)) for t, a, o in rest.itertuples(index=False)],))
-            state.setTimeoutTimestamp(max(int((min(g["taken_at"].max() for g in still) + gap).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"device_id": [key[0]] * len(full), "start_time": [g["taken_at"].min() for g in full], "end_time": [g["taken_at"].max() for g in full], "photo_count": [len(g) for g in full]})
-
-    known = photos.where("taken_at is not null").withWatermark("taken_at", late)
-    return known.groupBy("device_id").applyInPandasWithState(step, "device_id long, start_time timestamp, end_time timestamp, photo_count long", "rows array<struct<taken_at:string,lat:double,lon:double>>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _radians(x: float) -> float:
-    return x * 3.141592653589793 / 180
-
+    return results.where(F.col(key).isNotNull()).groupBy(key).transformWithState(keyed.Once(int(minutes * 60_000), time), results.schema, "Append", "ProcessingTime")
 
-def _sin2(x: float) -> float:
-    import math
 
-    return math.sin(x) ** 2 if x == x else x
-
-
-def _cos(x: float) -> float:
-    import math
-
-    return math.cos(x) if x == x else x
-
-
-def _atan(x: float) -> float:
-    import math
+def events_of_device(photos: DataFrame, hours: float = 24, far_km: float = 50.0, least: int = 3, late: str = "1 day") -> DataFrame:
+    """Events as photos arrive, split by time and place: (device_id, start_time, end_time, photo_count).
 
-    return math.atan2(math.sqrt(x), math.sqrt(max(0.0, 1 - x))) if x == x else x
+    Input: device_id, id, taken_at, lat, lon. A photo may come late by ``late`` and in any order; one that comes
+    twice counts once, as it came last. An event is given out when the watermark has passed its end by the
+    gap, so its rows can't change any more; that is a timer's doing, one for each device. A device keeps only
+    its open photos. Photos without a time or an id are left out.
+    """
+    known = photos.where("taken_at is not null and id is not null").select("device_id", F.col("id").cast("long").alias("id"), "taken_at", F.unix_micros("taken_at").alias("us"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    device = known.schema["device_id"].dataType.simpleString()
+    found = known.withWatermark("taken_at", late).groupBy("device_id").transformWithState(keyed.DeviceEvents(int(hours * 3_600_000_000), far_km, least), f"device_id {device}, start_us long, end_us long, photo_count long", "Append", "EventTime")
+    return found.select("device_id", F.timestamp_micros("start_us").alias("start_time"), F.timestamp_micros("end_us").alias("end_time"), "photo_count")
