@@ -19,6 +19,7 @@ from keepsake.functions import exprs as X
 from keepsake.operators import curation, events, filters, geo, jobs, nearest, people, relational, search, slices
 from keepsake.session import shared_dir, table
 from keepsake.sources import files
+from keepsake.streaming import flows, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,6 +205,20 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).select("user_id", "session", "n", clock("lo").alias("start_time"), clock("hi").alias("end_time"))
 
 
+@query(f"""WITH {SESSIONS.format(src='events').replace('86400000000', '43200000000')}, g AS (SELECT user_id AS device_id, count(*) AS photo_count, min(ts) AS lo, max(ts) AS hi FROM s GROUP BY user_id, session)
+SELECT device_id, photo_count, strftime(lo, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(hi, '%Y-%m-%d %H:%M:%S') AS end_time FROM g
+WHERE photo_count >= 3 AND epoch_us(hi) + 43200000000 <= (SELECT max(epoch_us(ts)) FROM events) - 86400000000""")
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream to its end: the events that are over a day before the last row, as keyed state finds them."""
+    rows, out = table(spark, sf_dir, "events"), f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    stream = flows.table_stream(spark, f"{sf_dir}/events.parquet*", rows.schema)  # a pattern, since a table may be one file
+    photos = stream.select(F.col("user_id").alias("device_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("taken_at"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    found = flows.events_of_device(photos, hours=12)
+    with keyed.rocksdb(spark):
+        found.writeStream.format("parquet").option("path", f"{out}/events").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{out}/events").select("device_id", "photo_count", clock("start_time").alias("start_time"), clock("end_time").alias("end_time"))
+
+
 #: The whole table's events as one timeline, which the library cuts into slots of an hour.
 @query("""WITH c AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000 THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (ORDER BY ts, event_id)),
 s AS (SELECT *, sum(cut) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM c),

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from keepsake.operators import relational as R
 from keepsake.streaming import keyed
 
 
-def table_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
+def table_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 16) -> DataFrame:
     """New Parquet files of a folder; at most so many a batch, which is the queue's bound."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 

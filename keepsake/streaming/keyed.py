@@ -7,14 +7,29 @@ The processors run under ``transformWithState``, which needs the RocksDB state s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from math import atan2, cos, radians, sin, sqrt
 from typing import NamedTuple
 
-from pyspark.sql import Row
+from pyspark.sql import Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """While it holds, queries that start get the store that keyed state needs; for sessions opened elsewhere."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
 class Photo(NamedTuple):
     """When and where; the place may be unknown."""
 
