@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.components import connected_components
+from keepsake.llm.decontaminate import bounded, let
+from keepsake.llm.staging import staged
 
 #: (action, host, path). A rule fits its host and every subdomain below it.
 Rule = tuple[str, str, str]
@@ -35,10 +37,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _host(rest: Column) -> Column:
+    return F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), UPPER, LOWER)
+
+
 def node_of(url: Column) -> Column:
-    """The name under which a url is a node of the alias graph: host, path and query; no fragment."""
-    query = F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(F.length(host_of(url)) > 0, F.concat(host_of(url), path_of(url), F.coalesce(query, F.lit(""))))
+    """The name under which a url is a node of the alias graph: host, path and query; no fragment. Null without a host."""
+    whole = lambda rest: F.concat(_host(rest), F.regexp_extract(rest, "^[^/?#]*([^#]*)", 1))
+    return let(after_scheme(url), lambda rest: F.when(F.length(_host(rest)) > 0, whole(rest)))
 
 
 def rule_map(rules: Sequence[Rule]) -> Column:
@@ -68,6 +74,22 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.reduce(own, F.lit(None).cast("struct<action:string,rule:string,path:string>"), lambda best, r: F.when(best.isNull() | (F.length(r["rule"]) > F.length(best["rule"])), r).otherwise(best))
 
 
+def fitting_rules(places: DataFrame, rules: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(host, path, action, rule): the longest fitting rule of each distinct place (host, path) that has one.
+
+    ``rules``: action, host, path; a policy too large to be part of a plan. Each place looks up the suffixes
+    of its host by an equality join, in which a short rule table is broadcast after a count. Of equal rules an
+    allow stands.
+    """
+    known = staged(rules.where("host is not null and path is not null").select("action", F.col("host").alias("_suffix"), F.col("path").alias("_pre")).distinct(), "rules")
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = places.select("host", "path").distinct().withColumn("_suffix", F.explode(suffixes))
+    met = asked.join(bounded(known, broadcast_rows), "_suffix").where(F.col("path").startswith(F.col("_pre"))).withColumn("_rule", F.concat("_suffix", "_pre"))
+    best = F.max_by(F.struct("action", F.col("_rule").alias("rule")), F.struct(F.length("_rule"), F.col("action") == "allow", "action"))
+    return met.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.*")
+
+
 def plain_target(raw: Column) -> Column:
     """A link's address as it is meant: trimmed, with the character references that addresses are written with."""
     for told, meant in (("&quot;", '"'), ("&#39;", "'"), ("&#x2F;", "/"), ("&#x27;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):
@@ -81,22 +103,29 @@ def absolute(target: Column, url: Column) -> Column:
     Targets may be whole, begin with ``//``, ``/`` or ``?``, or be relative to the page's folder, where ``.``
     and ``..`` are resolved.
     """
-    host, path = host_of(url), path_of(url)
-    base = F.concat(F.lit("x://"), host)
-    own, query = F.regexp_extract(target, "^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(\?[^#]*)", 1)
+    named = F.struct(host_of(url).alias("host"), path_of(url).alias("path"), F.regexp_extract(target, "^([^?#]*)", 1).alias("own"), F.regexp_extract(target, r"^[^?#]*(\?[^#]*)", 1).alias("query"))
+
+    def placed(x: Column) -> Column:
+        base = F.concat(F.lit("x://"), x["host"])
+        return (
+            F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (target == "") | target.startswith("#") | (x["host"] == ""), F.lit(None).cast("string"))
+            .when(target.startswith("//"), F.concat(F.lit("x:"), target))
+            .when(target.startswith("?"), F.concat(base, x["path"], x["query"]))
+            .otherwise(F.concat(base, _resolved(x["own"], x["path"]), x["query"]))
+        )
+
+    return let(named, placed)
+
+
+def _resolved(own: Column, path: Column) -> Column:
+    """A link's path, seen from the page's, without ``.`` and ``..``; a folder named by its dots alone ends in a slash."""
     folder = F.regexp_extract(F.when(path == "", F.lit("/")).otherwise(path), "^(.*/)", 1)
     whole = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
-    steps = F.split(F.substring(whole, F.lit(2), F.length(whole)), "/", -1)
-    done = F.reduce(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
-    # a folder named by its dots alone ends in a slash
-    resolved = F.concat(F.lit("/"), F.array_join(done, "/"), F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(done) > 0), F.lit("/")).otherwise(F.lit("")))
-    return (
-        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (target == "") | target.startswith("#") | (host == ""), F.lit(None).cast("string"))
-        .when(target.startswith("//"), F.concat(F.lit("x:"), target))
-        .when(target.startswith("?"), F.concat(base, path, query))
-        .otherwise(F.concat(base, resolved, query))
-    )
+    steps = let(whole, lambda w: F.split(F.substring(w, F.lit(2), F.length(w)), "/", -1))
+    walk = lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s)))
+    both = let(steps, lambda st: F.struct(F.reduce(st, F.array().cast("array<string>"), walk).alias("done"), F.element_at(st, -1).alias("last")))
+    return let(both, lambda x: F.concat(F.lit("/"), F.array_join(x["done"], "/"), F.when(x["last"].isin(".", "..") & (F.size(x["done"]) > 0), F.lit("/")).otherwise(F.lit(""))))
 
 
 def declared_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -111,34 +140,31 @@ def declared_edges(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     refresh = F.transform(tags("meta", r"http-equiv\s*=\s*[\"']?refresh"), lambda t: F.regexp_extract(plain_target(value(t, "content")), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     # most pages declare neither: one cheap look for the words spares them the patterns
     some = F.lower(head).contains("canonical") | F.lower(head).contains("refresh")
-    targets = F.when(some, F.concat(canonical, refresh)).otherwise(F.array().cast("array<string>"))
     return (
-        pages.select(F.col(url).alias("_from"), F.explode(targets).alias("_to"))
+        pages.where(some).select(F.col(url).alias("_from"), F.explode(F.concat(canonical, refresh)).alias("_to"))
         .select(node_of(F.col("_from")).alias("src"), node_of(absolute(F.col("_to"), F.col("_from"))).alias("dst"))
         .where("src is not null and dst is not null and src <> dst")
         .distinct()
     )
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
     """Judge every page by the longest fitting rule, else by what its aliases were judged.
 
     Urls that redirect to each other or name a common canonical link are aliases: the connected components
     of those edges. A page with a rule of its own keeps that rule's action, so an explicit allow stands even
     among blocked aliases. A page without one is blocked if any alias was blocked by a rule, else allowed.
 
-    ``redirects`` may add edges as columns (src, dst) of urls. Null urls and urls without ``://`` have an
-    empty host and path, no rule and no aliases: they are allowed. Repeated rows are judged alike and all
-    kept; empty tables give empty results; further columns of ``pages`` are not read.
+    ``rules`` is a short list, which becomes part of the plan, or a table (action, host, path), which is joined
+    (``fitting_rules``). ``redirects`` may add edges as columns (src, dst) of urls. Null urls and urls without
+    ``://`` have an empty host and path, no rule and no aliases: they are allowed. Repeated rows are judged
+    alike and all kept; empty tables give empty results; further columns of ``pages`` are not read.
 
     Returns page id, host, path, rule, verdict, component (null for pages without aliases).
     """
     u = F.col(url)
-    judged = (
-        pages.select(F.col(page_id), u.alias("_url"), host_of(u).alias("host"), path_of(u).alias("path"))
-        .withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules))
-        .select(page_id, node_of(F.col("_url")).alias("_node"), "host", "path", F.col("_fit.rule").alias("rule"), F.col("_fit.action").alias("_action"))
-    )
+    placed = pages.select(F.col(page_id), node_of(u).alias("_node"), host_of(u).alias("host"), path_of(u).alias("path"))
+    judged = _by_rule(placed, rules)
     edges = declared_edges(pages, url, html) if html and html in pages.columns else None
     if redirects is not None:
         more = redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")).where("src is not null and dst is not null and src <> dst").distinct()
@@ -148,10 +174,17 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame |
     member = connected_components(edges).withColumnsRenamed({"node": "_node", "component": "_component"})
     # targets that are no page of the table still carry their own rule to their aliases
     as_url = F.concat(F.lit("x://"), F.col("_node"))
-    fit = fitting_rule(host_of(as_url), path_of(as_url), rules)
-    blocked = member.withColumn("_a", fit["action"]).groupBy("_component").agg((F.max(F.when(F.col("_a") == "block", 1).otherwise(0)) == 1).alias("_blocked"))
+    of_nodes = _by_rule(member.select("_node", "_component", host_of(as_url).alias("host"), path_of(as_url).alias("path")), rules)
+    blocked = of_nodes.groupBy("_component").agg((F.max(F.when(F.col("_action") == "block", 1).otherwise(0)) == 1).alias("_blocked"))
     alias = member.join(blocked, "_component")
     return (
         judged.join(alias, "_node", "left")
         .select(page_id, "host", "path", "rule", F.coalesce("_action", F.when(F.col("_blocked"), F.lit("block")), F.lit("allow")).alias("verdict"), F.col("_component").alias("component"))
     )
+
+
+def _by_rule(placed: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """``placed`` (with host and path) with the fitting rule's ``rule`` and ``_action``, or nulls."""
+    if isinstance(rules, DataFrame):
+        return placed.join(fitting_rules(placed, rules).withColumnRenamed("action", "_action"), ["host", "path"], "left")
+    return placed.withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules)).select(*placed.columns, F.col("_fit.rule").alias("rule"), F.col("_fit.action").alias("_action"))

@@ -26,7 +26,9 @@ def test_rules(spark):
     df = spark.createDataFrame([(i, u, None, "z") for i, u in enumerate(some + some[3:6])], "page_id long, url string, html string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, queries.RULES).collect()}
     assert got == {i: plain_judge(u) for i, u in enumerate(some + some[3:6])}
-    assert urls.filter_urls(df.limit(0), queries.RULES).count() == 0
+    policy = spark.createDataFrame([*queries.RULES, queries.RULES[1], ("block", "com", "/"), (None, None, None)], "action string, host string, path string")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, policy).collect()} == got
+    assert urls.filter_urls(df.limit(0), queries.RULES).count() == 0 and urls.filter_urls(df, policy.limit(0)).where("verdict <> 'allow'").count() == 0
     assert {r.verdict for r in urls.filter_urls(df, []).collect()} == {"allow"}
 
 
@@ -67,6 +69,12 @@ def test_relative_and_several_links(spark):
     assert {r.dst for r in urls.declared_edges(both).collect()} == {"h.org/a", "h.org/b", "h.org/c"}
 
 
+def test_plans_stay_small(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for df in (urls.declared_edges(pages), urls.filter_urls(pages, queries.RULES)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") < 100
+
+
 def test_made_aliases_in_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
