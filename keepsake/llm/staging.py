@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -36,15 +36,34 @@ def staged_parts(df: DataFrame, label: str, parts: int, compression: str = "snap
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it holds, Python workers get at most so many rows at a time: for long texts and large sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, rows)
+def arrow_rows(spark: SparkSession, rows: int, size: str = "8m") -> Iterator[None]:
+    """While it holds, Python workers get at most so many rows and about so many bytes at a time: for long texts and large sets."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is staged inside goes at the end, but for the tables that the function it gives has written."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = staged(df, label, "zstd")
+        kept.add(out._staged_path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in set(_written) - before - kept:
+            _folder(_written.pop(path), path, delete=True)
 
 
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
