@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from keepsake.llm import alike, decontaminate, packing, quality, substrings
 from keepsake.llm.queries import word_tokenizer
-from keepsake.llm.staging import staged
+from keepsake.llm.staging import arrow_rows, release, scratch, staged
 from keepsake.session import table
 
 #: Rows that Python workers get at a time: documents are long, and an executor runs several workers.
@@ -23,12 +23,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def by_few_rows(stage):  # noqa: ANN001, ANN201
-    """The stage in a session that hands Python workers BATCH rows at a time."""
+    """The stage with Python workers that get BATCH rows at a time; its result is written, its own tables are removed."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-        return stage(spark, docs, sf_dir)
+        with arrow_rows(spark, BATCH), scratch() as keep:
+            return keep(stage(spark, docs, sf_dir), stage.__name__)
 
     return run
 
@@ -82,10 +82,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder before the next reads them."""
+    """All stages over documents; each stage's rows are written to the shared folder before the next reads them, and go after it."""
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = staged(docs, f"stage-{number}")
+    for _, stage in STAGES:
+        before, docs = docs, stage(spark, docs, sf_dir)
+        release(before)
     return docs
