@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date, timedelta
+from functools import reduce as fold
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,43 +40,52 @@ def month_day_window(day: date, days: int) -> tuple[str, str]:
     return (day - timedelta(days=days)).strftime("%m-%d"), (day + timedelta(days=days)).strftime("%m-%d")
 
 
+def pool_size(limit: int, how: Strategy) -> int:
+    """Candidates that a selection of ``limit`` chooses from."""
+    return max(limit * how.pool_factor, max(2 * limit, 6))
+
+
 def on_this_day(photos: DataFrame, day: date, limit: int, how: Strategy = Strategy(), exclude: DataFrame | None = None, without_year: int | None = None) -> DataFrame:
-    """Photos around a day in any year, ranked: narrow windows first, then nearness, year gap and scores.
+    """Candidates around a day in any year, with ``window_tier``, the narrowest window that gives them, and ``weighted``.
 
-    Every photo gets the narrowest window it lies in, and each window's best by score go on, instead of a query
-    a window. Photos of no window follow by score, so a list of ``limit`` times the pool factor is filled.
+    Each window gives its best by score, a pool of them; wider ones hold narrower ones, so a photo may first
+    come with a window wider than its own. Only if no window has any, the best of all days follow (tier: the
+    number of windows); if there are none either, those below the thresholds and of the excluded as well.
+    Every list is a top-k of its own query; what is put together has at most so many pools.
     """
-    pool = max(limit * how.pool_factor, max(2 * limit, 6))
-    found = P.scored_at_least(P.active(photos).where("ai_analyzed"), how.memory, how.beauty)
+    pool = pool_size(limit, how)
+    ready = P.active(photos).where("ai_analyzed").withColumn("weighted", X.weighted_score(F.col("overall_score"), F.col("top_person_category")))
+    if without_year:
+        ready = ready.where(F.year("taken_at") != without_year)
+    found = P.scored_at_least(ready, how.memory, how.beauty)
     if exclude is not None:
         found = P.excluding(found, exclude)
-    if without_year:
-        found = found.where(F.year("taken_at") != without_year)
-    tier = F.lit(len(how.windows))
-    for k, days in reversed(list(enumerate(how.windows))):
-        tier = F.when(X.in_month_days(F.col("taken_at"), *month_day_window(day, days)), F.lit(k)).otherwise(tier)
-    weighted = X.weighted_score(F.col("overall_score"), F.col("top_person_category"))
-    scored = found.withColumn("window_tier", F.coalesce(tier, F.lit(len(how.windows)))).withColumn("weighted", weighted)
-    best = Window.partitionBy("window_tier").orderBy(F.desc("weighted"), F.desc("overall_score"), F.desc("taken_at"), "id")
-    cut = scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= pool).drop("_n")
-    inside = F.col("window_tier") < len(how.windows)
-    near, gap = X.day_distance(F.col("taken_at"), day.month, day.day), X.year_gap(F.col("taken_at"), day.year)
-    return cut.orderBy("window_tier", F.when(inside, near), F.when(inside, gap), F.desc("weighted"), F.desc("overall_score"), F.desc("memory_score"), F.desc("taken_at"), "id").limit(pool)
+    lists = [found.where(X.in_month_days(F.col("taken_at"), *month_day_window(day, days))) for days in how.windows]
+    lists += [found, P.scored_at_least(ready, 0, 0)]
+    tops = [rows.orderBy(F.desc("weighted"), F.desc("overall_score"), F.desc("taken_at"), "id").limit(pool).withColumn("window_tier", F.lit(k)) for k, rows in enumerate(lists)]
+    first = R.latest_per_key(fold(DataFrame.unionByName, tops), ["id"], [F.col("window_tier")])
+    kind = F.greatest(F.col("window_tier") - (len(how.windows) - 1), F.lit(0))
+    least = first.agg(F.min(kind).alias("_kind"))
+    near, gap = (F.when(F.col("window_tier") < len(how.windows), c) for c in (X.day_distance(F.col("taken_at"), day.month, day.day), X.year_gap(F.col("taken_at"), day.year)))
+    order = [near, gap, F.desc("weighted"), F.desc("overall_score"), F.desc("memory_score"), F.desc("taken_at"), F.col("id")]
+    told = first.join(F.broadcast(least), kind == F.col("_kind")).drop("_kind")
+    return told.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def select_diverse(ranked: DataFrame, limit: int, how: Strategy = Strategy(), group: str | None = None) -> DataFrame:
     """Pick ``limit`` of each group's ranked rows, few of a time, an event and a place; rules fall one by one.
 
     ``ranked``: id, rank, ts, event_key, bucket (nulls restrict nothing). Choices depend on earlier ones, so a
-    group is one call; candidates come cut to a pool by their query, which bounds it.
+    group is one call, on its first rows alone: a pool of them is enough, since without rules any row is taken.
+    With a column tier, rows come in tiers of a pool at most (``on_this_day``): the first tiers that fill the
+    list decide, else those that fill most of it.
     """
-    key = group or "_all"
+    key, size = group or "_all", pool_size(limit, how)
+    gap = pd.Timedelta(hours=how.time_gap_hours)
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "id"]).reset_index(drop=True)
-        pool = min(len(rows), max(limit * how.pool_factor, max(2 * limit, 6)))
+    def chosen_of(rows: pd.DataFrame) -> list[int]:
+        """Places in ``rows``, the first of which are the pool."""
         taken: list[int] = []
-        gap = pd.Timedelta(hours=how.time_gap_hours)
 
         def admissible(i: int, place: bool, event: bool, time: bool) -> bool:
             mine, got = rows.loc[i], rows.loc[taken]
@@ -85,18 +95,32 @@ def select_diverse(ranked: DataFrame, limit: int, how: Strategy = Strategy(), gr
                 return False
             return not (place and how.per_location > 0 and mine.bucket and (got.bucket == mine.bucket).sum() >= how.per_location)
 
-        for part in (range(pool), range(pool, len(rows))):
-            for rules in ((True, True, True), (False, True, True), (False, False, True), (False, False, False)):
-                for i in part:
-                    if len(taken) < limit and i not in taken and admissible(i, *rules):
-                        taken.append(i)
-        out = rows.loc[taken, [key, "id"]].copy()
-        out["place"] = range(1, len(taken) + 1)
-        return out
+        for rules in ((True, True, True), (False, True, True), (False, False, True), (False, False, False)):
+            for i in range(min(len(rows), size)):
+                if len(taken) < limit and i not in taken and admissible(i, *rules):
+                    taken.append(i)
+        return taken
 
-    rows = ranked if group else ranked.withColumn("_all", F.lit(0))
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        best = rows.iloc[:0]
+        for tier in sorted(rows["tier"].unique()):
+            own = rows[rows["tier"] <= tier].sort_values(["rank", "id"]).reset_index(drop=True)
+            taken = chosen_of(own)
+            if len(taken) > len(best):
+                best = own.loc[taken]
+            if len(best) >= limit:
+                break
+        return pd.DataFrame({key: best[key], "id": best["id"], "place": range(1, len(best) + 1)})
+
+    if "tier" in ranked.columns:
+        rows = ranked
+    elif group:
+        rows = R.top_per_group(ranked.withColumnRenamed("rank", "_rank"), group, [F.col("_rank"), F.col("id")], size).withColumn("tier", F.lit(0))
+    else:
+        rows = ranked.orderBy("rank", "id").limit(size).withColumn("tier", F.lit(0))
+    rows = rows if group else rows.withColumn("_all", F.lit(0))
     types = dict(rows.dtypes)
-    chosen = rows.select(key, "id", "rank", "ts", "event_key", "bucket").groupBy(key).applyInPandas(pick, f"{key} {types[key]}, id {types['id']}, place int")
+    chosen = rows.select(key, "id", "rank", "ts", "event_key", "bucket", "tier").groupBy(key).applyInPandas(pick, f"{key} {types[key]}, id {types['id']}, place int")
     return chosen if group else chosen.drop("_all")
 
 
@@ -141,11 +165,11 @@ def adjusted_score(raw: Column, channel: Column, taken_at: Column, category: Col
     return score / (F.lit(1.0) + F.coalesce(displays, F.lit(0)) * F.lit(how.display_decay))
 
 
-def select_curated(candidates: DataFrame, limit: int, group: str | None = None) -> DataFrame:
+def select_curated(candidates: DataFrame, limit: int, group: str | None = None, per_channel: int = 30) -> DataFrame:
     """One seat for each channel, then the best overall, a day apart and two of a category; then without these rules.
 
-    ``candidates``: channel, photo_id, event_id, taken_at, primary_category, score. Their number is bounded by
-    the channels' limits. A photo and an event are chosen once.
+    ``candidates``: channel, photo_id, event_id, taken_at, primary_category, score. A channel has its best
+    ``per_channel`` candidates, which are cut before the group is formed. A photo and an event are chosen once.
     """
     key = group or "_all"
 
@@ -174,6 +198,8 @@ def select_curated(candidates: DataFrame, limit: int, group: str | None = None)
         return out
 
     rows = candidates if group else candidates.withColumn("_all", F.lit(0))
+    best = F.row_number().over(Window.partitionBy(key, "channel").orderBy(F.desc("score"), "photo_id"))
+    rows = rows.withColumn("_n", best).where(F.col("_n") <= per_channel)
     types = dict(rows.dtypes)
     chosen = rows.select(key, "channel", "photo_id", "event_id", "taken_at", "primary_category", "score").groupBy(key).applyInPandas(pick, f"{key} {types[key]}, channel string, photo_id {types['photo_id']}, place int")
     return chosen if group else chosen.drop("_all")
@@ -190,19 +216,46 @@ def arrange(chosen: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return flagged.withColumn("place", F.row_number().over(order)).drop("_first", "_last")
 
 
-def daily_selection(photos: DataFrame, day: date, limit: int, strategy: str = "smart", how: Strategy = Strategy(), exclude: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """(id, place) of a day's pictures by a named strategy: random, on_this_day or smart (the same)."""
+def curated_day(photos: DataFrame, events: DataFrame, tags: DataFrame, day: date, limit: int, how: Strategy = Strategy(), exclude: DataFrame | None = None, recent: DataFrame | None = None) -> DataFrame:
+    """(id, place): a day's pictures from the six channels of events: nominated, scored anew, selected, put in order.
+
+    ``recent``: the events (id) shown of late; ``exclude``: photos (id). Empty where no channel has a candidate.
+    """
+    nobody = events.select("id").limit(0)
+    recent, exclude = (nobody if x is None else x.select("id") for x in (recent, exclude))
+    found = nominate(events, photos, tags, recent, exclude, day, how)
+    shown = recent.select(F.col("id").alias("event_id"), F.lit(True).alias("_recent")).distinct()
+    flagged = found.join(shown, "event_id", "left")
+    score = adjusted_score(F.col("raw_score"), F.col("channel"), F.col("taken_at"), F.col("top_person_category"), [F.col("caption"), F.col("tags")], F.col("display_count"), F.coalesce("_recent", F.lit(False)), day, how)
+    chosen = select_curated(flagged.withColumn("score", score), limit)
+    return arrange(chosen.select(F.col("photo_id").alias("id")).join(photos.select("id", "beauty_score", "memory_score", "main_category"), "id")).select("id", "place")
+
+
+def daily_selection(photos: DataFrame, day: date, limit: int, strategy: str = "smart", how: Strategy = Strategy(), exclude: DataFrame | None = None, seed: int = 0, events: DataFrame | None = None, tags: DataFrame | None = None, recent: DataFrame | None = None) -> DataFrame:
+    """(id, place) of a day's pictures by a named strategy: random, on_this_day, smart (the same) or event_curated.
+
+    ``random`` takes photos of any score if none reaches the thresholds. ``event_curated`` needs ``events`` and
+    ``tags``; a day for which its channels have nothing is chosen as ``on_this_day``.
+    """
+    if strategy == "event_curated":
+        if events is None or tags is None:
+            raise ValueError("event_curated needs events and tags")
+        curated = curated_day(photos, events, tags, day, limit, how, exclude, recent)
+        some = curated.limit(1).select(F.lit(True).alias("_some"))
+        other = daily_selection(photos, day, limit, "on_this_day", how, exclude, seed)
+        return curated.unionByName(other.join(F.broadcast(some), F.col("_some"), "left_anti"))
     if strategy == "random":
-        pool = R.random_sample(P.scored_at_least(P.active(photos), how.memory, how.beauty), limit * how.pool_factor, seed)
-        ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id")))
+        left = P.active(photos) if exclude is None else P.excluding(P.active(photos), exclude)
+        tops = [R.random_sample(rows, limit * how.pool_factor, seed).withColumn("_t", F.lit(k)) for k, rows in enumerate((P.scored_at_least(left, how.memory, how.beauty), P.scored_at_least(left, 0, 0)))]
+        both = tops[0].unionByName(tops[1])
+        pool = both.join(F.broadcast(both.agg(F.min("_t").alias("_t"))), "_t").drop("_t")
+        ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id"))).withColumn("tier", F.lit(0))
     elif strategy in ("smart", "on_this_day"):
-        pool = on_this_day(photos, day, limit, how, exclude)
-        near = X.day_distance(F.col("taken_at"), day.month, day.day)
-        ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy("window_tier", near, X.year_gap(F.col("taken_at"), day.year), F.desc("weighted"), "id")))
+        ranked = on_this_day(photos, day, limit, how, exclude).withColumn("tier", F.col("window_tier"))
     else:
         raise ValueError(f"unknown strategy {strategy}")
     bucket = X.location_bucket(F.col("gps_latitude"), F.col("gps_longitude"), F.col("location"), how.location_km)
-    return select_diverse(ranked.select("id", "rank", F.col("taken_at").alias("ts"), X.event_key(F.col("taken_at"), bucket, F.col("file_path")).alias("event_key"), bucket.alias("bucket")), limit, how)
+    return select_diverse(ranked.select("id", "rank", "tier", F.col("taken_at").alias("ts"), X.event_key(F.col("taken_at"), bucket, F.col("file_path")).alias("event_key"), bucket.alias("bucket")), limit, how)
 
 
 def served_item(items: DataFrame, served: DataFrame) -> DataFrame:
@@ -211,9 +264,9 @@ def served_item(items: DataFrame, served: DataFrame) -> DataFrame:
     return served.join(counted, "batch_id").where(F.col("position") == F.pmod(F.col("n"), F.col("size")) + 1).select("device_id", "photo_id")
 
 
-def daily_batch(photos: DataFrame, day: date, limit: int, how: Strategy = Strategy(), strategy: str = "smart", exclude: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """(batch_date, position, photo_id, title, subtitle): a day's selection with what is written under each picture."""
-    chosen = daily_selection(photos, day, limit, strategy, how, exclude, seed)
+def daily_batch(photos: DataFrame, day: date, limit: int, how: Strategy = Strategy(), strategy: str = "smart", exclude: DataFrame | None = None, seed: int = 0, **curated: DataFrame) -> DataFrame:
+    """(batch_date, position, photo_id, title, subtitle): a day's selection with what is written under each picture; ``curated`` is for event_curated."""
+    chosen = daily_selection(photos, day, limit, strategy, how, exclude, seed, **curated)
     shown = chosen.join(photos.select("id", "caption", "file_path", "taken_at", "location"), "id")
     name = F.element_at(F.split("file_path", "/"), -1)
     return shown.select(F.lit(day).alias("batch_date"), F.col("place").alias("position"), F.col("id").alias("photo_id"), X.display_title(F.col("caption"), name).alias("title"), X.display_subtitle(F.col("taken_at"), F.col("location")).alias("subtitle"))

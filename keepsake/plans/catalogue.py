@@ -60,6 +60,28 @@ def on_this_day_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("id").alias("o_orderkey"), X.month_day(F.col("taken_at")).alias("md"), "weighted")
 
 
+ON_THIS_DAY = f"""f AS (SELECT o_orderkey AS id, o_orderdate AS taken, strftime(o_orderdate, '%m-%d') AS md, o_custkey % 100 AS beauty, o_orderkey % 100 AS memory, o_orderkey % 61 AS overall, o_orderkey % 61 + {BONUS} AS weighted FROM orders
+  WHERE o_custkey % 100 >= 70 AND o_orderkey % 100 >= 70),
+w AS (SELECT *, tier AS window_tier FROM f JOIN (VALUES (0, '03-03', '03-09'), (1, '02-28', '03-13'), (2, '02-05', '04-05')) t(tier, lo, hi) ON md BETWEEN lo AND hi
+  QUALIFY row_number() OVER (PARTITION BY tier ORDER BY weighted DESC, overall DESC, taken DESC, id) <= 50),
+o AS (SELECT id, taken, overall, memory, weighted, min(window_tier) AS window_tier, abs(datediff('day', make_date(year(taken), 3, 6), CAST(taken AS DATE))) AS near, abs(2000 - year(taken)) AS gap FROM w GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY near, gap, weighted DESC, overall DESC, memory DESC, taken DESC, id) AS rank FROM o)"""
+
+
+def dated_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as photos, with scores made from their keys."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(True).alias("ai_analyzed"), F.col("o_orderdate").cast("timestamp").alias("taken_at"), (customer % 100).cast("int").alias("beauty_score"), (key % 100).cast("int").alias("memory_score"),
+        (key % 61).cast("int").alias("overall_score"), category_of(F.col("o_orderpriority")).alias("top_person_category"), F.lit(None).cast("double").alias("gps_latitude"), F.lit(None).cast("double").alias("gps_longitude"), F.lit("").alias("location"), F.concat(F.lit("/p/"), key).alias("file_path"),
+    )
+
+
+@query(f"WITH {ON_THIS_DAY} SELECT id, CAST(window_tier AS INTEGER) AS window_tier, CAST(rank AS INTEGER) AS rank FROM r")
+def on_this_day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.on_this_day(dated_photos(spark, sf_dir), SPRING, 10).select("id", "window_tier", "rank")
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate, '%m-%d') AS md FROM orders WHERE strftime(o_orderdate, '%m-%d') >= '12-28' OR strftime(o_orderdate, '%m-%d') <= '01-04'")
 def on_this_day_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(X.in_month_days(F.col("o_orderdate"), "12-28", "01-04")).select("o_orderkey", X.month_day(F.col("o_orderdate")).alias("md"))
@@ -312,25 +334,38 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(channel.alias("channel"), F.col("o_orderkey").alias("photo_id"), F.col("o_custkey").alias("event_id"), F.col("o_orderdate").alias("taken_at"), F.col("o_orderpriority").alias("primary_category"), score.alias("score"))
 
 
-@query("""SELECT o_orderkey AS photo_id, round((o_totalprice * CASE WHEN month(o_orderdate) = 3 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN o_orderkey % 9 = 0 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END
+CURATED = """(o_totalprice * CASE WHEN month(o_orderdate) = 3 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN o_orderkey % 9 = 0 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END
 + 20.0::DOUBLE * CASE o_orderpriority WHEN '1-URGENT' THEN 3.0::DOUBLE WHEN '2-HIGH' THEN 2.0::DOUBLE WHEN '3-MEDIUM' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
 + CASE WHEN o_orderstatus = 'F' THEN 20.0::DOUBLE * CASE o_orderpriority WHEN '1-URGENT' THEN 3.0::DOUBLE WHEN '2-HIGH' THEN 2.0::DOUBLE WHEN '3-MEDIUM' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END)
-/ (1.0::DOUBLE + (o_custkey % 4) * 0.1::DOUBLE), 4) AS score FROM orders""")
+/ (1.0::DOUBLE + (o_custkey % 4) * 0.1::DOUBLE)"""
+
+
+@query(f"SELECT o_orderkey AS photo_id, round({CURATED}, 4) AS score FROM orders")
 def curated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("photo_id", F.round("score", 4).alias("score"))
 
 
-@query()
+#: The greedy picks step by step: what is taken so far is folded over the rows of one pass after another.
+@query(f"""WITH c AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'people_spotlight' WHEN 'O' THEN 'peak_memory' ELSE 'hidden_gem' END AS ch, o_orderkey AS id, o_custkey AS ev, epoch(o_orderdate::TIMESTAMP) AS s, o_orderpriority AS cat, {CURATED} AS score FROM orders),
+p AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY ch ORDER BY score DESC, id) <= 30),
+steps AS (SELECT list({{'ch': ch, 'id': id, 'ev': ev, 's': s, 'cat': cat, 'pass': pass}} ORDER BY pass, CASE WHEN pass = 0 THEN ch END, score DESC, ch, id) AS l FROM p CROSS JOIN range(3) t(pass)),
+f AS (SELECT list_reduce(l, lambda acc, x: CASE WHEN len(acc) < 12 AND len(list_filter(acc, lambda t: t.id = x.id OR t.ev = x.ev)) = 0 AND (x.pass > 0 OR len(list_filter(acc, lambda t: t.ch = x.ch)) = 0)
+  AND (x.pass = 2 OR (len(list_filter(acc, lambda t: abs(t.s - x.s) < 86400)) = 0 AND len(list_filter(acc, lambda t: t.cat = x.cat)) < 2)) THEN list_append(acc, x) ELSE acc END, l[1:0]) AS acc FROM steps)
+SELECT acc[i].ch AS channel, acc[i].id AS photo_id, CAST(i AS INTEGER) AS place FROM (SELECT acc, unnest(range(1, len(acc) + 1)) AS i FROM f)""")
 def curated_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = relational.top_per_group(candidates(spark, sf_dir), "channel", [F.desc("score"), F.col("photo_id")], 30).drop("rank")
-    return curation.select_curated(pool, 12)
+    return curation.select_curated(candidates(spark, sf_dir), 12)
 
 
-@query()
+@query("""WITH p AS (SELECT c_nationkey, o_orderkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, epoch(o_orderdate::TIMESTAMP) AS s, strftime(o_orderdate, '%Y-%m-%d') AS ev, o_orderpriority AS bucket
+  FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY rank <= 40),
+steps AS (SELECT c_nationkey, list({'id': id, 's': s, 'ev': ev, 'bucket': bucket, 'pass': pass} ORDER BY pass, rank) AS l FROM p CROSS JOIN range(4) t(pass) GROUP BY 1),
+f AS (SELECT c_nationkey, list_reduce(l, lambda acc, x: CASE WHEN len(acc) < 8 AND len(list_filter(acc, lambda t: t.id = x.id)) = 0 AND (x.pass = 3 OR len(list_filter(acc, lambda t: abs(t.s - x.s) < 86400)) = 0)
+  AND (x.pass >= 2 OR len(list_filter(acc, lambda t: t.ev = x.ev)) = 0) AND (x.pass >= 1 OR len(list_filter(acc, lambda t: t.bucket = x.bucket)) < 2) THEN list_append(acc, x) ELSE acc END, l[1:0]) AS acc FROM steps)
+SELECT c_nationkey, acc[i].id AS id, CAST(i AS INTEGER) AS place FROM (SELECT c_nationkey, acc, unnest(range(1, len(acc) + 1)) AS i FROM f)""")
 def diversity_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     rows = table(spark, sf_dir, "orders").join(named, "o_custkey")
-    best = relational.top_per_group(rows, "c_nationkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 60)
+    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("o_totalprice"), "o_orderkey")))
     return curation.select_diverse(best.select("c_nationkey", F.col("o_orderkey").alias("id"), "rank", F.col("o_orderdate").alias("ts"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("event_key"), F.col("o_orderpriority").alias("bucket")), 8, group="c_nationkey")
 
 
@@ -368,7 +403,10 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.components(rows.select("id"), people.similar_pairs(rows.select("id", "v"), ALIKE))
 
 
-@query()
+@query(f"""WITH {UNIT}, p AS (SELECT label, list({{'least': 0.0::DOUBLE, 'id': vec_id, 'e': e}} ORDER BY vec_id) AS l FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 10) GROUP BY label),
+f AS (SELECT label, list_reduce(range(least(4, len(l) - 1)), lambda acc, k: list_append(acc, list_sort(list_transform(list_filter(l, lambda r: len(list_filter(acc, lambda t: t.id = r.id)) = 0),
+  lambda r: {{'least': list_min(list_transform(acc, lambda t: list_cosine_similarity(t.e, r.e))), 'id': r.id, 'e': r.e}}))[1]), l[1:1]) AS acc FROM p)
+SELECT label AS person_id, acc[i].id AS id, CAST(i AS INTEGER) AS place FROM (SELECT label, acc, unnest(range(1, len(acc) + 1)) AS i FROM f)""")
 def prototype_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces = vectors(spark, sf_dir).select("id", F.col("label").alias("person_id"), F.col("v").alias("embedding"), F.lit(False).alias("manual_locked"), F.lit(0.5).alias("confidence"), (1 / (1 + F.col("id"))).alias("quality_score"))
     return people.choose_prototypes(faces)
