@@ -16,24 +16,6 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
-def _splits(rows: DataFrame, over: Window, time: str, row_id: str, lat: str | None, lon: str | None, gap_hours: float, far_km: float) -> Column:
-    """1 where a row begins an event: after a long gap, or far from the row before it."""
-    gap = seconds(F.col(time)) - F.lag(seconds(F.col(time))).over(over)
-    begins = gap.isNull() | (gap >= gap_hours * 3600)
-    if lat and lon:
-        before = [F.lag(c).over(over) for c in (lat, lon)]
-        known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & before[0].isNotNull() & before[1].isNotNull()
-        begins = begins | (known & (X.haversine_km(before[0], before[1], F.col(lat), F.col(lon)) > far_km))
-    return begins.cast("int")
-
-
-def sessions(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, lat: str | None = None, lon: str | None = None, gap_hours: float = GAP_HOURS, far_km: float = FAR_KM) -> DataFrame:
-    """Number the events of each key: ``session`` counts from 1 along time. Rows without a time are left out."""
-    over = Window.partitionBy(*keys).orderBy(time, row_id)
-    cut = rows.where(F.col(time).isNotNull()).withColumn("_cut", _splits(rows, over, time, row_id, lat, lon, gap_hours, far_km))
-    return cut.withColumn("session", F.sum("_cut").over(over.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_cut")
-
-
 def _begins(now: Sequence[Column], before: Column, gap_hours: float, far_km: float) -> Column:
     """Whether a row (seconds, lat, lon) begins an event after the row ``before`` (struct s, lat, lon; null: none)."""
     ts, lat, lon = now
@@ -42,29 +24,37 @@ def _begins(now: Sequence[Column], before: Column, gap_hours: float, far_km: flo
     return F.coalesce((ts - before["s"] >= gap_hours * 3600) | far, F.lit(True))
 
 
+def sessions(rows: DataFrame, keys: Sequence[str], time: str, row_id: str, lat: str | None = None, lon: str | None = None, gap_hours: float = GAP_HOURS, far_km: float = FAR_KM, slot_seconds: int = 3600) -> DataFrame:
+    """Number the events of each key: ``session`` counts from 1 along time. Rows without a time are left out.
+
+    A key's time is cut into slots of an hour, which are windows of their own: a row's predecessor is in its
+    slot or is the last row of the slot before. What crosses slots is one row a slot (last row, number of
+    cuts), some hundred thousand for a key with decades of rows, and only these are put in one order. So a key
+    that holds a third of all rows is many windows, however long its rows go on without a gap.
+    """
+    place = lambda c: F.col(c).cast("double") if c else F.lit(None).cast("double")
+    key = F.struct(F.lit(0).alias("_"), *[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)])  # nulls in it are equal
+    known = rows.where(F.col(time).isNotNull()).withColumns({"_k": key, "_row": F.struct(seconds(F.col(time)).alias("s"), place(lat).alias("lat"), place(lon).alias("lon")), "_slot": F.floor(seconds(F.col(time)) / slot_seconds)})
+    over = Window.partitionBy("_k", "_slot").orderBy(time, row_id)
+    along = Window.partitionBy("_k").orderBy("_slot")
+    lasts = known.groupBy("_k", "_slot").agg(F.max_by("_row", F.struct(time, row_id)).alias("_last"))
+    before = lasts.select("_k", "_slot", F.lag("_last").over(along).alias("_early"))
+    joined = known.withColumn("_own", F.lag("_row").over(over)).join(before, ["_k", "_slot"])
+    flagged = joined.withColumn("_cut", _begins((F.col("_row.s"), F.col("_row.lat"), F.col("_row.lon")), F.coalesce("_own", "_early"), gap_hours, far_km).cast("long")).drop("_own", "_early")
+    cuts = flagged.groupBy("_k", "_slot").agg(F.sum("_cut").alias("_n"))
+    bases = cuts.select("_k", "_slot", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    running = flagged.withColumn("_run", F.sum("_cut").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    return running.join(bases, ["_k", "_slot"]).withColumn("session", (F.col("_base") + F.col("_run")).cast("int")).select(*rows.columns, "session")
+
+
 def cluster_events(photos: DataFrame, gap_hours: float = GAP_HOURS, far_km: float = FAR_KM, least: int = LEAST_PHOTOS, slot_seconds: int = 3600) -> DataFrame:
     """(id, event): one timeline's photos in events of at least ``least``, each named by its first photo.
 
-    Rows: id, taken_at, gps_latitude, gps_longitude; those without a time are left out. The timeline is cut
-    into slots of an hour, which are windows of their own: a row's predecessor is in its slot or is the last
-    row of the slot before. What crosses slots is one row a slot (last row, number of cuts), some hundred
-    thousand for decades of photos, so only that small table is put in one order and broadcast. However long
-    photos go on without a gap, no window holds more than a slot; events are counted by an aggregate.
+    Rows: id, taken_at, gps_latitude, gps_longitude; those without a time are left out. The timeline is cut by
+    slots (``sessions``); events are counted by an aggregate.
     """
-    at = photos.where("taken_at is not null").select("id", seconds(F.col("taken_at")).alias("s"), F.col("gps_latitude").alias("lat"), F.col("gps_longitude").alias("lon"))
-    rows = at.withColumn("slot", F.floor(F.col("s") / slot_seconds))
-    row = F.struct("s", "lat", "lon")
-    over = Window.partitionBy("slot").orderBy("s", "id")
-    lasts = rows.groupBy("slot").agg(F.max_by(row, F.struct("s", "id")).alias("last"))
-    before = lasts.select("slot", F.lag("last").over(Window.orderBy("slot")).alias("early"))
-    cut = rows.withColumn("own", F.lag(row).over(over)).join(F.broadcast(before), "slot")
-    previous = F.coalesce("own", "early")
-    flagged = cut.withColumn("cut", _begins((F.col("s"), F.col("lat"), F.col("lon")), previous, gap_hours, far_km).cast("long")).select("id", "s", "slot", "cut")
-    so_far = F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    bases = flagged.groupBy("slot").agg(F.sum("cut").alias("n")).select("slot", F.coalesce(so_far, F.lit(0)).alias("base"))
-    running = F.sum("cut").over(over.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = flagged.withColumn("run", running).join(F.broadcast(bases), "slot").select("id", "s", (F.col("base") + F.col("run")).alias("session"))
-    named = numbered.groupBy("session").agg(F.count("*").alias("n"), F.min_by("id", F.struct("s", "id")).alias("event")).where(F.col("n") >= least)
+    numbered = sessions(photos.select("id", "taken_at", "gps_latitude", "gps_longitude"), [], "taken_at", "id", "gps_latitude", "gps_longitude", gap_hours, far_km, slot_seconds)
+    named = numbered.groupBy("session").agg(F.count("*").alias("n"), F.min_by("id", F.struct("taken_at", "id")).alias("event")).where(F.col("n") >= least)
     return numbered.join(named, "session").select("id", "event")
 
 

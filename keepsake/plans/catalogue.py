@@ -741,3 +741,55 @@ def photo_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", task.alias("task"), X.task_photo(task).alias("photo"), X.rotate(key % 4 * 90, -90).alias("turned"),
         X.adaptive_threshold(0.7, other % 8).alias("threshold"), X.gps_number(side).alias("coordinate"),
     )
+
+
+CITIES = f"""c AS (SELECT n_nationkey AS geoname_id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN '城' || n_nationkey ELSE '' END AS name_zh, 'R' || n_regionkey AS admin_name, CASE WHEN n_nationkey % 4 = 0 THEN 'XX' ELSE 'X' || n_regionkey END AS country,
+  CAST((n_nationkey * 37) % 170 AS DOUBLE) - 84.5 AS latitude, CAST((n_nationkey * 91) % 360 AS DOUBLE) - 179.5 AS longitude FROM nation),
+p AS (SELECT c_custkey AS id, {LAT} AS lat, {LON} AS lon FROM customer),
+k AS (SELECT id, c.*, 2 * 6371.0 * atan2(sqrt(h), sqrt(greatest(0, 1 - h))) AS km FROM (SELECT *, pow(sin(radians(latitude - lat) / 2), 2) + cos(radians(lat)) * cos(radians(latitude)) * pow(sin(radians(longitude - lon) / 2), 2) AS h FROM p CROSS JOIN c WHERE NOT (lat = 0 AND lon = 0)) c),
+b AS (SELECT *, CASE WHEN name_zh <> '' THEN name_zh ELSE name END AS city FROM k WHERE km <= 800 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, geoname_id) = 1)"""
+
+
+@query(f"WITH {CITIES} SELECT id, country || ' ' || admin_name || ' ' || city AS location, city, round(km, 4) AS km FROM b")
+def reverse_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers at made coordinates, nations as cities; the country codes are none that have a name."""
+    key, region = F.col("n_nationkey"), F.col("n_regionkey")
+    cities = table(spark, sf_dir, "nation").select(
+        key.alias("geoname_id"), F.col("n_name").alias("name"), F.when(key % 3 == 0, F.concat(F.lit("城"), key)).otherwise("").alias("name_zh"), F.concat(F.lit("R"), region).alias("admin_name"), F.when(key % 4 == 0, "XX").otherwise(F.concat(F.lit("X"), region)).alias("country"),
+        ((key * 37) % 170 - F.lit(84.5)).cast("double").alias("latitude"), ((key * 91) % 360 - F.lit(179.5)).cast("double").alias("longitude"),
+    )
+    photos = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(LAT).alias("gps_latitude"), F.expr(LON).alias("gps_longitude"))
+    return geo.reverse_geocode(photos, cities, 800).withColumn("km", F.round("km", 4))
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 3 <> 0 AND substr(o_orderpriority, 1, 1) IN ('1', '5')
+AND o_totalprice % 2 < 1.5 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus || l_returnflag = 'OR')""")
+def photo_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's filter with a status, folders, a flag and a tag, which line items stand for."""
+    rows = table(spark, sf_dir, "orders")
+    photos = rows.select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "excluded").otherwise("active").alias("status"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("2024-01-01").cast("timestamp")).alias("deleted_at"),
+        F.concat(F.lit("/"), F.substring(F.lower("o_orderpriority"), 1, 1), F.lit("/x.jpg")).alias("file_path"), (F.col("o_totalprice") % 2 < 1.5).alias("ai_analyzed"),
+    )
+    tags = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("photo_id"), F.concat("l_linestatus", "l_returnflag").alias("tag"))
+    return filters.photo_filter(photos, tags, paths=["/1", "/5/"], analyzed=True, tag="OR").select("id")
+
+
+@query("""WITH m AS (SELECT user_id AS event, event_id AS id, event_type, value, ts FROM events),
+t AS (SELECT event, event_type FROM (SELECT event, event_type, count(*) AS n FROM m GROUP BY event, event_type) QUALIFY row_number() OVER (PARTITION BY event ORDER BY n DESC, event_type) = 1)
+SELECT m.event, any_value(t.event_type) AS primary_category, count(*) AS photo_count, arg_max(id, (value, -epoch_us(ts), -id)) AS cover_photo_id, round(avg(value) * log2(count(*) + 1), 6) AS event_score FROM m JOIN t USING (event) GROUP BY m.event""")
+def modal_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as one event of the library: the most frequent type, ties to the smallest."""
+    rows = table(spark, sf_dir, "events")
+    nothing = F.lit(None).cast("double")
+    photos = rows.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("taken_at"), nothing.alias("gps_latitude"), nothing.alias("gps_longitude"), F.lit("").alias("location"), F.col("event_type").alias("main_category"), F.col("value").alias("beauty_score"), F.col("value").alias("overall_score"), F.lit("").alias("tags"))
+    found = events.profile_events(photos, rows.select(F.col("event_id").alias("id"), F.col("user_id").alias("event")))
+    return found.select("event", "primary_category", "photo_count", "cover_photo_id", F.round("event_score", 6).alias("event_score"))
+
+
+@query(f"WITH {UNIT} SELECT x.vec_id AS id, round(list_inner_product(x.e, y.e) / (x.n * y.n), 6) AS similarity FROM v x JOIN v y ON y.vec_id = x.label")
+def cosine_to_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's similarity to the one that has its label as id, by the column helper."""
+    rows = vectors(spark, sf_dir)
+    own = rows.select(F.col("id").alias("label"), F.col("v").alias("w"))
+    return rows.join(own, "label").select("id", F.round(X.cosine(F.col("v"), F.col("w")), 6).alias("similarity"))

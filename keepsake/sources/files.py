@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,16 +55,25 @@ def changed_folders(was: DataFrame, now: DataFrame) -> DataFrame:
     return outermost(changed.unionByName(nearest))
 
 
-def batches(rows: DataFrame, columns: Sequence[str], size: int = 500) -> Iterator[list[tuple]]:
-    """Rows' columns in lists of a size, a partition at a time: for clients that must go through all rows."""
-    part: list[tuple] = []
-    for r in rows.select(*columns).toLocalIterator(prefetchPartitions=True):
-        part.append(tuple(r))
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
+def in_batches(rows: DataFrame, columns: Sequence[str], call: Callable[[list[tuple]], Iterable[tuple]], schema: str, size: int = 500) -> DataFrame:
+    """What ``call`` makes of lists of up to ``size`` rows, as rows of ``schema``: for clients that go through all rows.
+
+    Each partition cuts its own rows into lists and calls where they are, one list after another; no row comes
+    to the driver. A task that is run again calls again, so ``call`` must bear that.
+    """
+    names = rows.sparkSession.createDataFrame([], schema).columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for f in frames:
+            held += f.itertuples(index=False, name=None)
+            while len(held) >= size:
+                yield pd.DataFrame(list(call(held[:size])), columns=names)
+                held = held[size:]
+        if held:
+            yield pd.DataFrame(list(call(held)), columns=names)
+
+    return rows.select(*columns).mapInPandas(run, schema)
 
 
 def missing_files(catalog: DataFrame, listing: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def test_changed_folders(spark):
     was = spark.createDataFrame([("/a", 1), ("/a/b", 1), ("/a/c/d", 1), ("/e", 1), ("/e/f", 1)], schema)
     now = spark.createDataFrame([("/a", 1), ("/a/b", 2), ("/a/b/new", 1), ("/e", 1), ("/g", 1)], schema)
     assert sorted(r.path for r in files.changed_folders(was, now).collect()) == ["/a", "/e", "/g"]
-    assert sorted(x for part in files.batches(now, ["path"], 2) for (x,) in part) == ["/a", "/a/b", "/a/b/new", "/e", "/g"]
+    called = files.in_batches(now.repartition(2), ["path"], lambda rows: [(len(rows), min(r[0] for r in rows)), (0, "")], "n int, first string", 2).collect()
+    assert sum(r.n for r in called) == 5 and max(r.n for r in called) == 2 and sum(r.n == 0 for r in called) == len(called) / 2
 
 
 def test_locks_links_and_retries(spark):
