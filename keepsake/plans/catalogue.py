@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
-from keepsake.operators import curation, events, filters, geo, jobs, nearest, people, relational, search, slices
+from keepsake.operators import curation, events, filters, geo, jobs, nearest, people, pixels, relational, search, slices
 from keepsake.session import shared_dir, table
-from keepsake.sources import files
-from keepsake.streaming import flows, keyed
+from keepsake.sources import artifacts, files
+from keepsake.streaming import flows, keyed, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -793,3 +793,50 @@ def cosine_to_own(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     own = rows.select(F.col("id").alias("label"), F.col("v").alias("w"))
     return rows.join(own, "label").select("id", F.round(X.cosine(F.col("v"), F.col("w")), 6).alias("similarity"))
+
+
+def vector_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a picture of 8 x 8: component k is the red of pixel k, the green of 63 - k, the blue of another."""
+    level = lambda x: F.least(F.greatest(F.floor(F.lit(128) + x.cast("double") * 256), F.lit(0)), F.lit(255)).cast("int")
+    levels = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", F.transform("embedding", level).alias("l"))
+    byte = lambda k: F.lpad(F.hex(F.get("l", k)), 2, "0")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.concat(byte(k), byte(63 - k), byte(k * 7 % 64))), "")
+    return levels.select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(text).alias("pixels"))
+
+
+@query("""WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor(128 + CAST(x AS DOUBLE) * 256), 0), 255)) AS l FROM embeddings WHERE len(embedding) = 64),
+p AS (SELECT vec_id, k % 8 AS x, k // 8 AS y, l[k + 1] AS r, l[64 - k] AS g, l[k * 7 % 64 + 1] AS b FROM l CROSS JOIN range(64) t(k)),
+v AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS light FROM p),
+s AS (SELECT v.vec_id, v.x, v.y, COALESCE(abs(v.light - e.light), 0) + COALESCE(abs(v.light - d.light), 0) + 0.35 * (greatest(v.r, v.g, v.b) - least(v.r, v.g, v.b)) AS s
+  FROM v LEFT JOIN v e ON e.vec_id = v.vec_id AND e.y = v.y AND e.x = v.x + 1 LEFT JOIN v d ON d.vec_id = v.vec_id AND d.x = v.x AND d.y = v.y + 1),
+w AS (SELECT vec_id, o AS x, sum(s) FILTER (s.x >= o AND s.x < o + 5) / sum(s) - abs((o + 2.5) / 8 - 0.5) * 0.18 AS score FROM s CROSS JOIN range(4) t(o) GROUP BY vec_id, o)
+SELECT vec_id AS id, CAST(arg_max(x, (round(score, 12), -x)) AS INTEGER) AS x, 0 AS y, 5 AS crop_width, 8 AS crop_height FROM w GROUP BY vec_id""")
+def crop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.crop_windows(vector_pictures(spark, sf_dir), 480, 800)
+
+
+@query()
+def picture_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error diffusion is a walk from pixel to pixel; tests compare it with plain loops."""
+    found = pixels.quantised(vector_pictures(spark, sf_dir), "floyd_steinberg")
+    return found.select("id", F.sha2("packed", 256).alias("packed_sha256"), F.octet_length("places").alias("n_pixels"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256, true AS whole FROM documents WHERE text IS NOT NULL")
+def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as artifacts: written, listed by the manifest, read back and compared with their checksums."""
+    path = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    artifacts.write_artifacts(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("payload")), path)
+    return artifacts.read_artifacts(spark, path).join(artifacts.manifest(spark, path).select("name", "size", "sha256"), "name").select("name", "size", "sha256", "whole")
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_custkey % 5 AS size FROM orders WHERE o_orderkey % 7 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 9 ELSE o_custkey % 5 END AS size FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT count(*) AS total, count_if(b.o_orderkey IS NULL) AS inserts, count_if(n.o_orderkey IS NULL) AS deletes, count_if(b.size <> n.size) AS updates FROM b FULL JOIN n USING (o_orderkey)""")
+def scan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a comparison of two listings did, counted while it was written."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file_path"), "o_orderkey", (F.col("o_custkey") % 5).alias("file_size"), F.lit(None).cast("timestamp").alias("file_mod_time"))
+    now = rows.where("o_orderkey % 5 <> 0").withColumn("file_size", F.when(F.col("o_orderkey") % 11 == 0, 9).otherwise(F.col("file_size")))
+    diff = files.scan_diff(rows.where("o_orderkey % 7 <> 0"), now)
+    told, counts = progress.observed(diff, inserts=F.col("action") == "insert", deletes=F.col("action") == "delete", updates=F.col("action") == "update")
+    told.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([counts.get], "total long, inserts long, deletes long, updates long")
