@@ -20,13 +20,19 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _PLAIN, _MARKS = frozenset(string.ascii_letters + string.digits), string.punctuation
 
 
+def normalizers(told: dict) -> list[dict]:
+    """The normalisers of a tokenizer file in their order: none, one, or a sequence of them."""
+    own = told.get("normalizer")
+    return own.get("normalizers", [own]) if own else []
+
+
 def drops_white_space(told: dict) -> bool:
     """Whether a tokenizer file says that a text's ids are its words' ids one after another.
 
     It does if it only composes, lower-cases and folds white space, keeps the pieces of WORD_PATTERN, merges
     inside pieces, and has no control token that takes white space with it or does not begin with ``<|``.
     """
-    normal = [(x["type"], x.get("pattern")) for x in (told.get("normalizer") or {}).get("normalizers", [])]
+    normal = [(x["type"], x.get("pattern")) for x in normalizers(told)]
     cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
     return (
         told["model"]["type"] == "BPE"
@@ -38,6 +44,11 @@ def drops_white_space(told: dict) -> bool:
     )
 
 
+def lower_cases(told: dict) -> bool:
+    """Whether a tokenizer file has texts in lower case before it cuts them."""
+    return any(x["type"] == "Lowercase" for x in normalizers(told))
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, all of them from the library.
 
@@ -48,7 +59,8 @@ class Encoder:
 
     def __init__(self, path: str, limit: int = 700_000) -> None:
         with open(path, encoding="utf-8") as f:
-            self._by_words = drops_white_space(json.load(f))
+            told = json.load(f)
+        self._by_words, self._lower = drops_white_space(told), lower_cases(told)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self._whole, self._limit, self._known = Tokenizer.from_file(path), limit, {}
 
@@ -88,7 +100,7 @@ class Encoder:
         for w in words:
             if w not in known:
                 if w.isascii() and w.isalpha():
-                    known[w] = array("I", [t.id for t in merge(w.lower())]).tobytes()
+                    known[w] = array("I", [t.id for t in merge(w.lower() if self._lower else w)]).tobytes()
                 else:
                     rest.append(w)
         for at in range(0, len(rest), 10_000):

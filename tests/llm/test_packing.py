@@ -100,3 +100,22 @@ def test_words_are_remembered_only_where_the_file_allows_it():
     small = tokens.Encoder(public.path("word_bpe_49k.json"), limit=5)
     texts = ["one two three", "four five six seven", "", "one two", "eight nine ten eleven twelve thirteen"] * 3
     assert [x for t in texts for x in small.encode([t])] == list(tokens.encode_texts(public.path("word_bpe_49k.json"), texts))
+
+
+def test_ids_of_files_with_other_normalisers(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        told = tokens.json.load(f)
+    own = tokens.normalizers(told)
+    assert any(x["type"] == "Lowercase" for x in own)
+    cased = [x for x in own if x["type"] != "Lowercase"]
+    texts = ["Hello World", "HELLO, WORLD. don't A.B", "É é \u0130 ǅ ﬁ Ａ", "a\u00a0b  c\n", "", "<|endoftext|> Xy.", "hello World's 5x"]
+    forms = [{"type": "Sequence", "normalizers": cased}, {"type": "Lowercase"}, {"type": "NFKC"}, {"type": "NFC"}, None, {"type": "Sequence", "normalizers": []}, {"type": "Sequence", "normalizers": [{"type": "NFKC"}, *own]}]
+    for k, form in enumerate(forms):
+        path = f"{tmp_path}/{k}.json"
+        with open(path, "w", encoding="utf-8") as f:
+            tokens.json.dump(told | {"normalizer": form}, f)
+        library = tokenizers.Tokenizer.from_file(path)
+        want = [b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert list(tokens.encode_texts(path, texts)) == want, form
