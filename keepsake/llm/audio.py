@@ -112,6 +112,24 @@ def to_pcm(media: bytes) -> tuple[np.ndarray, int]:
     raise ValueError(f"format {tag}")
 
 
+def adpcm_together(files: list[bytes | None]) -> dict[int, np.ndarray]:
+    """The samples of those files, by place, that are whole ADPCM blocks: the blocks of all files side by side."""
+    by_size: dict[int, list[tuple[int, bytes]]] = {}
+    for k, x in enumerate(files):
+        try:
+            tag, _, block, data = read_wav(x or b"")
+        except (ValueError, struct.error):
+            continue
+        if tag == IMA_ADPCM and block > 4 and data and len(data) % block == 0:
+            by_size.setdefault(block, []).append((k, data))
+    found = {}
+    for block, own in by_size.items():
+        samples = decode_adpcm(b"".join(data for _, data in own), block)
+        ends = np.cumsum([len(data) // block * (2 * (block - 4) + 1) for _, data in own])
+        found |= {k: part for (k, _), part in zip(own, np.split(samples, ends[:-1]), strict=True)}
+    return found
+
+
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation on the new clock; as many samples as the duration holds."""
     if rate == to or not len(pcm) or not rate:
@@ -168,10 +186,11 @@ def decode_audio(df: DataFrame, media: str = "media", to_rate: int = 16000, keep
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_rows(batches):
-            rows = []
-            for x in b.column(len(keep)).to_pylist():
+            rows, files = [], b.column(len(keep)).to_pylist()
+            known = adpcm_together(files)
+            for k, x in enumerate(files):
                 try:
-                    pcm, rate = to_pcm(x or b"")
+                    pcm, rate = (known[k], read_wav(x)[1]) if k in known else to_pcm(x or b"")
                     rows.append((read_wav(x)[3], wav(resample(pcm, rate, to_rate).astype("<i2").tobytes(), PCM, to_rate, 16, 2), features(pcm, rate), None))
                 except (ValueError, struct.error) as e:
                     rows.append((None, None, None, str(e)))

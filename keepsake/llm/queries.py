@@ -73,14 +73,15 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     zeros = F.unhex(F.repeat(F.lit("00"), padded - n))
     docs = table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n_bytes"), F.concat(text, zeros).alias("payload"))
     done = []
-    for media in audio.store_payloads(docs, "payload", keep=("doc_id", "n_bytes"), parts=8):
+    for media in audio.store_payloads(docs, "payload", (audio.MULAW, audio.ALAW, audio.IMA_ADPCM), keep=("doc_id", "n_bytes"), parts=8):
         sha = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
         back = audio.decode_audio(sha, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
         size = F.octet_length("samples")
         told = back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "pcm")
-        done.append(staged(told, "pcm", "zstd", audio.LEVEL))
-        release(media)  # so the files and their much larger PCM are never on disk together as a whole
-    return reduce(DataFrame.unionByName, [audio.pcm_features(pcm, keep=tuple(pcm.columns[:-1])) for pcm in done])
+        pcm = staged(told, "pcm", "zstd", audio.LEVEL)
+        done.append(staged(audio.pcm_features(pcm, keep=tuple(pcm.columns[:-1])), "features", "zstd"))
+        release(media, pcm)  # so the files and their much larger PCM are never on disk as a whole
+    return reduce(DataFrame.unionByName, done)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,17 +140,18 @@ def test_files(spark, tag):
 
 
 def test_query(spark, tmp_path):
-    texts = [None, "", "a", "é" * 32, "x" * 65, "🙂 " * 3000, "x" * 65]
+    texts = [None, "", "a", "é" * 32, "x" * 65, "🙂 " * 3000, "x" * 65, *("t" * k for k in range(1, 20))]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'z' as payload", "1 as media").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in queries.op7_media_columns(spark, str(tmp_path)).collect()}
+    got, seen = {r.doc_id: r for r in queries.op7_media_columns(spark, str(tmp_path)).collect()}, set()
     for d, t in enumerate(texts):
         raw = (t or "").encode()
         full = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
-        media = audio.wav(full, (audio.MULAW, audio.ALAW)[zlib.crc32(full) % 2])
+        media = audio.container(full, (audio.MULAW, audio.ALAW, audio.IMA_ADPCM)[zlib.crc32(full) % 3])
+        seen.add(audio.read_wav(media)[0])
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-    assert got[4].feature == got[6].feature
+    assert got[4].feature == got[6].feature and seen == {audio.MULAW, audio.ALAW, audio.IMA_ADPCM}
 
 
 def test_every_format_on_a_whole_table(spark):
@@ -191,9 +192,9 @@ def test_short_last_blocks_and_channels(spark):
 
 
 def test_features_are_of_the_stored_pcm(spark, tmp_path):
-    text = "some words of a text " * 20
-    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    [row] = queries.op7_media_columns(spark, str(tmp_path)).collect()
-    full = text.encode().ljust(-(-len(text) // 64) * 64, b"\0")
-    pcm, rate = audio.to_pcm(audio.wav(full, (audio.MULAW, audio.ALAW)[zlib.crc32(full) % 2]))
-    assert row.feature == audio.features(audio.resample(pcm, rate, 16000), 16000)
+    texts = {k: f"{k} some words of a text " * (20 + k) for k in range(8)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for row in queries.op7_media_columns(spark, str(tmp_path)).collect():
+        full = texts[row.doc_id].encode().ljust(-(-len(texts[row.doc_id]) // 64) * 64, b"\0")
+        pcm, rate = audio.to_pcm(audio.container(full, (audio.MULAW, audio.ALAW, audio.IMA_ADPCM)[zlib.crc32(full) % 3]))
+        assert row.feature == audio.features(audio.resample(pcm, rate, 16000), 16000)
