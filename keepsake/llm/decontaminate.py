@@ -5,20 +5,49 @@ Everything here is DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.staging import staged
 
-#: Units that may follow a number.
+#: Units that may follow a number, in English, French, German and Spanish.
 UNITS = (
     "km", "m", "cm", "mm", "miles", "mile", "feet", "foot", "ft", "inches", "inch", "yards", "kg", "g", "mg", "lb", "lbs", "pounds", "pound", "oz",
     "tons", "liters", "litres", "ml", "l", "gallons", "seconds", "second", "sec", "minutes", "minute", "min", "hours", "hour", "days", "day", "weeks",
     "week", "months", "month", "years", "year", "mph", "kmh", "percent", "dollars", "dollar", "cents", "euros", "euro", "degrees",
+    "kilomètres", "kilomètre", "mètres", "mètre", "kilos", "kilo", "grammes", "litre", "tonnes", "secondes", "seconde", "heures", "heure", "jours", "jour",
+    "semaines", "semaine", "mois", "ans", "année", "années", "degrés", "centimes", "Kilometer", "Meter", "Zentimeter", "Meilen", "Kilogramm", "Kilo", "Gramm",
+    "Liter", "Tonnen", "Sekunden", "Sekunde", "Minuten", "Stunden", "Stunde", "Uhr", "Tage", "Tagen", "Tag", "Wochen", "Woche", "Monate", "Monaten", "Monat",
+    "Jahre", "Jahren", "Jahr", "Prozent", "Grad", "Euro", "Cent", "kilómetros", "kilómetro", "metros", "metro", "millas", "kilogramos", "gramos", "litros",
+    "toneladas", "segundos", "segundo", "minutos", "minuto", "horas", "hora", "días", "día", "semanas", "semana", "meses", "mes", "años", "año", "grados", "céntimos",
+)
+#: Numbers as words in the same languages; those that are articles, and Spanish eleven, which is an English adverb, are not taken.
+NUMBER_WORDS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "dozen",
+    "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf", "dix", "onze", "douze", "treize", "quatorze", "quinze", "seize", "vingt", "trente",
+    "quarante", "cinquante", "soixante", "cent", "mille", "null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "elf", "zwölf",
+    "dreizehn", "vierzehn", "fünfzehn", "sechzehn", "siebzehn", "achtzehn", "neunzehn", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig", "siebzig",
+    "achtzig", "neunzig", "hundert", "tausend", "cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "doce", "trece",
+    "catorce", "quince", "dieciséis", "diecisiete", "dieciocho", "diecinueve", "veinte", "veintiuno", "veintidós", "treinta", "cuarenta", "cincuenta", "sesenta",
+    "setenta", "ochenta", "noventa", "cien", "ciento", "mil",
 )
 _NUMBER = r"([0-9][0-9·]*)"
+
+
+def any_word(words: Sequence[str]) -> str:
+    """A pattern for any of the words that tries each beginning once: alternatives part where the words do."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    end = heads.pop("", None)
+    parts = "|".join(head + any_word(rest) for head, rest in heads.items())
+    return f"(?:{parts})?" if parts and end else f"(?:{parts})" if len(heads) > 1 else parts
+
+
+_UNIT, _NUMERAL = any_word(UNITS), any_word(NUMBER_WORDS)
 #: What separates words once slots are marked.
 _BETWEEN = r"[^\p{L}\p{N}\p{M}⟨⟩·]+"
 
@@ -34,18 +63,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def marked(text: Column) -> Column:
     """The text with each slot written as ``⟨type⟩value``: num, unit (after a number, or a currency sign), name.
 
-    A name is a capitalised word inside a sentence: one that follows a small letter, digit, comma or
-    semicolon and one space. Points and commas inside numbers become a middle dot.
+    A number is digits or number words, several of which with spaces or hyphens between are one ("twenty-five",
+    but not "two hundred and six" nor compounds like "dreiundzwanzig"). A name is a capitalised word inside a
+    sentence, one that follows a small letter, digit, comma or semicolon and one space, with up to three more
+    capitalised words after it: "New York" is one. Points and commas inside numbers, and what is between the
+    words of one slot, become a middle dot.
     """
+    numeral = rf"(?iu)\b{_NUMERAL}\b"
+
+    def by_words(plain: Column) -> Column:
+        joined = F.regexp_replace(plain, rf"(?iu)\b({_NUMERAL})[ -](?={_NUMERAL}\b)", "$1·")
+        return F.regexp_replace(joined, rf"(?iu)(?<![\p{{L}}\p{{N}}·])({_NUMERAL}(?:·{_NUMERAL})*)(?![\p{{L}}\p{{N}}·])", " ⟨num⟩$1 ")
 
-    def numbers(plain: Column) -> Column:
+    def by_digits(plain: Column) -> Column:
         joined = F.regexp_replace(plain, r"(?<=[0-9])[.,:/](?=[0-9])", "·")
-        with_unit = F.regexp_replace(joined, rf"{_NUMBER}\s?({'|'.join(UNITS)})\b", " ⟨num⟩$1 ⟨unit⟩$2 ")
-        return F.regexp_replace(F.regexp_replace(with_unit, rf"(?<![⟩0-9·]){_NUMBER}", " ⟨num⟩$1 "), r"[$€£%]", " ⟨unit⟩$0 ")
+        return F.regexp_replace(F.regexp_replace(joined, _NUMBER, " ⟨num⟩$1 "), r"[$€£%]", " ⟨unit⟩$0 ")
 
     plain = let(text, lambda t: F.when(t.rlike("[⟨⟩·]"), F.translate(t, "⟨⟩·", "   ")).otherwise(t))
-    counted = let(plain, lambda t: F.when(t.rlike("[0-9]"), numbers(t)).otherwise(t))
-    return F.regexp_replace(counted, r"\p{Lu}(?<=[\p{Ll}\p{N},;⟩] \p{Lu})\p{L}*", "⟨name⟩$0")
+    worded = let(plain, lambda t: F.when(t.rlike(numeral), by_words(t)).otherwise(t))
+    counted = let(worded, lambda t: F.when(t.rlike("[0-9$€£%]"), by_digits(t)).otherwise(t))
+    with_units = let(counted, lambda t: F.when(t.contains("⟨num⟩"), F.regexp_replace(t, rf"(⟨num⟩[^ ⟨⟩]+) +({_UNIT})(?![\p{{L}}\p{{N}}])", "$1 ⟨unit⟩$2 ")).otherwise(t))
+    before = "|".join(r"[\p{Ll}\p{N},;⟩]" + r" \p{Lu}\p{L}{0,30}" * n + " " for n in (1, 2, 3))
+    named = F.regexp_replace(with_units, rf" (?=\p{{Lu}})(?<={before})", "·")
+    return F.regexp_replace(named, r"\p{Lu}(?<=[\p{Ll}\p{N},;⟩] \p{Lu})[\p{L}·]*", "⟨name⟩$0")
 
 
 def words_of(marked_text: Column, values: bool) -> Column:
@@ -97,8 +137,8 @@ def class_windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def _bare(valued: Column) -> Column:
-    """Valued words without the slots' types, which depend on what stands before."""
-    return F.transform(valued, lambda x: F.regexp_replace(x, "⟨[a-z]+⟩", ""))
+    """Valued words without the slots' types and bounds, which depend on what stands before."""
+    return F.flatten(F.transform(valued, lambda x: F.split(F.regexp_replace(x, "⟨[a-z]+⟩", ""), "·")))
 
 
 def _whole_items(docs: DataFrame, items: DataFrame, bench: DataFrame, doc_id: str, text: str, broadcast_rows: int) -> DataFrame | None:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from keepsake.llm import decontaminate
 
 QUESTION = "A train leaves Paris at 9 hours and travels 120 km towards Lyon while another train leaves the city of Lyon at 11 hours going towards Paris again"
@@ -87,3 +89,71 @@ def test_versions_of_one_question_are_one_item(spark):
     assert got == {(d, 30): ("reparameterised", 30) for d in range(20)} | {(50, 30): ("exact", 30), (51, 70): ("reparameterised", 1)}
     classes = decontaminate.item_classes(spark.createDataFrame(items, "item_id long, text string")).select("item", "member").collect()
     assert {(r.item, r.member) for r in classes} == {(30, i) for i in range(30, 60)} | {(70, 70)}
+
+
+def test_numbers_as_words_units_of_four_languages_and_long_names(spark):
+    texts = {
+        "it took Twenty-five hours and 3.5 km": "it took ⟨num⟩ ⟨unit⟩ and ⟨num⟩ ⟨unit⟩",
+        "two hundred trains, sixteen km, tenfold": "⟨num⟩ trains ⟨num⟩ ⟨unit⟩ tenfold",
+        "il y a douze heures et deux mille personnes": "il y a ⟨num⟩ ⟨unit⟩ et ⟨num⟩ personnes",
+        "es sind fünf Stunden bis Bad Homburg, 20 Uhr": "es sind ⟨num⟩ ⟨unit⟩ bis ⟨name⟩ ⟨num⟩ ⟨unit⟩",
+        "hay veintidós días y 7 años en San José de Costa": "hay ⟨num⟩ ⟨unit⟩ y ⟨num⟩ ⟨unit⟩ en ⟨name⟩ de ⟨name⟩",
+        "we left New York City for Rome. The Paris train": "we left ⟨name⟩ for ⟨name⟩ the ⟨name⟩ train",
+        "a one b $5 and 10% of 12oz": "a ⟨num⟩ b ⟨unit⟩ ⟨num⟩ and ⟨num⟩ ⟨unit⟩ of ⟨num⟩ ⟨unit⟩",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: " ".join(r.w) for r in df.select("t", decontaminate.words_of(decontaminate.marked(F.col("t")), False).alias("w")).collect()}
+    assert got == texts
+    values = df.select(decontaminate.words_of(decontaminate.marked(F.lit("we left New York City at twenty-five")), True).alias("w")).first().w
+    assert values == ["we", "left", "⟨name⟩new·york·city", "at", "⟨num⟩twenty·five"]
+
+
+def test_a_copy_with_numbers_as_words_is_found(spark):
+    item = "a bus carries 12 passengers from Berlin over the old bridge towards the market and 5 of them leave before the driver turns left"
+    copies = [item.replace("12", "thirty").replace("5", "eight"), item.replace("12", "77").replace("Berlin", "New York"), item.replace("12", "seven").replace("5", "seven"), "plain words that say nothing at all about any bus or its passengers"]
+    assert leaks(spark, list(enumerate(copies)), [(10, item)]) == {(0, 10): "reparameterised", (1, 10): "reparameterised"}
+
+
+def plain_judge(doc, item, size=8):
+    """The kind of leak by plain loops over template words and values; None if there is none. Texts of slots <num> and plain words."""
+    template = lambda words: [("#" if w.isdigit() else w) for w in words]
+    d, b = doc.split(), item.split()
+    td, tb = template(d), template(b)
+    solid = [i for i in range(len(b) - size + 1) if 2 * tb[i : i + size].count("#") <= size]
+    windows = {tuple(tb[i : i + size]) for i in solid}
+    need = max(1, -(-len(windows) // 2))
+    here = {tuple(td[i : i + size]) for i in range(len(d) - size + 1)}
+    matched = windows & here
+    if not windows or len(matched) < need:
+        return None
+    pairs = [(i, j) for i in solid for j in range(len(d) - size + 1) if td[j : j + size] == tb[i : i + size]]
+    exact = {tuple(tb[i : i + size]) for i, j in pairs if d[j : j + size] == b[i : i + size]}
+    shifts = {}
+    for i, j in pairs:
+        shifts.setdefault(j - i, []).append(i)
+    most = max(map(len, shifts.values()))
+    for shift, starts in shifts.items():
+        if len({tuple(tb[i : i + size]) for i in starts}) < need and len(starts) < most:
+            continue
+        slots = {(b[k], d[k + shift]) for i in starts for k in range(i, i + size) if tb[k] == "#"}
+        if len({x for x, _ in slots}) == len(slots) == len({y for _, y in slots}):
+            return "exact" if len(exact) >= len(matched) else "reparameterised"
+    return "exact" if len(exact) >= need else None
+
+
+def test_slots_of_random_twins(spark):
+    rng = random.Random(31)
+    word = lambda: rng.choice("kra lso mte nui por sati".split())
+    number = lambda: str(rng.choice([3, 4, 5, 66, 77]))
+    items = [(k, " ".join(["q" + "abcdefghijkl"[k], *(number() if rng.random() < 0.3 else word() for _ in range(rng.randint(14, 30)))])) for k in range(12)]
+    docs = []
+    for d in range(150):
+        words = rng.choice(items)[1].split()
+        swap = {str(n): number() for n in (3, 4, 5, 66, 77)} if rng.random() < 0.7 else {}
+        words = [swap.get(w, w) if rng.random() < 0.95 else number() if w.isdigit() else w for w in words]
+        at = rng.randint(0, 4)
+        docs.append((d, " ".join([*(word() for _ in range(rng.randint(0, 5))), *words[at : rng.randint(10, 40)], *(word() for _ in range(rng.randint(0, 5)))])))
+    # items of one class are one; here each has a word of its own, so each is alone in its class
+    want = {(d, k): kind for d, t in docs for k, b in items if (kind := plain_judge(t, b))}
+    assert len(want) > 30 and len(set(want.values())) == 2
+    assert leaks(spark, docs, items) == want
