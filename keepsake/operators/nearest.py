@@ -38,10 +38,15 @@ def celled(vectors: DataFrame, block: int = 2048, pivots: int = PIVOTS) -> tuple
     Some rows are pivots, about one for each ``block`` rows and ``pivots`` at most. A row belongs to the pivot
     at the least angle, and there to one of as many rings as make cells of about a block; what a cell has
     beyond a block is cut into parts. A cell's bounds are the least and greatest angle of its rows to each
-    pivot. The cells number ``pivots`` times as many rings as the densest pivot needs.
+    pivot. The cells number ``pivots`` times as many rings as the densest pivot needs. Where all rows are one
+    block there is nothing to leave out: a cell for each length, without bounds.
     """
     own = _usable(vectors)
     n = own.count()
+    if n <= block:
+        rows = own.select("id", "v", "least", F.struct(F.size("v").alias("size"), F.lit(0).alias("pivot"), F.lit(0).alias("ring")).alias("cell"))
+        none = F.array().cast("array<double>")
+        return rows, rows.groupBy("cell").agg(F.lit(1).alias("parts"), F.min("least").alias("least")).select("cell", "parts", "least", none.alias("lo"), none.alias("hi"))
     chosen = [(len(r.v), r.v) for r in own.orderBy(F.xxhash64("id"), "id").select("v").limit(min(pivots, max(1, -(-n // block)))).collect()] or [(0, [])]  # at most ``pivots``
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
