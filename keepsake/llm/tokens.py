@@ -49,62 +49,59 @@ def lower_cases(told: dict) -> bool:
     return any(x["type"] == "Lowercase" for x in normalizers(told))
 
 
+class Known(dict):
+    """Words and their ids' bytes; a word that is not yet known is learned when it is asked for.
+
+    The last ASCII marks after an ASCII letter or digit are a piece of their own, and a word of ASCII letters
+    alone is one, which the library's model merges without the rest of its steps; other words go through the
+    library. Beyond ``limit`` words the memory is emptied.
+    """
+
+    def __init__(self, whole: Tokenizer, lower: bool, limit: int) -> None:
+        super().__init__()
+        self._encode, self._merge, self._lower, self._limit = whole.encode_batch_fast, whole.model.tokenize, lower, limit
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self._limit:
+            self.clear()
+        if word.isascii() and word.isalpha():
+            found = array("I", [t.id for t in self._merge(word.lower() if self._lower else word)]).tobytes()
+        else:
+            core = word.rstrip(_MARKS)
+            if core != word and core[-1:] in _PLAIN and "<|" not in word:
+                found = self[core] + self[word[len(core) :]]
+            else:
+                found = array("I", self._encode([word], add_special_tokens=False)[0].ids).tobytes()
+        self[word] = found
+        return found
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, all of them from the library.
 
-    Where the file allows it, words are encoded once and remembered: texts repeat their words. The last ASCII
-    marks after an ASCII letter or digit are a piece of their own, and a word of ASCII letters alone is one, which the library's model merges without the rest of its steps. The memory is emptied when it holds
-    ``limit`` words. Other files' texts are encoded whole.
+    Where the file allows it, words are encoded once and remembered: texts repeat their words (``Known``). Other
+    files' texts are encoded whole.
     """
 
     def __init__(self, path: str, limit: int = 700_000) -> None:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        self._by_words, self._lower = drops_white_space(told), lower_cases(told)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self._whole, self._limit, self._known = Tokenizer.from_file(path), limit, {}
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for found in self._whole.encode_batch_fast(texts, add_special_tokens=False):
-            yield array("I", found.ids).tobytes()
+        self._whole = Tokenizer.from_file(path)
+        self._known = Known(self._whole, lower_cases(told), limit) if drops_white_space(told) else None
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if not self._by_words or any(c in t for t in texts for c in _ODD):
-            yield from self._encode(texts)
+        if self._known is None or any(c in t for t in texts for c in _ODD):
+            for found in self._whole.encode_batch_fast(texts, add_special_tokens=False):
+                yield array("I", found.ids).tobytes()
             return
-        known, words = self._known, [t.split() for t in texts]
-        new = {w for ws in words for w in ws if w not in known}
-        if len(known) + 2 * len(new) > self._limit:
-            known.clear()
-            new = {w for ws in words for w in ws}
-        whole, cut = set(), []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            if core != w and core[-1:] in _PLAIN and "<|" not in w:
-                cut.append((w, core, w[len(core) :]))
-                whole.add(core)
-                whole.add(cut[-1][2])
-            else:
-                whole.add(w)
-        self._learn(whole)
-        known.update((w, known[core] + known[marks]) for w, core, marks in cut)
-        for ws in words:
-            yield b"".join(map(known.__getitem__, ws))
+        for t in texts:
+            yield b"".join(map(self._known.__getitem__, t.split()))
 
     def forget(self) -> None:
         """Empty the memory: a worker lives longer than its task."""
-        self._known.clear()
-
-    def _learn(self, words: set[str]) -> None:
-        known, merge, rest = self._known, self._whole.model.tokenize, []
-        for w in words:
-            if w not in known:
-                if w.isascii() and w.isalpha():
-                    known[w] = array("I", [t.id for t in merge(w.lower() if self._lower else w)]).tobytes()
-                else:
-                    rest.append(w)
-        for at in range(0, len(rest), 10_000):
-            known.update(zip(rest[at : at + 10_000], self._encode(rest[at : at + 10_000]), strict=True))
+        if self._known is not None:
+            self._known.clear()
 
 
 @lru_cache(maxsize=2)
