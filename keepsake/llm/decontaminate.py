@@ -65,8 +65,8 @@ def marked(text: Column) -> Column:
 
     A number is digits or number words, several of which with spaces or hyphens between are one ("twenty-five",
     but not "two hundred and six" nor compounds like "dreiundzwanzig"). A name is a capitalised word inside a
-    sentence, one that follows a small letter, digit, comma or semicolon and one space, with up to three more
-    capitalised words after it: "New York" is one. Points and commas inside numbers, and what is between the
+    sentence, one that follows a small letter, digit, comma or semicolon and one space, with the capitalised
+    words after it: "New York" is one. Points and commas inside numbers, and what is between the
     words of one slot, become a middle dot.
     """
     numeral = rf"(?iu)\b{_NUMERAL}\b"
@@ -83,9 +83,9 @@ def marked(text: Column) -> Column:
     worded = let(plain, lambda t: F.when(t.rlike(numeral), by_words(t)).otherwise(t))
     counted = let(worded, lambda t: F.when(t.rlike("[0-9$€£%]"), by_digits(t)).otherwise(t))
     with_units = let(counted, lambda t: F.when(t.contains("⟨num⟩"), F.regexp_replace(t, rf"(⟨num⟩[^ ⟨⟩]+) +({_UNIT})(?![\p{{L}}\p{{N}}])", "$1 ⟨unit⟩$2 ")).otherwise(t))
-    before = "|".join(r"[\p{Ll}\p{N},;⟩]" + r" \p{Lu}\p{L}{0,30}" * n + " " for n in (1, 2, 3))
-    named = F.regexp_replace(with_units, rf" (?=\p{{Lu}})(?<={before})", "·")
-    return F.regexp_replace(named, r"\p{Lu}(?<=[\p{Ll}\p{N},;⟩] \p{Lu})[\p{L}·]*", "⟨name⟩$0")
+    named = F.regexp_replace(with_units, r"\p{Lu}(?<=[\p{Ll}\p{N},;⟩] \p{Lu})\p{L}*(?: \p{Lu}\p{L}*)*", "⟨name⟩$0")
+    # inside a name of several words alone a space stands before a capital
+    return let(named, lambda t: F.when(t.rlike(r"⟨name⟩\p{L}+ \p{Lu}"), F.regexp_replace(t, r" (?=\p{Lu})(?<=⟨name⟩\p{L}[\p{L} ]{0,100} )", "·")).otherwise(t))
 
 
 def words_of(marked_text: Column, values: bool) -> Column:

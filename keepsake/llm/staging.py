@@ -50,14 +50,14 @@ def arrow_rows(spark: SparkSession, rows: int, size: str = "8m") -> Iterator[Non
 
 
 @contextmanager
-def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """What is staged inside goes at the end, but for the tables that the function it gives has written."""
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is staged inside goes at the end, but for the tables that a frame given to its function still reads."""
     before, kept = set(_written), set()
 
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        out = staged(df, label, "zstd")
-        kept.add(out._staged_path)
-        return out
+    def keep(df: DataFrame) -> DataFrame:
+        files = df.inputFiles()
+        kept.update(path for path in set(_written) - before if any(path.split(":", 1)[-1].lstrip("/") in f for f in files))
+        return df
 
     try:
         yield keep
