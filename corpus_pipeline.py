@@ -23,12 +23,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def by_few_rows(stage):  # noqa: ANN001, ANN201
-    """The stage with Python workers that get BATCH rows at a time; its result is written, its own tables are removed."""
+    """The stage with Python workers that get BATCH rows at a time; of its own tables those go that its result does not read."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with arrow_rows(spark, BATCH), scratch() as keep:
-            return keep(stage(spark, docs, sf_dir), stage.__name__)
+            return keep(stage(spark, docs, sf_dir))
 
     return run
 
@@ -36,7 +36,7 @@ def by_few_rows(stage):  # noqa: ANN001, ANN201
 @by_few_rows
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score 0.3 or more)."""
-    return quality.filter_quality(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+    return staged(quality.filter_quality(docs, table(spark, sf_dir, "labels")).select(*COLUMNS), "good", "zstd")
 
 
 @by_few_rows
@@ -52,7 +52,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; those of which nothing is left go, others stay as they came."""
     cut = substrings.remove_repeats(docs, keep=("doc_id", "lang", "source"), untouched=True)
-    return cut.where("n_words = 0 or n_removed < n_words").select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    left = cut.where("n_words = 0 or n_removed < n_words").select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    return staged(left, "without-repeats", "zstd")  # the texts are cut in Python: here, where its batches are small
 
 
 @by_few_rows
@@ -84,7 +85,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder before the next reads them, and go after it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        before, docs = docs, stage(spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES, 1):
+        before = docs
+        with scratch() as keep:
+            docs = stage(spark, before, sf_dir)
+            docs = keep(staged(docs, f"stage-{number}", "zstd") if number < len(STAGES) else docs)
         release(before)
     return docs
