@@ -468,14 +468,14 @@ top AS (SELECT component, vec_id FROM m QUALIFY row_number() OVER (PARTITION BY
 w AS (SELECT j.component, avg(best) AS second FROM j JOIN bests USING (component, person_id) JOIN top USING (component, vec_id) WHERE faces > 5 AND score < least AND best >= 0 GROUP BY 1),
 k AS (SELECT label AS person_id, bool_or(locked) AS sure FROM t GROUP BY label),
 d AS (SELECT j.*, second, COALESCE(score >= least, false) AS f1, COALESCE(second >= least, false) AS f2, COALESCE(sure AND score >= least - 0.2, false) AS f3 FROM j LEFT JOIN w USING (component) LEFT JOIN k USING (person_id))
-SELECT component, CASE WHEN f1 OR f2 OR f3 THEN 'attach' WHEN (faces >= 2 AND photos >= 2) OR retries >= 10 THEN 'create' ELSE 'pending' END AS action, CASE WHEN f1 OR f2 OR f3 THEN person_id END AS person_id,
+SELECT component, CASE WHEN f1 OR f2 OR f3 THEN 'attach' WHEN (faces >= 2 AND photos >= 2) OR retries >= 10 THEN 'create' ELSE 'pending' END AS action, CASE WHEN f1 OR f2 OR f3 THEN person_id ELSE -1 END AS person_id,
   CASE WHEN f1 OR f2 OR f3 OR (faces >= 2 AND photos >= 2) OR retries >= 10 THEN 0 ELSE retries + 1 END AS retries, round(CASE WHEN NOT f1 AND f2 THEN second ELSE greatest(COALESCE(score, 0), 0) END, 6) AS score FROM d""")
 def attach_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     members = rows.select((F.col("id") % 83).alias("component"), "id", "v", F.when(F.col("id") % 83 % 3 == 0, 0).otherwise(F.floor(F.col("id") / 166)).alias("photo_id"), (F.col("id") * 37 % 101).alias("quality_score"), (F.col("id") * 7 % 6).cast("int").alias("retry_count"), F.when(F.col("id") % 5 == 0, (F.col("id") % 10).cast("int")).alias("previous"))
     protos = prototypes(spark, sf_dir).withColumn("locked", F.row_number().over(Window.partitionBy("label").orderBy("id")) == 1).select(F.col("label").alias("person_id"), "v", (F.col("locked") & (F.col("label") % 2 == 0)).alias("locked"))
     apart = spark.range(5).select(F.col("id").cast("int").alias("person_id_a"), (F.col("id") + 5).cast("int").alias("person_id_b"))
-    return people.attach_components(members, protos, apart, attach=0.25, confirmed=0.2).withColumn("score", F.round("score", 6))
+    return people.attach_components(members, protos, apart, attach=0.25, confirmed=0.2).withColumns({"score": F.round("score", 6), "person_id": F.coalesce("person_id", F.lit(-1))})
 
 
 NOW = datetime(2024, 1, 30, 12)
@@ -831,7 +831,7 @@ def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT o_orderkey, o_custkey % 5 AS size FROM orders WHERE o_orderkey % 7 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 9 ELSE o_custkey % 5 END AS size FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT count(*) AS total, count_if(b.o_orderkey IS NULL) AS inserts, count_if(n.o_orderkey IS NULL) AS deletes, count_if(b.size <> n.size) AS updates FROM b FULL JOIN n USING (o_orderkey)""")
+SELECT count(*) AS total, CAST(count_if(b.o_orderkey IS NULL) AS BIGINT) AS inserts, CAST(count_if(n.o_orderkey IS NULL) AS BIGINT) AS deletes, CAST(count_if(b.size <> n.size) AS BIGINT) AS updates FROM b FULL JOIN n USING (o_orderkey)""")
 def scan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a comparison of two listings did, counted while it was written."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file_path"), "o_orderkey", (F.col("o_custkey") % 5).alias("file_size"), F.lit(None).cast("timestamp").alias("file_mod_time"))
