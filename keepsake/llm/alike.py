@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from keepsake.llm.components import connected_components
 from keepsake.llm.decontaminate import bounded
 from keepsake.llm.simhash import majority, near_edges
-from keepsake.llm.staging import arrow_rows, release, staged
+from keepsake.llm.staging import arrow_rows, by_bytes, release, staged
 from keepsake.llm.substrings import Words, mix
 
 #: Words of 64 bits in a sketch, and in the short form of it that joins carry along.
@@ -63,7 +63,7 @@ def _hot(docs: DataFrame, width: int, similarity: float, above: int, most: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
-        for b in batches:
+        for b in by_bytes(batches, (0,)):
             items = np.concatenate([none, *[prefix(shingles(t, width), similarity, none) for t in b.column(0).to_pylist()]])
             item, n = np.unique(items, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(item.view(np.int64)), pa.array(n)], names=["key", "n"])
@@ -82,7 +82,7 @@ def _sets(docs: DataFrame, width: int, similarity: float, hot: np.ndarray) -> Da
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, (1,)):
             found = [shingles(t, width) for t in b.column(1).to_pylist()]
             fps = np.array([majority(s) for s in found], dtype=np.uint64).view(np.int64)
             keys = lists([prefix(s, similarity, shared.value).view(np.int64) for s in found])
@@ -118,19 +118,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, s
     share = Fraction(str(similarity))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, (1,)):
             found = [shingles(t, width) for t in b.column(1).to_pylist()]
             own = [set_hash(s) == node for s, node in zip(found, b.column(0).to_pylist(), strict=True)]  # an id may have several texts
             wide, items = (pa.array(x, pa.binary()) for x in ([wide_sketch(s) for s in found], [s.tobytes() for s in found]))
             yield pa.RecordBatch.from_arrays([b.column(0), wide, items], names=["node", "wide", "items"]).filter(pa.array(own, pa.bool_()))
 
     def bounded_difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, (3, 4)):
             stay = [least_difference(x, y) * (share.denominator + share.numerator) <= total * (share.denominator - share.numerator) for total, x, y in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["src", "dst"]).filter(pa.array(stay, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, (2, 3)):
             stay = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,20 @@ def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose values in ``columns`` (text or binary) have about ``size`` bytes together, or of one row."""
+    for b in batches:
+        lengths = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy().astype("int64") for c in columns)
+        start, held = 0, 0
+        for k, n in enumerate(lengths.tolist()):
+            if k > start and held + n > size:
+                yield b.slice(start, k - start)
+                start, held = k, 0
+            held += n
+        if start < b.num_rows:
+            yield b.slice(start)
+
+
 def _new_path(df: DataFrame, label: str) -> str:
     return f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
 

@@ -77,3 +77,14 @@ def test_bounds_of_prefixes_and_sketches():
             if len(b) and 5 * both >= 4 * (len(a) + len(b) - both):
                 for hot in (none, np.sort(rng.choice(a, len(a) // 2, replace=False))):
                     assert len(np.intersect1d(alike.prefix(a, 0.8, hot), alike.prefix(b, 0.8, hot)))
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    from keepsake.llm.staging import by_bytes
+
+    texts = ["aaaa", None, "", "b" * 50, "ccc", "dddd", "e" * 9, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    slices = [s.column(0).to_pylist() for s in by_bytes(iter([batch, batch.slice(0, 0)]), (1,), 10)]
+    assert slices == [[0, 1, 2], [3], [4, 5], [6, 7]]
