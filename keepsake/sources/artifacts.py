@@ -7,7 +7,9 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql.types import StructType
 
 #: A pack file ends with the payload that reaches this size.
 PACK_BYTES = 64 << 20
+#: Payloads that are read back are handed on about so many bytes at a time.
+BATCH_BYTES = 8 << 20
 ENTRY = "name string, file string, start long, size long, sha256 string"
 
 
@@ -119,10 +123,34 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, payload, whole): the payloads back, and whether each has the checksum it was written with."""
-    packs = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(f"{path}/packs").select(F.concat(F.lit("packs/"), F.element_at(F.split("path", "/"), -1)).alias("file"), "content")
-    told = manifest(spark, path)
-    some = told.where("size > 0").join(packs, "file").withColumn("payload", F.expr("substring(content, cast(start + 1 as int), cast(size as int))"))
-    none = told.where("size = 0").withColumn("payload", F.lit("").cast("binary"))
-    both = some.select("name", "payload", "sha256").unionByName(none.select("name", "payload", "sha256"))
-    return both.select("name", "payload", (F.sha2("payload", 256) == F.col("sha256")).alias("whole"))
+    """(name, payload, whole): the payloads back, and whether each has the checksum it was written with.
+
+    The manifest's rows are dealt by pack file, in its order; each task reads the ranges that its rows name.
+    """
+    dealt = manifest(spark, path).repartition("file").sortWithinPartitions("file", "start")
+    told = dealt.select("name", "file", "start", "size", "sha256").mapInArrow(partial(_ranges, path.rstrip("/")), "name string, payload binary, sha256 string")
+    return told.select("name", "payload", (F.sha2("payload", 256) == F.col("sha256")).alias("whole"))
+
+
+def _ranges(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each row's range, in batches of about ``BATCH_BYTES``; what a damaged file lacks is left out."""
+    store, root = fs.FileSystem.from_uri(path)
+    name, pack = None, None
+    for b in batches:
+        rows, payloads, held = b.select(["name", "sha256"]), [], 0
+        first = 0
+        for k, (file, start, size) in enumerate(zip(*(b.column(c).to_pylist() for c in ("file", "start", "size")), strict=True)):
+            if size and file != name:
+                if pack is not None:
+                    pack.close()
+                name, pack = file, store.open_input_file(f"{root}/{file}")
+            if size:
+                pack.seek(min(start, pack.size()))
+            payloads.append(pack.read(size) if size else b"")
+            held += size
+            if held >= BATCH_BYTES or k == b.num_rows - 1:
+                some = rows.slice(first, len(payloads))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(payloads, pa.binary()), some.column(1)], names=["name", "payload", "sha256"])
+                first, payloads, held = k + 1, [], 0
+    if pack is not None:
+        pack.close()

@@ -76,3 +76,17 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     assert told(spark, path) == {"one": (b"1", True)} and artifacts.manifest(spark, path).count() == 1
     artifacts.write_artifacts(bad.where("name is not null"), path)
     assert len(told(spark, path)) == 100
+
+
+def test_each_payload_is_read_by_its_range_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    payload = F.substring(F.repeat(F.sha2(F.col("id").cast("string"), 256), 4), 1, (F.col("id") % 200).cast("int")).cast("binary")
+    rows = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("n"), "id").alias("name"), payload.alias("payload"))
+    artifacts.write_artifacts(rows, path, packbytes=100_000)
+    back = artifacts.read_artifacts(spark, path)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "Join" not in plan.split("MapInArrow")[0]  # no whole pack beside every row
+    assert {r.name: bytes(r.payload) for r in back.collect()} == {r.name: bytes(r.payload) for r in rows.collect()}
+    pack = next(f for f in (tmp_path / "a/packs").iterdir() if f.stat().st_size > 50_000)
+    pack.write_bytes(pack.read_bytes()[:20_000])
+    assert 0 < back.where("not whole").count() < 3000 and back.count() == 3000
