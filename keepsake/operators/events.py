@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import exprs as X
+from keepsake.session import checkpointed
 
 GAP_HOURS, FAR_KM, LEAST_PHOTOS, PAD_HOURS = 24, 50.0, 3, 6
 
@@ -77,22 +80,78 @@ def profile_events(photos: DataFrame, members: DataFrame) -> DataFrame:
     return base.join(tags, "event", "left").withColumn("duration_hours", hours)
 
 
-def attach(clusters: DataFrame, events: DataFrame, pad_hours: float = PAD_HOURS, bucket_hours: int = 24 * 30) -> DataFrame:
+def _first_at_most(values: np.ndarray, start: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each start the first place from there on whose value is at most ``most``; the length where there is none."""
+    least = [values]  # least[k][i]: the least of 2^k values from i on
+    while len(least[-1]) > 1 << (len(least) - 1):
+        half = 1 << (len(least) - 1)
+        least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+    at = start.astype(np.int64)
+    for k in reversed(range(len(least))):
+        fits = at < len(least[k])
+        above = fits.copy()
+        above[fits] = least[k][at[fits]] > most[fits]
+        at[above] += 1 << k
+    return at
+
+
+def attach(clusters: DataFrame, events: DataFrame, pad_hours: float = PAD_HOURS, block: int = 65_536) -> DataFrame:
     """(cluster, event): each new cluster's event among those whose padded span it overlaps, the nearest midpoint first.
 
-    Both sides have id, start_time, end_time. The overlap is an equality join on months touched, then the
-    exact test, so neither side is compared with all of the other; ties go to the smaller id.
+    Both sides have id, start_time, end_time, the end not before the start; ties go to the smaller id. The
+    nearest event after a cluster's midpoint is the first one along midpoints that begins before the cluster
+    ends, the nearest before it the last one that ends after the cluster begins. So events are cut along
+    midpoints into blocks of about ``block``, and a cluster goes to its own block and to the first on either
+    side that has such an event, as the blocks' bounds tell: three blocks, however many spans overlap. Blocks
+    of more rows (equal midpoints) are parts of their own, and a block that many clusters go to is copied.
     """
-    width = F.lit(bucket_hours * 3600.0)
-
-    def buckets(rows: DataFrame, pad: float, prefix: str) -> DataFrame:
-        lo, hi = seconds(F.col("start_time")) - pad * 3600, seconds(F.col("end_time")) + pad * 3600
-        out = rows.select(F.col("id").alias(f"{prefix}id"), lo.alias(f"{prefix}lo"), hi.alias(f"{prefix}hi"), ((seconds(F.col("start_time")) + seconds(F.col("end_time"))) / 2).alias(f"{prefix}mid"))
-        return out.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{prefix}lo") / width), F.floor(F.col(f"{prefix}hi") / width))))
 
-    met = buckets(clusters, 0, "c").join(buckets(events, pad_hours, "e"), "bucket").where("clo <= ehi and chi >= elo")
-    best = met.groupBy("cid").agg(F.min_by("eid", F.struct(F.abs(F.col("cmid") - F.col("emid")), "eid")).alias("event"))
-    return best.select(F.col("cid").alias("cluster"), "event")
+    def spans(rows: DataFrame, pad: float) -> DataFrame:
+        s, e, wide = F.col("start_time").cast("timestamp"), F.col("end_time").cast("timestamp"), F.lit(round(pad * 3_600_000_000))
+        mid = (seconds(F.col("start_time")) + seconds(F.col("end_time"))) / 2
+        return checkpointed(rows.where("id is not null").select(F.col("id").alias("row"), (F.unix_micros(s) - wide).alias("lo"), (F.unix_micros(e) + wide).alias("hi"), mid.alias("mid")).where("mid is not null"))
+
+    new, old = spans(clusters, 0), spans(events, pad_hours)
+    cuts = min(-(-old.count() // block), 4096)
+    bounds = np.unique(old.agg(F.percentile_approx("mid", [k / cuts for k in range(1, cuts)], 16 * cuts)).first()[0] if cuts > 1 else [])
+    end = np.iinfo(np.int64).max
+    lows, lasts = np.full(len(bounds) + 1, end), np.full(len(bounds) + 1, -end)
+
+    @F.pandas_udf("int")
+    def own(mid: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, mid, side="right"), dtype="int32")
+
+    placed = old.withColumn("block", own("mid"))
+    sizes = {r.block: r for r in placed.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}  # a row a block
+    for k, r in sizes.items():
+        lows[k], lasts[k] = r.lo, r.hi
+
+    @F.pandas_udf("array<int>")
+    def visited(lo: pd.Series, hi: pd.Series, mid: pd.Series) -> pd.Series:
+        here, n = np.searchsorted(bounds, mid, side="right"), len(lows)
+        after = _first_at_most(lows, here + 1, hi.to_numpy())
+        before = n - 1 - _first_at_most(-lasts[::-1], n - here, -lo.to_numpy())
+        return pd.Series([[int(k) for k in ks if 0 <= k < n] for ks in zip(here, after, before, strict=True)])
+
+    parts = F.broadcast(old.sparkSession.createDataFrame([(int(k), int(r.parts)) for k, r in sizes.items()], "block int, parts int"))
+    going = checkpointed(new.withColumn("block", F.explode(visited("lo", "hi", "mid"))).join(parts, "block"))
+    copies = F.broadcast(going.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("copies")))
+    left = going.join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("row"), F.col("copies").cast("long")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = placed.join(parts, "block").join(copies, "block").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts").cast("long")).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+
+    def nearest(c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        start, found = np.searchsorted(np.sort(e["mid"].to_numpy()), c["mid"].to_numpy()), []
+        for ascending in (True, False):
+            e = e.sort_values(["mid", "row"], ascending=[ascending, True])
+            at = _first_at_most(e["lo"].to_numpy(), start, c["hi"].to_numpy()) if ascending else _first_at_most(-e["hi"].to_numpy(), len(e) - start, -c["lo"].to_numpy())
+            some = at < len(e)
+            hit = e.iloc[at[some]]
+            found.append(pd.DataFrame({"cluster": c["row"].to_numpy()[some], "event": hit["row"].to_numpy(), "away": np.abs(c["mid"].to_numpy()[some] - hit["mid"].to_numpy())}))
+        return pd.concat(found)
+
+    keys, kinds = ["block", "part", "copy"], [dict(x.dtypes)["row"] for x in (new, old)]
+    met = left.select(*keys, "row", "lo", "hi", "mid").groupBy(*keys).cogroup(right.select(*keys, "row", "lo", "hi", "mid").groupBy(*keys)).applyInPandas(nearest, f"cluster {kinds[0]}, event {kinds[1]}, away double")
+    return met.groupBy("cluster").agg(F.min_by("event", F.struct("away", "event")).alias("event"))
 
 
 def grow_events(photos: DataFrame, events: DataFrame, **how: float) -> DataFrame:

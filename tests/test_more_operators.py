@@ -51,3 +51,31 @@ def test_locks_links_and_retries(spark):
     assert [tuple(r) for r in jobs.link_apart(pairs.limit(0), pairs).collect()] == [(1, 2)]
     again, over = jobs.retry(spark.createDataFrame([(1, None), (2, 3)], "photo_id long, retry_count int"))
     assert [(r.photo_id, r.retry_count) for r in again.collect()] == [(1, 1)] and [r.photo_id for r in over.collect()] == [2]
+
+
+def test_attaching_looks_at_three_blocks_and_finds_the_nearest(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from keepsake.operators import events
+
+    rng, base = random.Random(3), datetime(2024, 1, 1)
+
+    def spans(n, first):
+        starts = [(base + timedelta(minutes=rng.choice([rng.randrange(60_000), 30_000]))) for _ in range(n)]
+        return [(first + k, s, s + timedelta(minutes=rng.choice([0, 5, 300, 9_000]))) for k, s in enumerate(starts)]
+
+    new, old = spans(150, 1000), spans(200, 1)
+    old.append((999, base, None))
+    pad, mid = timedelta(hours=6), lambda r: (r[1].timestamp() + r[2].timestamp()) / 2
+    want = {}
+    for c in new:
+        met = [e for e in old if e[2] and c[1] <= e[2] + pad and c[2] >= e[1] - pad]
+        if met:
+            want[c[0]] = min(met, key=lambda e: (abs(mid(c) - mid(e)), e[0]))[0]
+    df = lambda rows: spark.createDataFrame(rows, "id long, start_time timestamp, end_time timestamp")
+    for block in (8, 65_536):
+        assert {r.cluster: r.event for r in events.attach(df(new), df(old), block=block).collect()} == want
+    both = df(new + old)  # two sides of one table
+    assert {r.cluster: r.event for r in events.attach(both.where("id >= 1000"), both.where("id < 1000"), block=50).collect()} == want
+    assert events.attach(df(new), df(old[:0])).count() == 0 == events.attach(df(new[:0]), df(old)).count()
