@@ -59,14 +59,18 @@ def cut(photos: list[Photo], gap_us: int, far_km: float) -> list[list[Photo]]:
 
 
 class DeviceEvents(StatefulProcessor):
-    """A device's open photos by id, and the time at which its oldest event may be over."""
+    """A device's open photos as they came, and the time at which its oldest event may be over.
+
+    A batch's photos are one append and an ending one rewrite, however many they are: each call of the state
+    is a message to the JVM.
+    """
 
     def __init__(self, gap_us: int, far_km: float, least: int) -> None:
         self.gap_us, self.far_km, self.least = gap_us, far_km, least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "id long", "us long, lat double, lon double")
+        self.open = handle.getListState("open", "id long, us long, lat double, lon double")
         self.due = handle.getValueState("due", "ms long")
 
     def wake(self, ms: int) -> None:
@@ -81,10 +85,10 @@ class DeviceEvents(StatefulProcessor):
         return -(-(us + self.gap_us) // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N803
-        first = None
-        for r in rows:
-            self.open.updateValue((r["id"],), (r["us"], r["lat"], r["lon"]))
-            first = r["us"] if first is None else min(first, r["us"])
+        came = [(r["id"], r["us"], r["lat"], r["lon"]) for r in rows]
+        if came:
+            self.open.appendList(came)
+        first = min((us for _, us, _, _ in came), default=None)
         if first is not None and (not self.due.exists() or self.over(first) < self.due.get()[0]):
             self.wake(max(self.over(first), timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
@@ -92,16 +96,20 @@ class DeviceEvents(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N803
         now = timerValues.getCurrentWatermarkInMs()
         self.due.clear()
-        groups = cut([Photo(v[0], k[0], v[1], v[2]) for k, v in self.open.iterator()], self.gap_us, self.far_km)
-        later = []
+        last = {r[0]: Photo(r[1], r[0], r[2], r[3]) for r in self.open.get()}  # one that came twice: as it came last
+        groups = cut(list(last.values()), self.gap_us, self.far_km)
+        later, stay = [], []
         for g in groups:
             if self.over(g[-1].us) > now:
                 later.append(self.over(g[-1].us))
+                stay += g
                 continue
-            for p in g:
-                self.open.removeKey((p.id,))
             if len(g) >= self.least:
                 yield Row(device_id=key[0], start_us=g[0].us, end_us=g[-1].us, photo_count=len(g))
+        if stay:
+            self.open.put([(p.id, p.us, p.lat, p.lon) for p in stay])
+        else:
+            self.open.clear()
         if later:
             self.wake(max(min(later), now + 1))
 

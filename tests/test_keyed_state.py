@@ -78,3 +78,36 @@ def test_a_key_is_skipped_while_its_time_lasts(spark, tmp_path):
         add(spark, [(1, note, T), (5 if note == "second" else 4, note, T)], path, schema)
         run(flows.once_per_ttl(flows.table_stream(spark, path, schema), "photo_id", "at", 30), out, check, once=True)
     assert sorted((r.photo_id, r.note) for r in spark.read.parquet(out).collect()) == [(1, "first"), (4, "first"), (5, "second")]
+
+
+def test_a_batch_is_a_few_messages_to_the_state():
+    from types import SimpleNamespace
+
+    from keepsake.streaming import keyed
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):  # whatever is called counts
+            calls.append(name)
+            put = lambda rows=(): setattr(self, "held", list(rows))
+            return {"exists": lambda: bool(self.held), "get": lambda: iter(self.held) if name_of[self] == "open" else self.held[0], "appendList": lambda rows: self.held.extend(rows), "put": put, "clear": put, "update": lambda row: put([row])}[name]
+
+    name_of = {}
+
+    def state(name, *_):
+        name_of[found := State()] = name
+        return found
+
+    handle = SimpleNamespace(getListState=state, getValueState=state, getMapState=state, registerTimer=calls.append, deleteTimer=calls.append)
+    events, hour = keyed.DeviceEvents(12 * 3_600_000_000, 50.0, 3), 3_600_000_000
+    events.init(handle)
+    rows = [{"id": k, "us": k * hour // 100, "lat": None, "lon": None} for k in range(500)] + [{"id": 7, "us": 100 * hour, "lat": None, "lon": None}]
+    at = lambda us: SimpleNamespace(getCurrentWatermarkInMs=lambda: us // 1000)
+    assert list(events.handleInputRows((1,), iter(rows), at(0))) == []
+    out = list(events.handleExpiredTimer((1,), at(30 * hour), None))
+    assert [(r.start_us, r.end_us, r.photo_count) for r in out] == [(0, 499 * hour // 100, 499)]
+    assert [tuple(r) for r in name_of and events.open.held] == [(7, 100 * hour, None, None)] and len(calls) < 20
