@@ -16,6 +16,8 @@ from keepsake.session import checkpointed
 
 #: Pivots at most: what every row's angles are taken to, and what the driver sees of the table.
 PIVOTS = 64
+#: Rows of a cell at least and at most, where none are asked for, and the bytes of vectors a cell holds at most.
+BLOCK, LARGEST, CELL_BYTES = 2048, 32_768, 64 << 20
 #: Bits of a signature that are compared before whole vectors are.
 SKETCH = 256
 
@@ -32,7 +34,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return vectors.where((F.size("v") > 0) & ~F.exists("v", odd) & F.exists("v", lambda x: x != 0))
 
 
-def celled(vectors: DataFrame, block: int = 2048, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+def celled(vectors: DataFrame, block: int | None = None, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """(rows, cells): every row with its cell, and each cell's size, parts and bounds.
 
     Some rows are pivots, about one for each ``block`` rows and ``pivots`` at most. A row belongs to the pivot
@@ -40,9 +42,13 @@ def celled(vectors: DataFrame, block: int = 2048, pivots: int = PIVOTS) -> tuple
     beyond a block is cut into parts. A cell's bounds are the least and greatest angle of its rows to each
     pivot. The cells number ``pivots`` times as many rings as the densest pivot needs. Where all rows are one
     block there is nothing to leave out: a cell for each length, without bounds.
+
+    Every row is sent to all cells its own may meet, so without ``block`` the cells grow with the table, to a
+    64th of it: what is sent then grows as the table does, until cells are the largest that a task should hold.
     """
     own = _usable(vectors)
-    n = own.count()
+    n, wide = own.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    block = block or max(BLOCK, min(-(-n // 64), LARGEST, CELL_BYTES // (8 * wide)))
     if n <= block:
         rows = own.select("id", "v", "least", F.struct(F.size("v").alias("size"), F.lit(0).alias("pivot"), F.lit(0).alias("ring")).alias("cell"))
         none = F.array().cast("array<double>")
@@ -88,13 +94,28 @@ def meeting(cells: DataFrame) -> DataFrame:
     return pairs.where(~F.coalesce(apart, F.lit(False))).select("a", "b", "a_parts", "b_parts")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2048, pivots: int = PIVOTS) -> DataFrame:
+def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the pairs (i, j): each the least place of all that are linked; ``label`` is such a labelling before."""
+    while len(i):
+        a, b = label[i], label[j]
+        differ = a != b
+        i, j, low, high = i[differ], j[differ], np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: int | None = None, pivots: int = PIVOTS, spanning: bool = False) -> DataFrame:
     """(a, b, similarity) of all pairs a < b with a cosine of at least ``threshold``; exact.
 
     ``vectors``: id, v (array), and optionally least (a bound of its own; a pair needs the smaller of the two).
     Rows are dealt into cells around pivots (``celled``); only cells that the triangle inequality lets meet are
     compared, part by part, each pair of parts one task-sized matrix product, and only hits leave it. Vectors
     that are null, empty, zero or not finite throughout have no pairs, nor have vectors of different lengths.
+
+    ``spanning``: of each two parts only links (a, b, null) that connect the same rows as their pairs do, fewer
+    than rows, for what asks for components alone; such a link need not be a similar pair itself.
     """
     if "least" not in vectors.columns:
         vectors = vectors.withColumn("least", F.lit(float(threshold)))
@@ -119,11 +140,25 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2048, pivot
         for p in parts:
             m = np.stack([np.asarray(x, dtype=np.float64) for x in p["v"]])
             mats.append(m / np.linalg.norm(m, axis=1, keepdims=True))
-        sim = mats[0] @ mats[1].T
-        i, j = np.nonzero(sim >= np.minimum(parts[0]["least"].to_numpy()[:, None], parts[1]["least"].to_numpy()[None, :]))
-        a, b = parts[0]["id"].to_numpy()[i], parts[1]["id"].to_numpy()[j]
-        keep = a < b if alone else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sim[i, j][keep]})
+        least, ids = [p["least"].to_numpy() for p in parts], [p["id"].to_numpy() for p in parts]
+        shift, label, out = 0 if alone else len(ids[0]), np.arange(len(ids[0]) + (0 if alone else len(ids[1]))), []
+        for x in range(0, len(ids[0]), BLOCK):
+            for y in range(x if alone else 0, len(ids[1]), BLOCK):
+                own, other = slice(x, x + BLOCK), slice(y, y + BLOCK)
+                sim = mats[0][own] @ mats[1][other].T
+                i, j = np.nonzero(sim >= np.minimum(least[0][own][:, None], least[1][other][None, :]))
+                if spanning:
+                    label = _united(label, i + x, j + y + shift)
+                    continue
+                a, b = ids[0][own][i], ids[1][other][j]
+                keep = (a < b) | (x < y) & (a != b) if alone else a != b
+                out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sim[i, j][keep]}))
+        if not spanning:
+            return pd.concat(out)
+        every = ids[0] if alone else np.concatenate(ids)
+        a, b = every[label], every
+        keep = a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.nan})
 
     return tiles.groupBy("a", "b", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
 

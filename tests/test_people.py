@@ -141,6 +141,28 @@ def test_signatures_find_what_they_promise(spark):
     assert between <= pairs(lambda i, j: i % 7 != j % 7) and len(between) >= 0.97 * len(pairs(lambda i, j: i % 7 != j % 7))
 
 
+def test_spanning_links_connect_what_the_pairs_do(spark):
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(40, 12)), 15, axis=0) + 0.3 * rng.normal(size=(600, 12))
+    df = spark.createDataFrame([(int(i), x) for i, x in enumerate(v.tolist())], "id long, v array<double>").repartition(3)
+    pairs = nearest.similar_pairs(df, 0.9, 100)
+    want = {tuple(r) for r in people.components(df.select("id"), pairs).collect()}
+    links = nearest.similar_pairs(df, 0.9, 100, spanning=True).cache()
+    assert {tuple(r) for r in people.components(df.select("id"), links).collect()} == want and 1 < len({c for _, c in want}) < 600
+    assert nearest.similar_pairs(df, 0.9, spanning=True).count() == 600 - len({c for _, c in want}) < pairs.count()
+
+
+def test_cells_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 8)  # tiles of 8, cells of 25 for 1,600 rows
+    v = np.random.default_rng(6).normal(size=(1600, 6))
+    df = spark.createDataFrame([(int(i), x) for i, x in enumerate(v.tolist())], "id long, v array<double>")
+    _, cells = nearest.celled(df.withColumn("least", F.lit(0.9)))
+    assert cells.agg(F.sum("parts")).first()[0] < 64 * 4 < 1600 // 8 * 2
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(unit @ unit.T >= 0.9, 1))), strict=True))
+    assert {(r.a, r.b) for r in nearest.similar_pairs(df, 0.9).collect()} == want
+
+
 def test_the_query_misses_no_pair_at_the_threshold(spark, tmp_path):
     from keepsake.plans import catalogue
 
