@@ -12,9 +12,12 @@ update that fails half-way changes nothing and may be run again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,25 +34,53 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def words(columns: Sequence[str]) -> Column:
-    """array<struct<at, term>>: the lower-cased words of all columns with their places."""
-    of = lambda c: F.filter(F.split(X.token_text(F.coalesce(F.col(c), F.lit(""))), " "), lambda w: w != "")
-    placed = lambda c, base: F.transform(of(c), lambda w, k: F.struct((k + base).cast("int").alias("at"), w.alias("term")))
-    ends = [F.lit(0)]
-    for c in columns:
-        ends.append(ends[-1] + F.size(of(c)) + APART)
-    return F.concat(*[placed(c, base) for c, base in zip(columns, ends, strict=False)])
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows, in batches of about ``most`` bytes of text."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(1).flatten()).to_numpy().reshape(b.num_rows, -1).sum(axis=1))
+        cuts = np.flatnonzero(np.diff(ends // most)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
+def _postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, term, positions) of rows (id, texts): a text for each column, its words parted by single spaces."""
+    for b in _slices(batches):
+        split = pc.split_pattern(b.column(1).flatten(), " ")
+        n = split.value_lengths().to_numpy().astype(np.int64)
+        text = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        encoded = split.flatten().dictionary_encode()
+        word = encoded.indices.to_numpy().astype(np.int64)
+        real = pc.not_equal(encoded.dictionary, "").to_numpy(zero_copy_only=False)[word]  # a text without words is one empty one
+        text, place, word = text[real], place[real], word[real]
+        counts = np.bincount(text, minlength=len(n)).reshape(b.num_rows, -1)
+        base = (np.cumsum(counts + APART, axis=1) - counts - APART).ravel()
+        row, at = text // counts.shape[1], (place + base[text]).astype(np.int32)
+        order = np.lexsort((at, word, row))
+        row, word, at = row[order], word[order], at[order]
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(at))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[first])), encoded.dictionary.take(pa.array(word[first])), lists], names=["id", "term", "positions"])
 
 
 def _write(docs: DataFrame, gone: DataFrame | None, path: str, gen: int, key: str, columns: Sequence[str], buckets: int) -> None:
-    """One generation: the postings of ``docs``, then the list of what it has and what is gone."""
-    each = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(words(columns)).alias("w")).select("id", "w.*")
+    """One generation: the postings of ``docs``, then the list of what it has and what is gone.
+
+    A document's words are grouped before they are dealt, so a posting is sent, not every word. Only documents
+    whose rows repeat a key are grouped once more.
+    """
+    known = docs.where(F.col(key).isNotNull())
+    plain = known.select(F.col(key).alias("id"), F.array(*[F.trim(X.token_text(F.coalesce(F.col(c), F.lit("")))) for c in columns]).alias("texts"))
+    each = plain.mapInArrow(_postings_of, f"id {dict(plain.dtypes)['id']}, term string, positions array<int>")
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    # dealt once by bucket and part of the documents: the grouping below needs no further shuffle
-    dealt = each.withColumns({"bucket": bucket_of(F.col("term"), buckets), "salt": salt}).repartition("bucket", "salt")
-    lists = dealt.groupBy("bucket", "salt", "term", "id").agg(F.sort_array(F.collect_set("at")).alias("positions")).drop("salt")
-    lists.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/gen={gen}")
-    have = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.lit(False).alias("gone"))
+    # dealt once by bucket and part of the documents
+    lists = each.withColumns({"bucket": bucket_of(F.col("term"), buckets), "salt": salt}).repartition("bucket", "salt")
+    if not known.groupBy(key).count().where("count > 1").isEmpty():
+        lists = lists.groupBy("bucket", "salt", "term", "id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+    lists.select("term", "id", "positions", "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/gen={gen}")
+    have = known.select(F.col(key).alias("id"), F.lit(False).alias("gone"))
     if gone is not None:
         have = have.unionByName(gone.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.lit(True).alias("gone")))
     have.groupBy("id").agg(F.bool_and("gone").alias("gone")).write.mode("overwrite").parquet(f"{path}/documents/gen={gen}")

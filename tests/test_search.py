@@ -79,3 +79,13 @@ def test_an_empty_table(spark, tmp_path):
     search.build_index(spark.createDataFrame([], SCHEMA), str(tmp_path / "i"))
     assert search.update_index(spark.createDataFrame(DOCS[:2], SCHEMA), str(tmp_path / "i")) == 2
     assert {r.id for r in search.search_index(spark, str(tmp_path / "i"), "known").collect()} == {1, 2}
+
+
+def test_words_are_grouped_before_they_are_dealt():
+    import pyarrow as pa
+
+    ids, texts = pa.array([5, 6, 7]), pa.array([["a b a", "", "b c"], ["", "", ""], ["x", "x x", ""]])
+    found = pa.Table.from_batches(search._postings_of(iter([pa.RecordBatch.from_arrays([ids, texts], names=["id", "texts"])]))).to_pylist()
+    gap = search.APART
+    want = {(5, "a"): [0, 2], (5, "b"): [1, 3 + 2 * gap], (5, "c"): [4 + 2 * gap], (7, "x"): [0, 1 + gap, 2 + gap]}
+    assert {(r["id"], r["term"]): r["positions"] for r in found} == want and len(found) == len(want)
