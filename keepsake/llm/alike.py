@@ -16,8 +16,8 @@ from keepsake.llm.simhash import majority, near_edges
 from keepsake.llm.staging import arrow_rows, by_bytes, release, staged
 from keepsake.llm.substrings import Words, mix
 
-#: Words of 64 bits in a sketch, and in the short form of it that joins carry along.
-SKETCH, SHORT = 16, 4
+#: Words of 64 bits in a sketch.
+SKETCH = 16
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -168,13 +168,40 @@ def _simhash_pairs(nodes: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(near.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")))
 
 
-def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, hot_above: int = 32, hot_most: int = 100_000) -> DataFrame:
+def _across(shared: DataFrame, member: DataFrame, nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """(src, dst) of the sets of two components that meet and may have the similarity.
+
+    Sets meet under the ends (lo, hi) of an item, not under the item: near copies share hundreds of items, but
+    the items of a group have few different ends between them. Ends are two minima of hashes of those that have
+    the item, so items of other groups seldom come under the same. More than ``tile`` sets that meet are cut
+    into parts, and each pair of parts is compared by itself.
+    """
+    named = shared.join(member, "node", "left").select("node", "lo", "hi", F.coalesce("component", "node").alias("c"))
+    mixed = named.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    met = named.join(mixed.select("lo", "hi", F.ceil(F.col("m") / tile).alias("parts")), ["lo", "hi"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), "parts"))
+    tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).cast("byte")
+    dealt = tiles.select("node", "c", side.alias("side"), F.xxhash64("lo", "hi", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+    words = [F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)]
+    left = staged(dealt.join(nodes.select("node", "n", *words), "node"), "alike-left")
+    a, b = left.alias("a"), left.alias("b")
+    of = lambda at: [F.col(f"{at}.s{k}") for k in range(SKETCH)]
+    apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.side") + F.col("b.side")).isin(0, 3)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _may(of("a"), of("b"), F.col("a.n"), F.col("b.n"), similarity))
+    found = staged(pairs.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct(), "alike-across")
+    release(left)
+    return found
+
+
+def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4, hot_above: int = 32, hot_most: int = 100_000, tile: int = 2048) -> DataFrame:
     """(doc_id, component_id): the least id reachable over pairs whose shingle sets have the similarity.
 
     SimHash within ``radius`` bits, compared bit-sliced, offers the closest copies; the others meet under a
     common item of their prefixes (``prefix``), where every alike pair meets. Under such an item all are first
     compared with two of them; only where several components are left, pairs across components follow: they
     are formed and dropped inside a join by a bound on their difference (``sketch``), so few are ever rows.
+    That join looks once or a few times at a pair, however many items it shares, and takes ``tile`` sets with
+    as many others at a time.
     No pair is linked without its whole sets being compared, none at the similarity is left out. Equal sets
     are one node. Items that more than ``hot_above`` prefixes have come last in the order of all prefixes (at
     most ``hot_most`` of them, which bounds what the driver sees; the groups do not depend on either).
@@ -184,30 +211,22 @@ def alike_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radiu
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
     with arrow_rows(docs.sparkSession, 500):
-        return _groups(known, width, similarity, radius, hot_above, hot_most)
+        return _groups(known, width, similarity, radius, hot_above, hot_most, tile)
 
 
-def _groups(known: DataFrame, width: int, similarity: float, radius: int, hot_above: int, hot_most: int) -> DataFrame:
+def _groups(known: DataFrame, width: int, similarity: float, radius: int, hot_above: int, hot_most: int, tile: int) -> DataFrame:
     sets = staged(_sets(known, width, similarity, _hot(known, width, similarity, hot_above, hot_most)), "alike")
     nodes = staged(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("sketch").alias("sketch")), "alike-nodes")
     keyed = sets.select("node", F.explode("keys").alias("key"))
     ends = staged(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "alike-ends")
-    shared = staged(keyed.join(bounded(ends, 1_000_000), "key").distinct(), "alike-keys")
+    shared = staged(keyed.join(bounded(ends, 1_000_000), "key").select("node", "lo", "hi").distinct(), "alike-meet")
     stars = shared.select(F.explode(F.array(F.struct("lo", "node"), F.struct(F.col("node").alias("lo"), F.col("hi").alias("node")))).alias("e")).select(F.col("e.lo").alias("src"), F.col("e.node").alias("dst"))
     first = staged(stars.unionByName(_simhash_pairs(nodes, radius)).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "alike-first")
     edges = _verified(first, known, nodes, width, similarity)
     member = staged(connected_components(edges), "alike-components")
 
-    named = shared.select("node", "key").join(member, "node", "left").select("node", "key", F.coalesce("component", "node").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    folded = lambda k: F.reduce(F.slice("sketch", 1, SKETCH), F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("x")), lambda a, v: F.struct((a["at"] + 1).alias("at"), F.when(F.pmod(a["at"], F.lit(SHORT)) == k, a["x"].bitwiseXOR(v)).otherwise(a["x"]).alias("x")), lambda a: a["x"])
-    short = nodes.select("node", "n", *[folded(k).alias(f"s{k}") for k in range(SHORT)])
-    left = staged(named.join(mixed, "key", "left_semi").join(short, "node"), "alike-left")
-    a, b = left.alias("a"), left.alias("b")
-    of = lambda side: [F.col(f"{side}.s{k}") for k in range(SHORT)]
-    may = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _may(of("a"), of("b"), F.col("a.n"), F.col("b.n"), similarity)
-    across = staged(a.join(b, may).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct(), "alike-across")
-    release(left, ends, first)
+    across = _across(shared, member, nodes, similarity, tile)
+    release(ends, first)
     more = _verified(across, known, nodes, width, similarity)
 
     member = connected_components(edges.unionByName(more))

@@ -49,6 +49,43 @@ def test_groups_are_those_of_all_pairs(spark):
     assert alike.alike_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_groups_do_not_depend_on_tiles(spark):
+    rows = made(3)
+    want = plain_groups(rows)
+    for tile in (1, 5):
+        got = alike.alike_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile)
+        assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def joined_rows(spark, words):
+    """Rows that the joins with these words in their condition have made in the session, by Spark's own count."""
+    store, found = spark._jsparkSession.sharedState().statusStore(), 0
+    for e in range(store.executionsCount()):
+        execution = store.executionsList().apply(e)
+        values, nodes = store.executionMetrics(execution.executionId()), store.planGraph(execution.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and all(w in node.desc() for w in words):
+                for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        found += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return found
+
+
+def test_a_pair_is_formed_a_few_times_however_many_items_it_shares(spark):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for d in range(60):  # mostly below the similarity of each other, with most of their items in common
+        w = list(base)
+        for at in rng.sample(range(300), rng.randint(2, 12)):
+            w[at] = f"u{rng.randrange(10**9)}"
+        rows.append((d, " ".join(w)))
+    before = joined_rows(spark, ["bit_count", "<"])
+    got = alike.alike_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == plain_groups(rows)
+    assert 0 < joined_rows(spark, ["bit_count", "<"]) - before <= 60 * 59
+
+
 def test_pipeline_links_at_that_similarity(spark):
     w = [f"w{i}" for i in range(104)]
     edited = [*w[:50], "x", "y", *w[52:80], "z", *w[81:]]  # 11 of 100 shingles differ: similarity 0.80
