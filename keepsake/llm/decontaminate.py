@@ -68,12 +68,16 @@ def marked(text: Column) -> Column:
     sentence, one that follows a small letter, digit, comma or semicolon and one space, with the capitalised
     words after it: "New York" is one. Points and commas inside numbers, and what is between the
     words of one slot, become a middle dot.
+
+    Groups repeat possessively (``*+``): Java matches those in a loop, others by a call for each repetition, and
+    a text with thousands of such words in a row overflows the stack, which ends the executor. No shorter run
+    of words could match where the longest does not, so what is found is the same.
     """
     numeral = rf"(?iu)\b{_NUMERAL}\b"
 
     def by_words(plain: Column) -> Column:
         joined = F.regexp_replace(plain, rf"(?iu)\b({_NUMERAL})[ -](?={_NUMERAL}\b)", "$1·")
-        return F.regexp_replace(joined, rf"(?iu)(?<![\p{{L}}\p{{N}}·])({_NUMERAL}(?:·{_NUMERAL})*)(?![\p{{L}}\p{{N}}·])", " ⟨num⟩$1 ")
+        return F.regexp_replace(joined, rf"(?iu)(?<![\p{{L}}\p{{N}}·])({_NUMERAL}(?:·{_NUMERAL})*+)(?![\p{{L}}\p{{N}}·])", " ⟨num⟩$1 ")
 
     def by_digits(plain: Column) -> Column:
         joined = F.regexp_replace(plain, r"(?<=[0-9])[.,:/](?=[0-9])", "·")
@@ -83,7 +87,7 @@ def marked(text: Column) -> Column:
     worded = let(plain, lambda t: F.when(t.rlike(numeral), by_words(t)).otherwise(t))
     counted = let(worded, lambda t: F.when(t.rlike("[0-9$€£%]"), by_digits(t)).otherwise(t))
     with_units = let(counted, lambda t: F.when(t.contains("⟨num⟩"), F.regexp_replace(t, rf"(⟨num⟩[^ ⟨⟩]+) +({_UNIT})(?![\p{{L}}\p{{N}}])", "$1 ⟨unit⟩$2 ")).otherwise(t))
-    named = F.regexp_replace(with_units, r"\p{Lu}(?<=[\p{Ll}\p{N},;⟩] \p{Lu})\p{L}*(?: \p{Lu}\p{L}*)*", "⟨name⟩$0")
+    named = F.regexp_replace(with_units, r"\p{Lu}(?<=[\p{Ll}\p{N},;⟩] \p{Lu})\p{L}*(?: \p{Lu}\p{L}*)*+", "⟨name⟩$0")
     # inside a name of several words alone a space stands before a capital
     return let(named, lambda t: F.when(t.rlike(r"⟨name⟩\p{L}+ \p{Lu}"), F.regexp_replace(t, r" (?=\p{Lu})(?<=⟨name⟩\p{L}[\p{L} ]{0,100} )", "·")).otherwise(t))
 

@@ -114,6 +114,15 @@ def test_a_copy_with_numbers_as_words_is_found(spark):
     assert leaks(spark, list(enumerate(copies)), [(10, item)]) == {(0, 10): "reparameterised", (1, 10): "reparameterised"}
 
 
+def test_long_runs_of_names_and_number_words(spark):
+    # such a run overflowed the stack of a task, which ends the executor: here, the JVM of the tests
+    runs = {"Paris ": 5_000, "one ": 5_000, "Twenty-": 5_000, "Paris one ": 2_500}
+    docs = [(k, f"so {run * n}and then {QUESTION}.") for k, (run, n) in enumerate(runs.items())]
+    assert leaks(spark, [*docs, (9, "so " + "Paris " * 5_000)], [(10, QUESTION)]) == {(k, 10): "exact" for k in range(4)}
+    texts = spark.createDataFrame([("so " + run * 20_000,) for run in ("one ", "Twenty-")], "t string")
+    assert [r.w for r in texts.select(decontaminate.words_of(decontaminate.marked(F.col("t")), False).alias("w")).collect()] == [["so", "⟨num⟩"]] * 2
+
+
 def plain_judge(doc, item, size=8):
     """The kind of leak by plain loops over template words and values; None if there is none. Texts of slots <num> and plain words."""
     template = lambda words: [("#" if w.isdigit() else w) for w in words]
